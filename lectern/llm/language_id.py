@@ -115,21 +115,39 @@ def fit_languages(
     return Codes.fit(x, [r.lang for r in got])
 
 
+def _decide(said: list[str | None], codes: Codes | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and lead of each text."""
+    lang, score, lead = ["und"] * len(said), np.zeros(len(said)), np.zeros(len(said))
+    some = [i for i, t in enumerate(said) if t and any(map(str.isalpha, t))] if codes else []
+    for at in range(0, len(some), 256):
+        part = some[at : at + 256]
+        best, p, gap = codes.decode(np.array([features(said[i]) for i in part]))
+        for i, k in zip(part, best, strict=True):
+            lang[i] = codes.languages[k]
+        score[part], lead[part] = p, gap
+    return lang, score, lead
+
+
 def identify(docs: DataFrame, codes: Codes | None, id_col: str = "doc_id", text_col: str = "text", ambiguous_below: float = 0.05) -> DataFrame:
     """Language of every whole text, its score, and whether the second language is within ambiguous_below."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            said = b.column(1).to_pylist()
-            lang, score, lead = ["und"] * len(said), np.zeros(len(said)), np.zeros(len(said))
-            some = [i for i, t in enumerate(said) if t and any(map(str.isalpha, t))] if codes else []
-            for at in range(0, len(some), 256):
-                part = some[at : at + 256]
-                best, p, gap = codes.decode(np.array([features(said[i]) for i in part]))
-                for i, k in zip(part, best, strict=True):
-                    lang[i] = codes.languages[k]
-                score[part], lead[part] = p, gap
+            lang, score, lead = _decide(b.column(1).to_pylist(), codes)
             flag = [x != "und" and g < ambiguous_below for x, g in zip(lang, lead, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang), pa.array(score), pa.array(flag), pa.array(lead)], [x.split()[0] for x in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(flag, pa.bool_()), pa.array(lead)], names)
 
     return map_batches(docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text"), batches, SCHEMA)
+
+
+def keep_identified(docs: DataFrame, codes: Codes | None, text_col: str = "text", ambiguous_below: float = 0.05) -> DataFrame:
+    """The rows, with all their columns, whose language can be told: neither `und` nor ambiguous."""
+    place = docs.columns.index(text_col)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            lang, _, lead = _decide(b.column(place).to_pylist(), codes)
+            yield b.filter(pa.array([x != "und" and g >= ambiguous_below for x, g in zip(lang, lead, strict=True)], pa.bool_()))
+
+    return map_batches(docs, batches, docs.schema)
