@@ -227,8 +227,8 @@ class Field:
         rows = np.log(pairs / pairs.sum(1, keepdims=True))
         share = np.log(pairs.sum(0) / pairs.sum())
         rate = min(agree / linked, 0.999)
-        # a link can be as sure as one shape is unsure, at least
-        return cls(unary, np.clip(rows - share, -2, 2), float(max(4.0, np.log(rate / (1 - rate) * (N_LABELS - 1)))))
+        # at least so much that one link to a rule match outweighs an odd shape
+        return cls(unary, np.clip(rows - share, -2, 2), float(max(7.0, np.log(rate / (1 - rate) * (N_LABELS - 1)))))
 
     def marginals(self, n: Nodes, rounds: int = 12) -> np.ndarray:
         """Loopy sum-product messages in the log domain, all at once in each round, damped by half."""

@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, jaccard_join, language_id, licenses, mixing, pii, toxicity, warc
+from . import ann, chat, decontaminate, jaccard_join, language_id, licenses, mixing, oracles, pii, toxicity, warc
 from .common import table
 
 
@@ -77,4 +77,9 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_licenses": op10_licenses,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_ngram_jaccard_join": oracles.OP4,
+    "op6_decontamination": oracles.OP6,
+    "op7_chat": oracles.OP7,
+    "op9_warc": oracles.OP9,
+}
