@@ -41,6 +41,26 @@ def hash_share(id_col: str, rows: int, of: int | Column) -> Column:
     return F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(slots)) < most * slots)
 
 
+#: Bits of a filter of ids: a table of at most BITS / 64 rows of 16 bytes, whatever the number of ids.
+BITS = 1 << 24
+
+
+def maybe_among(df: DataFrame, id_col: str, ids: DataFrame, among: bool = True) -> DataFrame:
+    """Rows whose id may be one of `ids` (one column), or those whose id surely isn't.
+
+    A one-hash Bloom filter of fixed size, broadcast and tested natively: it
+    spares the shuffle of wide rows before an exact join with few ids. Null ids
+    surely are not among them.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    key = ids.columns[0]
+    marks = ids.where(F.col(key).isNotNull()).select(bit(F.col(key)).alias("b"))
+    words = marks.groupBy(F.expr("b div 64").alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("_m"))
+    tested = df.withColumn("_bit", bit(F.col(id_col))).withColumn("_w", F.expr("_bit div 64")).join(F.broadcast(words), "_w", "left")
+    hit = F.coalesce(F.expr("getbit(_m, cast(_bit % 64 as int)) = 1"), F.lit(False)) & F.col(id_col).isNotNull()
+    return tested.where(hit if among else ~hit).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in the place that spark.checkpoint.dir names, which driver and executors share.
 

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, map_batches, texts
+from .common import Scratch, bound_batches, map_batches, maybe_among, texts
 from .components import components
 
 #: Most shingles that are told apart as frequent: 16 bytes each go to the driver and back to every task.
@@ -343,7 +343,7 @@ def similar_components(
     # members of a cluster with their whole sets, verified block by block
     sized = clusters.join(clusters.groupBy("root").agg(F.count("*").alias("size")), "root")
     sized = sized.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), "size")
-    member_texts = docs.join(sized, "doc_id").select("text", "doc_id", "cluster", "size")
+    member_texts = maybe_among(docs, "doc_id", clusters.select("node")).join(sized, "doc_id").select("text", "doc_id", "cluster", "size")
     sets = map_batches(member_texts, _member_sets(words), "set binary, rep long, cluster long, size long")
     sets = sets.withColumn("n", F.expr("octet_length(set) div 8"))
     weight = classes.select("rep", "n", "copies").groupBy("rep", "n").agg(F.max("copies").alias("copies"))
@@ -367,9 +367,10 @@ def similar_components(
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs, with all their columns, that stay: of each component the row of the smallest id, and all rows with a null id."""
-    found = similar_components(docs, words, num, den)
+    found = Scratch(docs.sparkSession).write(similar_components(docs, words, num, den), "verdicts")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    # only rows that may go are moved to be compared exactly
+    kept = maybe_among(docs, "doc_id", gone, among=False).unionByName(maybe_among(docs, "doc_id", gone).join(gone, "doc_id", "left_anti"))
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id").limit(1).count()
     if repeated:
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
