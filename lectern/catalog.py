@@ -1,4 +1,681 @@
-"""The registered queries of the core library and their SQL."""
+"""The registered queries of the core library and their SQL, over whole tables.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+`documents` stand for posts: the first line is the title, lang the section
+(de, en, es, fr as 1 to 4), source the channel. `conversations` stand for
+comments, `pages` for mark-up, `labels` for reactions, `orders` for dated rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import nested, text, urls, values
+from .operators import dedupe, filters, ml, normalize, pages, relate, stats, tfidf, tokens
+from .session import table
+from .session_scratch import materialised
+from .sources.tabular import front_columns
+from .sources.words import calendar, user_stopwords
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+LANGS = ["de", "en", "es", "fr"]
+#: Sections of the dated test rows.
+ORDER_PERIODS = [(1, "a", "1995-01-01", "1996-06-30"), (2, "b", "1996-07-01", "1997-12-31"), (3, "c", "1998-01-01", "1999-06-30"), (4, "d", "1999-07-01", "2000-12-31")]
+STOP = ["the", "and", "of", "to", "in", "de", "la", "que", "der", "die", "und", "le", "et"]
+
+POSTS_SQL = """posts AS (SELECT doc_id AS rid, split_part(text, chr(10), 1) AS title, text AS doc, source AS ch, lang,
+  CASE lang WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'es' THEN 3 WHEN 'fr' THEN 4 END AS section FROM documents)"""
+TOKENS_SQL = POSTS_SQL + r""", tokens AS (SELECT rid, section, unnest(regexp_extract_all(lower(coalesce(doc, '')), '[\p{L}\p{N}_]{2,}')) AS keyword FROM posts)"""
+STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOP) + ")"
+COUNTS_SQL = TOKENS_SQL + ", counts AS (SELECT section, keyword, count(*) AS n FROM tokens GROUP BY ALL)"
+#: Weights of the sections as four documents, and of every post.
+SECTION_WEIGHTS_SQL = COUNTS_SQL + """, dfs AS (SELECT keyword, count(*) AS df FROM counts GROUP BY keyword), total AS (SELECT count(DISTINCT section) AS d FROM counts),
+raw AS (SELECT section, keyword, n * (ln((1 + d) / (1 + df)) + 1) AS w FROM counts JOIN dfs USING (keyword), total),
+weights AS (SELECT section, keyword, w / sqrt(sum(w * w) OVER (PARTITION BY section)) AS tfidf FROM raw)"""
+POST_WEIGHTS_SQL = TOKENS_SQL + """, tf AS (SELECT rid, keyword, count(*) AS n FROM tokens GROUP BY ALL), dfs AS (SELECT keyword, count(*) AS df FROM tf GROUP BY keyword),
+total AS (SELECT count(DISTINCT rid) AS d FROM tf),
+raw AS (SELECT rid, keyword, n * (ln((1 + d) / (1 + df)) + 1) AS w FROM tf JOIN dfs USING (keyword), total),
+weights AS (SELECT rid, keyword, w / sqrt(sum(w * w) OVER (PARTITION BY rid)) AS tfidf FROM raw)"""
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+def posts(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    return d.select(
+        F.col("doc_id").alias("rid"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("doc"), F.col("source").alias("ch"), "lang",
+        values.label(F.col("lang"), {x: i for i, x in enumerate(LANGS, 1)}).alias("section"),
+    )
+
+
+def post_words(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.word_rows(posts(spark, sf))
+
+
+def stop_words(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(w,) for w in STOP], "keyword string")
+
+
+def r(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+# --- cleaning and scalar functions
+
+
+@query("clean_noise", rf"""WITH {POSTS_SQL} SELECT rid, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(doc, '<[^>]+>', ' ', 'g'),
+  '(https?://[^\s]+|www\.[^\s]+)', ' ', 'g'), '[^가-힣a-zA-Z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS cleaned FROM posts""")
+def clean_noise(spark, sf):
+    return posts(spark, sf).select("rid", text.clean_noise(F.col("doc")).alias("cleaned"))
+
+
+@query("clean_pages", r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  replace(replace(replace(replace(html, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'),
+  '<[^>]+>', ' ', 'g'), '(https?://[^\s]+|www\.[^\s]+)', ' ', 'g'), '[^가-힣a-zA-Z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS cleaned FROM pages""")
+def clean_pages(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.clean_noise(F.col("html")).alias("cleaned"))
+
+
+@query("clean_strict", rf"""WITH {POSTS_SQL} SELECT rid, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(doc, '<[^>]+>', '', 'g'),
+  'https?://[^\s]+', '', 'g'), '[ㄱ-ㅎㅏ-ㅣ]+', '', 'g'), '[^가-힣a-zA-Z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS cleaned FROM posts""")
+def clean_strict(spark, sf):
+    return posts(spark, sf).select("rid", text.clean_strict(F.col("doc")).alias("cleaned"))
+
+
+@query("clean_steps", rf"""WITH {POSTS_SQL} SELECT rid, regexp_replace(title, 'ㅋ{{2,}}|ㅎ{{2,}}', ' ', 'g') AS laughs, regexp_replace(title, '[\x{{2600}}-\x{{26FF}}]+', ' ', 'g') AS emoji,
+  regexp_replace(title, '[^가-힣a-zA-Z0-9\s]', ' ', 'g') AS allowed, trim(regexp_replace(title, '\s+', ' ', 'g')) AS spaced,
+  regexp_replace(title, '<[^>]+>', ' ', 'g') AS untagged, regexp_replace(title, '(https?://[^\s]+|www\.[^\s]+)', ' ', 'g') AS unlinked FROM posts""")
+def clean_steps(spark, sf):
+    t = F.col("title")
+    return posts(spark, sf).select(
+        "rid", text.remove_repeated_laughs(t).alias("laughs"), text.remove_emoji(t).alias("emoji"), text.keep_allowed(t).alias("allowed"),
+        text.normalize_text(t).alias("spaced"), text.strip_tags(t).alias("untagged"), text.strip_urls(t).alias("unlinked"),
+    )
+
+
+@query("to_int", """SELECT o_orderkey, o_orderkey AS from_commas, CAST(replace(CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '.5', '.', '') AS BIGINT) AS from_fraction,
+  CAST(floor(o_totalprice) AS BIGINT) AS from_zero, 12::BIGINT AS from_unit, 0::BIGINT AS from_words, o_custkey AS parsed FROM orders""")
+def to_int(spark, sf):
+    whole = F.floor("o_totalprice").cast("bigint").cast("string")
+    return table(spark, sf, "orders").select(
+        "o_orderkey", values.to_int(F.format_number("o_orderkey", 0)).alias("from_commas"), values.to_int(F.concat(whole, F.lit(".5"))).alias("from_fraction"),
+        values.to_int(F.concat(F.lit(" "), whole, F.lit(".0 "))).alias("from_zero"), values.to_int(F.lit("12개")).alias("from_unit"), values.to_int(F.lit("abc")).alias("from_words"),
+        values.parse_int(F.concat(F.lit("-"), F.col("o_custkey").cast("string"), F.lit(" likes"))).alias("parsed"),
+    )
+
+
+@query("normalize_date", """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS compact, strftime(o_orderdate, '%Y-%m-%d') AS dotted,
+  strftime(o_orderdate, '%Y-%m-%d') AS zoned, '' AS bad FROM orders""")
+def normalize_date(spark, sf):
+    day = lambda f: F.date_format("o_orderdate", f)
+    return table(spark, sf, "orders").select(
+        "o_orderkey", values.normalize_date(F.concat(day("yyyyMMdd"), F.lit(".0"))).alias("compact"), values.normalize_date(day("yyyy.MM.dd.")).alias("dotted"),
+        values.normalize_date(F.concat(day("yyyy-MM-dd"), F.lit("T00:10:11+0900"))).alias("zoned"), values.normalize_date(F.lit("20241301")).alias("bad"),
+    )
+
+
+@query("section_of_date", """SELECT o_orderkey, CASE WHEN d BETWEEN DATE '1995-01-01' AND DATE '1996-06-30' THEN 1 WHEN d BETWEEN DATE '1996-07-01' AND DATE '1997-12-31' THEN 2
+  WHEN d BETWEEN DATE '1998-01-01' AND DATE '1999-06-30' THEN 3 WHEN d BETWEEN DATE '1999-07-01' AND DATE '2000-12-31' THEN 4 ELSE 0 END AS section
+  FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""")
+def section_of_date(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", values.normalize_section(F.lit("0"), F.date_format("o_orderdate", "yyyyMMdd"), ORDER_PERIODS).alias("section"))
+
+
+@query("channel_map", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'blog' WHEN doc_id % 3 = 1 THEN 'cafe' ELSE lower(source) END AS ch,
+  CASE lang WHEN 'de' THEN 'German' WHEN 'en' THEN 'English' END AS name FROM documents""")
+def channel_map(spark, sf):
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" Blog "), "source")).when(F.col("doc_id") % 3 == 1, F.lit("네이버 카페")).otherwise(F.upper("source"))
+    return table(spark, sf, "documents").select("doc_id", values.map_channel(raw).alias("ch"), values.label(F.col("lang"), {"de": "German", "en": "English"}).alias("name"))
+
+
+@query("json_props", """SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value, len(json_keys(props))::BIGINT AS n FROM events""")
+def json_props(spark, sf):
+    m = F.from_json("props", "map<string,string>")
+    return table(spark, sf, "events").select("event_id", F.element_at(F.map_values(m), 1).alias("first_value"), F.size(m).cast("bigint").alias("n"))
+
+
+@query("numbers_and_lengths", """SELECT event_id, CAST(trunc(value) AS INT) AS whole, length(props)::BIGINT AS chars, strftime(make_timestamp(epoch_us(ts)), '%Y%m%d') AS day FROM events""")
+def numbers_and_lengths(spark, sf):
+    e = table(spark, sf, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")).cast("string"))
+    return e.select("event_id", values.to_count(F.col("value").cast("string")).alias("whole"), F.length("props").cast("bigint").alias("chars"), values.day_of_millis(F.col("ms")).alias("day"))
+
+
+@query("options_and_delimited", """SELECT conv_id, count(*)::BIGINT AS n, string_agg(role, ' || ' ORDER BY turn) AS roles,
+  (SELECT count(DISTINCT x) FROM unnest(list(role)) AS t(x))::BIGINT AS n_options FROM conversations GROUP BY conv_id""")
+def options_and_delimited(spark, sf):
+    c = conversation_lists(spark, sf)
+    joined = nested.join_delimited(F.transform("said", lambda x: x["role"]))
+    return c.select("conv_id", F.size(nested.split_delimited(joined)).cast("bigint").alias("n"), joined.alias("roles"), F.size(nested.split_options(F.replace(joined, F.lit(" || "), F.lit(", ")))).cast("bigint").alias("n_options"))
+
+
+# --- comments
+
+
+def conversation_lists(spark, sf) -> DataFrame:
+    """Each conversation's turns in order: a post's comments, few by nature."""
+    rows = F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("said")
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(rows)
+
+
+def conversation_posts(spark, sf) -> DataFrame:
+    c = conversation_lists(spark, sf)
+    crawled = F.transform("said", lambda x: F.struct(x["text"].alias("text"), F.lit("2024.03.05. 10:00").alias("time"), x["turn"].cast("string").alias("like_count")))
+    return c.select("conv_id", F.to_json(crawled).alias("comments_json"), "said")
+
+
+COMMENT_SQL = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place, turn, role, text FROM conversations"
+
+
+@query("comment_build", f"""SELECT conv_id, count(*)::BIGINT AS n, sum(turn)::BIGINT AS likes, string_agg(trim(text), '|' ORDER BY place) AS contents, '2024-03-05' AS first_date FROM ({COMMENT_SQL}) GROUP BY conv_id""")
+def comment_build(spark, sf):
+    none = F.lit("")
+    c = conversation_posts(spark, sf).withColumn("c", nested.build_comments(F.col("comments_json"), none, none, none))
+    return c.select("conv_id", F.size("c").cast("bigint").alias("n"), F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + x["comment_like"]).alias("likes"),
+        F.array_join(nested.contents(F.col("c")), "|").alias("contents"), F.col("c")[0]["comment_date"].alias("first_date"))
+
+
+@query("comment_build_delimited", f"""SELECT conv_id, count(*)::BIGINT AS n, sum(CASE WHEN place = 0 THEN 0 ELSE 7 END)::BIGINT AS likes FROM ({COMMENT_SQL}) GROUP BY conv_id""")
+def comment_build_delimited(spark, sf):
+    c = conversation_lists(spark, sf)
+    roles = nested.join_delimited(F.transform("said", lambda x: x["role"]))
+    likes = nested.join_delimited(F.transform("said", lambda x, i: F.when(i == 0, F.lit("x")).otherwise(F.lit("7.0"))))
+    c = c.withColumn("c", nested.build_comments(F.lit(None).cast("string"), roles, F.lit("2024-01-01"), likes))
+    return c.select("conv_id", F.size("c").cast("bigint").alias("n"), F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + x["comment_like"]).alias("likes"))
+
+
+@query("comment_explode", f"SELECT conv_id, place::INT AS comment_idx, role, length(text)::INT AS chars FROM ({COMMENT_SQL})")
+def comment_explode(spark, sf):
+    c = conversation_lists(spark, sf)
+    both = F.arrays_zip(F.transform("said", lambda x: x["role"]).alias("role"), F.transform("said", lambda x: F.length(x["text"])).alias("chars"))
+    return c.select("conv_id", F.posexplode(both).alias("comment_idx", "c")).select("conv_id", "comment_idx", "c.role", "c.chars")
+
+
+@query("comment_clean", rf"""SELECT conv_id, string_agg(cleaned, '|' ORDER BY place) AS cleaned, count(*) FILTER (cleaned <> '')::BIGINT AS kept FROM (SELECT *, trim(regexp_replace(regexp_replace(text, '[^가-힣a-zA-Z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS cleaned FROM ({COMMENT_SQL})) GROUP BY conv_id""")
+def comment_clean(spark, sf):
+    as_json = F.to_json(F.transform("said", lambda x: F.struct(x["text"].alias("content"), x["turn"].cast("string").alias("comment_like"))))
+    plain = F.transform("said", lambda x: F.struct(x["text"].alias("comment_content"), x["turn"].cast("string").alias("comment_like"), F.lit(" d ").alias("comment_date")))
+    c = conversation_lists(spark, sf).select("conv_id", nested.clean_comments(plain).alias("a"), nested.clean_comments_strict(as_json).alias("b"))
+    return c.select("conv_id", F.array_join(nested.contents(F.col("a")), "|").alias("cleaned"), F.size("b").cast("bigint").alias("kept"))
+
+
+@query("complete_meta", """SELECT conv_id, count(*) >= 3 AND count(*) <= 6 AS complete FROM conversations GROUP BY conv_id""")
+def complete_meta(spark, sf):
+    c = conversation_lists(spark, sf)
+    roles = nested.join_delimited(F.transform("said", lambda x: x["role"]))
+    likes = nested.join_delimited(F.transform("said", lambda x: F.lit("3")))
+    count = F.when(F.size("said") >= 3, F.size("said")).otherwise(0).cast("string")
+    rows = c.select("conv_id", F.lit("t").alias("title"), F.lit("c").alias("content"), F.lit("1").alias("post_like_count"), F.lit(None).cast("string").alias("like_count"),
+        roles.alias("comments_text"), roles.alias("comment_times"), likes.alias("comment_like_counts"), count.alias("comment_count"))
+    return rows.select("conv_id", filters.complete_comment_meta(6).alias("complete"))
+
+
+@query("reparse_targets", """SELECT conv_id FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) WHERE conv_id % 2 = 0 AND n > 0""")
+def reparse_targets(spark, sf):
+    c = conversation_lists(spark, sf).select("conv_id", F.when(F.col("conv_id") % 2 == 1, "t").alias("comment_times"), F.lit("1").alias("comment_like_counts"), F.size("said").cast("string").alias("comment_count"))
+    return filters.to_reparse(c, order="conv_id").select("conv_id")
+
+
+@query("flatten_concat_filter", rf"""WITH {POSTS_SQL}, w AS (SELECT rid, regexp_extract_all(lower(doc), '[\p{{L}}\p{{N}}_]{{2,}}') AS d, regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]{{2,}}') AS t FROM posts)
+  SELECT rid, len(list_concat(t, d))::BIGINT AS n, array_to_string(list_filter(list_concat(t, d), lambda x: x NOT IN {STOP_SQL}), ' ') AS kept,
+  len(list_filter(d, lambda x: x NOT IN {STOP_SQL} AND length(x) >= 4))::BIGINT AS long_ones FROM w""")
+def flatten_concat_filter(spark, sf):
+    stop = F.array(*[F.lit(w) for w in STOP])
+    p = posts(spark, sf).select("rid", text.words(F.col("title")).alias("t"), text.words(F.col("doc")).alias("d"))
+    both = nested.concat_tokens(F.col("t"), nested.flatten_tokens(F.array("d", F.lit(None).cast("array<string>"))))
+    return p.select("rid", F.size(both).cast("bigint").alias("n"), F.array_join(nested.without(both, stop), " ").alias("kept"),
+        F.size(nested.without_nested(F.array("d"), stop, 4)[0]).cast("bigint").alias("long_ones"))
+
+
+# --- schema, filters, joins, sets
+
+
+@query("prepare_posts", rf"""WITH {POSTS_SQL} SELECT title, section, doc, coalesce(toxic, 0)::BIGINT AS "like", 'blog' AS ch, '2024-02-03' AS date FROM posts LEFT JOIN labels ON rid = doc_id""")
+def prepare_posts(spark, sf):
+    l = table(spark, sf, "labels").select(F.col("doc_id").alias("rid"), "toxic")
+    raw = posts(spark, sf).join(l, "rid", "left").select("title", F.col("doc").alias("content"), F.col("toxic").cast("string").alias("like_count"), F.lit("3").alias("comment_count"), F.lit("Blog").alias("source"), F.col("section").cast("string").alias("section"), F.lit("20240203").alias("date"))
+    return normalize.prepare(raw).select("title", "section", "doc", "like", "ch", "date")
+
+
+@query("backfill_columns", """SELECT url, '' AS title, 'web' AS source, url AS canonical_url FROM (SELECT 'https://blog.naver.com/a/' || page_id AS url FROM pages)""")
+def backfill_columns(spark, sf):
+    p = table(spark, sf, "pages").select(F.concat(F.lit("https://blog.naver.com/a/"), F.col("page_id").cast("string")).alias("url"))
+    return front_columns(normalize.backfill_columns(p, "web")).select("url", "title", "source", "canonical_url")
+
+
+@query("min_len", rf"WITH {POSTS_SQL} SELECT rid, length(doc)::INT AS n FROM posts WHERE length(doc) >= 500")
+def min_len(spark, sf):
+    return filters.min_length(filters.with_text(posts(spark, sf)), "doc", 500).select("rid", F.length("doc").alias("n"))
+
+
+@query("changed_rows", rf"""WITH {POSTS_SQL} SELECT rid FROM posts WHERE trim(regexp_replace(title, '\s+', ' ', 'g')) IS DISTINCT FROM title""")
+def changed_rows(spark, sf):
+    p = posts(spark, sf).withColumn("title_new", text.normalize_text(F.col("title")))
+    return p.where(filters.changed(["title"], ["title_new"])).select("rid")
+
+
+URL_SQL = "'https://m.blog.naver.com/b' || (page_id % 40) || '/' || (page_id % 100)"
+
+
+def _post_urls(spark, sf) -> DataFrame:
+    k = F.col("page_id")
+    s = lambda c: c.cast("string")
+    forms = F.when(k % 3 == 0, F.concat(F.lit("//blog.naver.com/PostView.naver?blogId=b"), s(k % 40), F.lit("&amp;logNo="), s(k % 100))).when(
+        k % 3 == 1, F.concat(F.lit("https:\\/\\/m.blog.naver.com\\/b"), s(k % 40), F.lit("\\/"), s(k % 100))
+    )
+    return table(spark, sf, "pages").select("page_id", forms.otherwise(F.concat(F.lit("http://blog.naver.com/b"), s(k % 40), F.lit("/"), s(k % 100), F.lit("?x=1"))).alias("url"), F.col("url").alias("other"))
+
+
+@query("url_canon", f"SELECT page_id, replace({URL_SQL}, 'https://m.', 'https://') AS canonical, {URL_SQL} AS mobile, url AS other_mobile FROM pages")
+def url_canon(spark, sf):
+    u = F.col("url")
+    return _post_urls(spark, sf).select("page_id", urls.canonical_post_url(u).alias("canonical"), urls.to_mobile_url(u).alias("mobile"), urls.to_mobile_url(F.col("other")).alias("other_mobile"))
+
+
+@query("url_dedupe_first", f"SELECT {URL_SQL} AS mobile, min(page_id) AS rid FROM pages GROUP BY 1")
+def url_dedupe_first(spark, sf):
+    kept = dedupe.dedupe_urls(_post_urls(spark, sf).withColumnRenamed("page_id", "rid"))
+    return kept.select(urls.to_mobile_url(F.col("canonical_url")).alias("mobile"), "rid")
+
+
+@query("search_urls", """SELECT n_nationkey, 'https://search.naver.com/search.naver?ssc=tab.blog.all&query=' || replace(n_name, ' ', '+') || '&sm=tab_opt&nso=so%3Ar%2Cp%3Afrom20240101to20240101' AS address FROM nation""")
+def search_urls(spark, sf):
+    return table(spark, sf, "nation").select("n_nationkey", urls.build_search_url(F.col("n_name"), F.lit("20240101"), F.lit("r")).alias("address"))
+
+
+@query("link_extract", r"""SELECT page_id, count(*)::BIGINT AS n, string_agg(h, ' ' ORDER BY h) AS links FROM (SELECT DISTINCT page_id, h FROM (
+  SELECT page_id, unnest(list_transform(regexp_extract_all(html, 'href="(/[A-Za-z]+)"', 1), lambda x: 'https://blog.naver.com' || lower(x) || '/7')) AS h FROM pages)) GROUP BY page_id""")
+def link_extract(spark, sf):
+    linked = F.regexp_replace("html", r'href="(/[A-Za-z]+)"', r'href="https://blog.naver.com$1/7"')
+    found = F.transform(urls.extract_post_links(linked), lambda x: F.lower(x))
+    p = table(spark, sf, "pages").select("page_id", F.array_sort(F.array_distinct(found)).alias("l")).where(F.size("l") > 0)
+    return p.select("page_id", F.size("l").cast("bigint").alias("n"), F.array_join("l", " ").alias("links"))
+
+
+@query("page_title", r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages")
+def page_title(spark, sf):
+    return pages.page_titles(table(spark, sf, "pages")).select("page_id", "title")
+
+
+@query("parse_pages")
+def parse_pages(spark, sf):
+    profile = pages.Profile(title=("title",), content=("article",))
+    return pages.parse_pages(table(spark, sf, "pages"), "html", ("page_id",), profile).select("page_id", "title", "content", "comment_count", "post_like_count")
+
+
+@query("snapshots_largest", "SELECT event_type, max(n)::INT AS n FROM (SELECT event_type, user_id % 7 + 1 AS n FROM events) GROUP BY event_type")
+def snapshots_largest(spark, sf):
+    e = table(spark, sf, "events").select("event_type", F.sequence(F.lit(1), (F.col("user_id") % 7 + 1).cast("int")).alias("links"))
+    return relate.snapshots_largest(e, ["event_type"]).select("event_type", F.size("links").alias("n"))
+
+
+@query("resume_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def resume_anti(spark, sf):
+    return relate.unseen(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+
+
+@query("keyword_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def keyword_semi(spark, sf):
+    urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").withColumnRenamed("o_custkey", "c_custkey")
+    return filters.among_top(table(spark, sf, "customer"), urgent, "c_custkey").select("c_custkey")
+
+
+@query("size_left_join", "SELECT n_name, n_nationkey, cluster_size FROM nation LEFT JOIN (SELECT c_nationkey, count(*)::BIGINT AS cluster_size FROM customer WHERE c_nationkey < 20 GROUP BY 1) ON n_nationkey = c_nationkey")
+def size_left_join(spark, sf):
+    sizes = table(spark, sf, "customer").where("c_nationkey < 20").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("cluster_size"))
+    return relate.left_lookup(table(spark, sf, "nation"), sizes, "n_nationkey").select("n_name", "n_nationkey", "cluster_size")
+
+
+@query("update_join", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_name END AS c_name, c_nationkey FROM customer")
+def update_join(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    return relate.update_columns(c, c.where("c_custkey % 5 = 0").select("c_custkey", F.lit(None).cast("string").alias("c_name")), "c_custkey", ["c_name"])
+
+
+@query("attach_links", "SELECT o_orderkey, c_custkey, c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey")
+def attach_links(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), F.lit("old").alias("name"))
+    return relate.attach(o, table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("name")), "c_custkey").select("o_orderkey", "c_custkey", "name")
+
+
+@query("union_sources", "SELECT doc_id AS id, text, source FROM documents UNION ALL SELECT item_id, text, NULL FROM benchmark")
+def union_sources(spark, sf):
+    a = normalize.rename(table(spark, sf, "documents").select("doc_id", "text", "source"), doc_id="id")
+    return relate.append(a, normalize.rename(table(spark, sf, "benchmark"), item_id="id"))
+
+
+@query("set_union_venn", f"""WITH {TOKENS_SQL}, a AS (SELECT DISTINCT keyword FROM tokens WHERE section = 2), b AS (SELECT DISTINCT keyword FROM tokens WHERE section = 4)
+  SELECT (SELECT count(*) FROM (FROM a EXCEPT FROM b))::BIGINT AS only_a, (SELECT count(*) FROM (FROM b EXCEPT FROM a))::BIGINT AS only_b, (SELECT count(*) FROM (FROM a INTERSECT FROM b))::BIGINT AS "both" """)
+def set_union_venn(spark, sf):
+    t = post_words(spark, sf)
+    return relate.venn(t.where("section = 2"), t.where("section = 4"))
+
+
+@query("next_section", "SELECT lang, n::BIGINT AS n, lead(lang) OVER (ORDER BY lang) AS next_lang, lead(n) OVER (ORDER BY lang)::BIGINT AS next_n FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)")
+def next_section(spark, sf):
+    return relate.next_row(table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n")), "lang", ["lang", "n"])
+
+
+@query("row_ids", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS rid FROM orders")
+def row_ids(spark, sf):
+    return normalize.with_rid(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").select("o_orderkey", "rid")
+
+
+@query("first_per_query", "SELECT o_custkey, o_orderkey, rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INT AS rank FROM orders) WHERE rank <= 3")
+def first_per_query(spark, sf):
+    return relate.first_of_each(table(spark, sf, "orders"), 3, ["o_custkey"], "o_orderdate", "o_orderkey", rank="rank").select("o_custkey", "o_orderkey", "rank")
+
+
+@query("head_rows", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def head_rows(spark, sf):
+    return relate.first_rows(table(spark, sf, "orders"), 20, F.desc("o_totalprice"), "o_orderkey").select("o_orderkey")
+
+
+@query("seeded_sample")
+def seeded_sample(spark, sf):
+    return relate.seeded_sample(table(spark, sf, "documents").select("doc_id", "lang"), 10, "doc_id")
+
+
+@query("calendar_days", """SELECT section, strftime(d, '%Y%m%d') AS date FROM (VALUES ('1구간', DATE '2024-01-01', DATE '2024-03-31'), ('2구간', DATE '2024-04-01', DATE '2024-06-30'),
+  ('3구간', DATE '2024-07-01', DATE '2024-12-31'), ('4구간', DATE '2025-01-01', DATE '2025-06-30')) AS p(section, a, b), LATERAL (SELECT unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 DAY)) AS d)""")
+def calendar_days(spark, sf):
+    return calendar(spark)
+
+
+# --- duplicates
+
+
+@query("dedupe_exact_first", "SELECT min(doc_id) AS rid, md5(text) AS h FROM documents GROUP BY text")
+def dedupe_exact_first(spark, sf):
+    return dedupe.ordered_distinct(posts(spark, sf), "doc", "rid").select("rid", F.md5("doc").alias("h"))
+
+
+@query("neardup_v1")
+def neardup_v1(spark, sf):
+    kept, _ = dedupe.drop_similar(posts(spark, sf).withColumn("date", F.lit("")))
+    return kept.select("rid", "group_rid", "section")
+
+
+@query("dup_log")
+def dup_log(spark, sf):
+    return dedupe.drop_similar(posts(spark, sf).withColumn("date", F.lit("")))[1].select("removed_index", "kept_index", "title", "similarity")
+
+
+@query("neardup_v2")
+def neardup_v2(spark, sf):
+    return dedupe.drop_any_similar(posts(spark, sf)).select("rid", "section")
+
+
+# --- words
+
+
+@query("term_freq", f"WITH {TOKENS_SQL} SELECT keyword, count(*)::BIGINT AS count FROM tokens GROUP BY keyword")
+def term_freq(spark, sf):
+    return tokens.frequencies(post_words(spark, sf))
+
+
+@query("term_freq_section", f"WITH {COUNTS_SQL} SELECT section, keyword, n::BIGINT AS count FROM counts")
+def term_freq_section(spark, sf):
+    return tokens.frequencies(post_words(spark, sf), ["section"])
+
+
+TOP20_SQL = f"""WITH {COUNTS_SQL} SELECT section, keyword, n::BIGINT AS count, rank FROM
+  (SELECT *, row_number() OVER (PARTITION BY section ORDER BY n DESC, keyword)::INT AS rank FROM counts WHERE keyword NOT IN {STOP_SQL}) WHERE rank <= 20"""
+
+
+@query("top20_section", TOP20_SQL)
+def top20_section(spark, sf):
+    kept = tokens.without_words(post_words(spark, sf), stop_words(spark))
+    return tokens.top_words(tokens.frequencies(kept, ["section"]), 20, ["section"]).select("section", "keyword", "count", "rank")
+
+
+@query("global_top30", f"WITH {TOKENS_SQL} SELECT keyword, count(*)::BIGINT AS count, row_number() OVER (ORDER BY count(*) DESC, keyword)::INT AS rank FROM tokens GROUP BY keyword ORDER BY rank LIMIT 30")
+def global_top30(spark, sf):
+    return tokens.top_words(tokens.frequencies(post_words(spark, sf)), 30)
+
+
+@query("whitespace_terms", rf"""WITH {POSTS_SQL} SELECT keyword, count(*)::BIGINT AS count FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(doc), '\s+'), lambda x: x <> '')) AS keyword FROM posts) GROUP BY keyword""")
+def whitespace_terms(spark, sf):
+    return tokens.frequencies(tokens.token_rows(posts(spark, sf), text.whitespace_tokens(F.col("doc"))))
+
+
+AUTO_SQL = f"""{COUNTS_SQL}, base AS (SELECT * FROM counts WHERE keyword NOT IN {STOP_SQL}),
+own AS (SELECT section, keyword FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY n DESC, keyword) AS r FROM base) WHERE r <= 20),
+every AS (SELECT keyword FROM base GROUP BY keyword ORDER BY sum(n) DESC, keyword LIMIT 30)"""
+
+
+@query("auto_stopwords", f"WITH {AUTO_SQL} SELECT section, keyword FROM own UNION ALL SELECT NULL, keyword FROM every")
+def auto_stopwords(spark, sf):
+    return tokens.automatic_stopwords(post_words(spark, sf), stop_words(spark))
+
+
+@query("stopword_final", f"""WITH {AUTO_SQL} SELECT section, keyword, n::BIGINT AS count FROM counts c WHERE keyword NOT IN {STOP_SQL} AND keyword NOT IN (FROM every)
+  AND NOT EXISTS (SELECT 1 FROM own o WHERE o.section = c.section AND o.keyword = c.keyword)""")
+def stopword_final(spark, sf):
+    t, base = post_words(spark, sf), stop_words(spark)
+    return tokens.frequencies(tokens.finally_without(t, base, tokens.automatic_stopwords(t, base)), ["section"])
+
+
+@query("user_stopwords", "SELECT * FROM (VALUES ('base', 107::BIGINT), ('topic', 18), ('admission', 38), ('geo', 14)) AS t(category, n)")
+def user_stopword_sizes(spark, sf):
+    return user_stopwords(spark).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("sticky_score", f"""WITH {POST_WEIGHTS_SQL}, size AS (SELECT section, count(DISTINCT rid) AS d FROM tokens GROUP BY section),
+  means AS (SELECT section, keyword, sum(tfidf) / any_value(size.d) AS m FROM weights JOIN (SELECT DISTINCT rid, section FROM tokens) USING (rid) JOIN size USING (section) GROUP BY ALL),
+  top AS (SELECT keyword, max(m) AS m FROM means GROUP BY keyword)
+  SELECT keyword, df::BIGINT AS doc_freq, round(df / (1 + 1000 * m), 6) AS sticky_score FROM dfs JOIN top USING (keyword)""")
+def sticky_score(spark, sf):
+    return tokens.sticky_scores(post_words(spark, sf)).withColumn("sticky_score", r("sticky_score"))
+
+
+@query("tokenize_pos")
+def tokenize_pos(spark, sf):
+    tag = tokens.tagged(tokens.regex_analyser)
+    p = posts(spark, sf).select("rid", tag(F.col("doc")).alias("t"))
+    return p.select("rid", F.size("t").alias("n_tokens"), F.size(filters.by_pos(F.col("t"), tokens.NOUNS, 2)).alias("n_nouns"))
+
+
+# --- weights
+
+
+@query("df_prune", f"WITH {TOKENS_SQL}, tf AS (SELECT rid, keyword, count(*) AS tf FROM tokens GROUP BY ALL), d AS (SELECT keyword, count(*) AS df FROM tf GROUP BY keyword) SELECT rid, keyword, tf::BIGINT AS tf FROM tf WHERE keyword IN (SELECT keyword FROM d WHERE df >= 5 AND df <= 0.85 * (SELECT count(DISTINCT rid) FROM tf))")
+def df_prune(spark, sf):
+    return tfidf.prune(tfidf.term_counts(post_words(spark, sf), ["rid"]), ["rid"])
+
+
+def section_weights(spark, sf) -> DataFrame:
+    return tfidf.tfidf(post_words(spark, sf), ["section"])
+
+
+@query("section_tfidf", f"WITH {SECTION_WEIGHTS_SQL} SELECT section, keyword, round(tfidf, 6) AS tfidf FROM weights")
+def section_tfidf(spark, sf):
+    return section_weights(spark, sf).withColumn("tfidf", r("tfidf"))
+
+
+@query("tfidf_top20", f"WITH {SECTION_WEIGHTS_SQL} SELECT section, rank, round(tfidf, 6) AS tfidf FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY tfidf DESC, keyword)::INT AS rank FROM weights) WHERE rank <= 20")
+def tfidf_top20(spark, sf):
+    return tfidf.top_terms(section_weights(spark, sf), 20, ["section"]).select("section", "rank", r("tfidf").alias("tfidf"))
+
+
+@query("mean_tfidf", f"WITH {POST_WEIGHTS_SQL} SELECT keyword, round(sum(tfidf) / (SELECT count(*) FROM posts), 6) AS mean_tfidf FROM weights GROUP BY keyword")
+def mean_tfidf(spark, sf):
+    return tfidf.mean_tfidf(tfidf.tfidf(post_words(spark, sf), ["rid"]), posts(spark, sf)).withColumn("mean_tfidf", r("mean_tfidf"))
+
+
+@query("tfidf_heatmap", f"""WITH {SECTION_WEIGHTS_SQL}, top AS (SELECT keyword, row_number() OVER (ORDER BY max(tfidf) DESC, keyword) AS place FROM weights GROUP BY keyword ORDER BY place LIMIT 20)
+  SELECT section, place::INT AS place, round(coalesce(tfidf, 0), 6) AS tfidf FROM (SELECT DISTINCT section FROM counts) CROSS JOIN top LEFT JOIN weights USING (section, keyword)""")
+def tfidf_heatmap(spark, sf):
+    wide, names = tfidf.heatmap(section_weights(spark, sf))
+    pairs = ", ".join(f"{i}, `{n}`" for i, n in enumerate(names, 1))
+    return wide.selectExpr("section", f"stack({len(names)}, {pairs}) as (place, tfidf)").withColumn("tfidf", r("tfidf"))
+
+
+@query("cosine_adjacent", f"""WITH {SECTION_WEIGHTS_SQL} SELECT a.section::VARCHAR || '→' || b.section::VARCHAR AS transition, round(sum(a.tfidf * b.tfidf), 6) AS cosine_similarity
+  FROM weights a JOIN weights b ON a.keyword = b.keyword AND b.section = a.section + 1 GROUP BY a.section, b.section""")
+def cosine_adjacent(spark, sf):
+    return tfidf.cosine_adjacent(section_weights(spark, sf)).withColumn("cosine_similarity", r("cosine_similarity"))
+
+
+@query("transitions", f"""WITH {COUNTS_SQL}, top AS (SELECT section, list(keyword) AS w FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY n DESC, keyword) AS r FROM counts) WHERE r <= 20 GROUP BY section)
+  SELECT a.section::VARCHAR || '→' || b.section::VARCHAR AS transition, len(list_intersect(a.w, b.w))::BIGINT AS overlap_n, len(list_filter(b.w, lambda x: NOT list_contains(a.w, x)))::BIGINT AS new_n,
+  len(list_filter(a.w, lambda x: NOT list_contains(b.w, x)))::BIGINT AS gone_n, array_to_string(list_sort(list_intersect(a.w, b.w)), ' ') AS overlap,
+  array_to_string(list_sort(list_filter(b.w, lambda x: NOT list_contains(a.w, x))), ' ') AS new FROM top a JOIN top b ON b.section = a.section + 1""")
+def transitions(spark, sf):
+    top = tokens.top_words(tokens.frequencies(post_words(spark, sf), ["section"]), 20, ["section"])
+    return tokens.transitions(top).withColumns({c: F.array_join(c, " ") for c in ("overlap", "new")}).drop("gone")
+
+
+# --- sections and distributions
+
+
+@query("section_rollup", """SELECT section, strftime(min(d), '%Y-%m-%d') AS first, strftime(max(d), '%Y-%m-%d') AS last, count(*)::BIGINT AS post_count, section::VARCHAR || '구간 (' || strftime(min(d), '%Y.%m.%d') || '~' || strftime(max(d), '%Y.%m.%d') || ')' AS section_label
+  FROM (SELECT o_orderkey % 4 + 1 AS section, o_orderdate AS d FROM orders) GROUP BY section""")
+def section_rollup(spark, sf):
+    o = table(spark, sf, "orders").select((F.col("o_orderkey") % 4 + 1).alias("section"), F.col("o_orderdate").cast("date").alias("date"))
+    return tokens.section_rollup(o).select("section", F.date_format("period_start", "yyyy-MM-dd").alias("first"), F.date_format("period_end", "yyyy-MM-dd").alias("last"), "post_count", "section_label")
+
+
+HHI_SQL = "SELECT section, round(sum(power(n / t, 2)), 6) AS hhi_top20 FROM (SELECT section, n, sum(n) OVER (PARTITION BY section) AS t FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY n DESC, keyword) AS r FROM counts) WHERE r <= 20) GROUP BY section"
+
+
+@query("hhi_top20", f"WITH {COUNTS_SQL} {HHI_SQL}")
+def hhi_top20(spark, sf):
+    return tokens.concentration(tokens.frequencies(post_words(spark, sf), ["section"])).withColumn("hhi_top20", r("hhi_top20"))
+
+
+@query("section_metrics", f"""WITH {COUNTS_SQL}, h AS ({HHI_SQL}) SELECT p.section, post_count::BIGINT AS post_count, coalesce(noun_count, 0)::BIGINT AS noun_count, coalesce(unique_noun_count, 0)::BIGINT AS unique_noun_count, hhi_top20
+  FROM (SELECT section, count(*) AS post_count FROM posts GROUP BY section) p LEFT JOIN (SELECT section, sum(n) AS noun_count, count(*) AS unique_noun_count FROM counts GROUP BY section) c ON c.section = p.section LEFT JOIN h ON h.section = p.section""")
+def section_metrics(spark, sf):
+    return tokens.section_metrics(posts(spark, sf), post_words(spark, sf)).withColumn("hhi_top20", r("hhi_top20"))
+
+
+LABELLED_SQL = f"{POSTS_SQL}, marked AS (SELECT section, lang, quality + 2 * toxic AS cluster FROM posts JOIN labels ON rid = doc_id)"
+
+
+def labelled(spark, sf) -> DataFrame:
+    l = table(spark, sf, "labels").select(F.col("doc_id").alias("rid"), (F.col("quality") + 2 * F.col("toxic")).alias("cluster"))
+    return posts(spark, sf).join(l, "rid")
+
+
+SHARE_SQL = "SELECT section, lang, cluster, count(*)::BIGINT AS doc_count, sum(count(*)) OVER (PARTITION BY section)::BIGINT AS section_total, count(*) / sum(count(*)) OVER (PARTITION BY section) AS ratio FROM marked GROUP BY section, lang, cluster"
+
+
+@query("section_distribution", f"WITH {LABELLED_SQL} SELECT * REPLACE (round(ratio, 6) AS ratio) FROM ({SHARE_SQL})")
+def section_distribution(spark, sf):
+    return stats.share_table(labelled(spark, sf), "cluster", ["section", "lang"]).withColumn("ratio", r("ratio"))
+
+
+@query("pivot_share", f"WITH {LABELLED_SQL}, s AS ({SHARE_SQL}) SELECT section, " + ", ".join(f"round(coalesce(max(ratio) FILTER (cluster = {i}), 0), 6) AS c{i}" for i in range(4)) + " FROM s GROUP BY section")
+def pivot_share(spark, sf):
+    wide = stats.share_matrix(stats.share_table(labelled(spark, sf), "cluster", ["section"]), "section", "cluster", [0, 1, 2, 3])
+    return wide.select("section", *[r(F.col(f"`{i}`")).alias(f"c{i}") for i in range(4)])
+
+
+@query("value_counts", f"WITH {LABELLED_SQL} SELECT cluster, count(*)::BIGINT AS count FROM marked GROUP BY cluster")
+def value_counts(spark, sf):
+    return stats.value_counts(labelled(spark, sf), "cluster")
+
+
+@query("distinct_titles", f"WITH {POSTS_SQL} SELECT count(DISTINCT coalesce(title, chr(0)))::BIGINT AS n FROM posts")
+def distinct_titles(spark, sf):
+    return stats.distinct_with_null(posts(spark, sf), "title")
+
+
+@query("describe", "SELECT c AS \"column\", count(v)::BIGINT AS count, round(avg(v), 2) AS mean, round(stddev_samp(v), 2) AS std, round(min(v), 2) AS min, round(quantile_cont(v, 0.25), 2) AS q1, round(quantile_cont(v, 0.5), 2) AS median, round(quantile_cont(v, 0.75), 2) AS q3, round(max(v), 2) AS max FROM (SELECT 'l_quantity' AS c, l_quantity AS v FROM lineitem UNION ALL SELECT 'l_tax', l_tax FROM lineitem) GROUP BY c")
+def describe(spark, sf):
+    return stats.describe(table(spark, sf, "lineitem"), ["l_quantity", "l_tax"])
+
+
+@query("quantile_cap", "SELECT round(greatest(quantile_cont(o_totalprice, 0.99), 1), 4) AS cap FROM orders")
+def quantile_cap(spark, sf):
+    return stats.plot_cap(table(spark, sf, "orders"), "o_totalprice").select(r("cap", 4).alias("cap"))
+
+
+@query("box_stats", """WITH q AS (SELECT l_returnflag AS g, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1),
+  m AS (SELECT q.*, l_extendedprice AS v, l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM lineitem JOIN q ON l_returnflag = g)
+  SELECT g AS l_returnflag, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, min(v) FILTER (inside) AS whisker_low, max(v) FILTER (inside) AS whisker_high, count(*) FILTER (NOT inside)::BIGINT AS outliers FROM m GROUP BY g, q1, median, q3""")
+def box_stats(spark, sf):
+    b = stats.box_stats(table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag")
+    return b.withColumns({c: r(c, 4) for c in ("q1", "median", "q3")})
+
+
+@query("ordered_keywords", f"WITH {COUNTS_SQL} SELECT section, string_agg(keyword, ' ' ORDER BY r) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY n DESC, keyword) AS r FROM counts) WHERE r <= 15 GROUP BY section")
+def ordered_keywords(spark, sf):
+    top = tokens.top_words(tokens.frequencies(post_words(spark, sf), ["section"]), 15, ["section"])
+    return stats.ordered_list(top, "section", "rank", "keyword").select("section", F.array_join("keywords", " ").alias("keywords"))
+
+
+@query("preprocess_report", rf"""WITH {POSTS_SQL}, n AS (SELECT *, trim(regexp_replace(title, '\s+', ' ', 'g')) AS t2, trim(regexp_replace(doc, '\s+', ' ', 'g')) AS d2 FROM posts),
+  c AS (SELECT count(*) AS b, count(DISTINCT doc) AS a, count(*) FILTER (t2 <> title) AS t, count(*) FILTER (d2 <> doc) AS d FROM n)
+  SELECT unnest(['전처리 전 행 수', '전처리 후 행 수', '제거된 행 수', '제목 변경 행 수', '본문 변경 행 수', '댓글 변경 행 수']) AS metric, unnest([b, a, b - a, t, d, 0])::BIGINT AS value FROM c""")
+def preprocess_report(spark, sf):
+    p = posts(spark, sf)
+    rows = p.withColumns({"title_new": text.normalize_text(F.col("title")), "doc_new": text.normalize_text(F.col("doc")), "comments": F.array(F.lit("a")), "comments_new": F.array(F.lit("a"))})
+    return stats.preprocess_report(rows, dedupe.dedupe_rows(p, ["doc"]))
+
+
+@query("change_preview", rf"""WITH {POSTS_SQL}, n AS (SELECT rid, title, doc, trim(regexp_replace(title, '\s+', ' ', 'g')) AS t2, trim(regexp_replace(doc, '\s+', ' ', 'g')) AS d2 FROM posts)
+  SELECT rid, title AS title_before, t2 AS title_after, doc AS doc_before, d2 AS doc_after, '' AS comment_before, '' AS comment_after FROM n WHERE t2 <> title OR d2 <> doc ORDER BY rid LIMIT 10""")
+def change_preview(spark, sf):
+    rows = posts(spark, sf).withColumns({"title_new": text.normalize_text(F.col("title")), "doc_new": text.normalize_text(F.col("doc")), "comment": F.lit(""), "comment_new": F.lit("")})
+    return stats.change_preview(rows)
+
+
+@query("sentiment", f"""WITH {TOKENS_SQL}, s AS (SELECT rid, section, sum(CASE keyword WHEN 'and' THEN 1 WHEN 'und' THEN 1 WHEN 'of' THEN -1 WHEN 'der' THEN -1 ELSE 0 END) AS p FROM tokens GROUP BY ALL)
+  SELECT section, CASE WHEN p > 0 THEN 'positive' WHEN p < 0 THEN 'negative' ELSE 'neutral' END AS sentiment, count(*)::BIGINT AS doc_count FROM s GROUP BY ALL""")
+def sentiment(spark, sf):
+    lexicon = spark.createDataFrame([("and", 1), ("und", 1), ("of", -1), ("der", -1)], "keyword string, polarity int")
+    return stats.sentiment_shares(post_words(spark, sf), F.broadcast(lexicon)).select("section", "sentiment", "doc_count")
+
+
+# --- models
+
+
+@query("centroid_terms", f"""WITH {POST_WEIGHTS_SQL}, c AS (SELECT rid, section AS cluster FROM posts), s AS (SELECT cluster, count(*) AS cluster_size FROM c GROUP BY cluster),
+  m AS (SELECT cluster, keyword, sum(tfidf) / any_value(cluster_size) AS weight, any_value(cluster_size) AS cluster_size FROM weights JOIN c USING (rid) JOIN s USING (cluster) GROUP BY ALL)
+  SELECT cluster, rank, round(weight, 6) AS weight, cluster_size::BIGINT AS cluster_size FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, keyword)::INT AS rank FROM m) WHERE rank <= 15""")
+def centroid_terms(spark, sf):
+    clusters = posts(spark, sf).select("rid", F.col("section").alias("cluster"))
+    out = ml.centroid_terms(tfidf.tfidf(post_words(spark, sf), ["rid"]), clusters)
+    return out.select("cluster", "rank", r("weight").alias("weight"), "cluster_size")
+
+
+@query("kmeans_assign")
+def kmeans_assign(spark, sf):
+    rows = materialised(ml.dense(table(spark, sf, "embeddings"), "embedding").select("vec_id", "features"))
+    return ml.kmeans(rows, 3, n_init=2)[0].transform(rows).select("vec_id", "cluster")
+
+
+@query("kmeans_elbow")
+def kmeans_elbow(spark, sf):
+    return ml.elbow(ml.dense(table(spark, sf, "embeddings"), "embedding"), range(2, 5), n_init=1)
+
+
+def _counted(spark, sf):
+    p = posts(spark, sf).select("rid", "section", text.words(F.col("doc")).alias("tokens"))
+    vocab = ml.vocabulary(tokens.token_rows(p))
+    return materialised(ml.vectors(p, vocab, weighted=False).select("rid", "section", "features")), vocab
+
+
+@query("lda_topics")
+def lda_topics(spark, sf):
+    rows, vocab = _counted(spark, sf)
+    return ml.topic_terms(ml.lda(rows, iterations=5), spark, vocab)
+
+
+@query("lda_docs")
+def lda_docs(spark, sf):
+    rows, _ = _counted(spark, sf)
+    return ml.topic_documents(ml.lda(rows, iterations=5), rows, 5)

@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column functions: pure expressions from columns to columns."""

@@ -1 +1 @@
-"""Operators of the engine."""
+"""Operators over frames of posts, tokens and pages."""

@@ -1 +1 @@
-"""Plans of the engine."""
+"""Whole runs: preprocessing, collecting, analysis."""

@@ -1 +1 @@
-"""Sources of the engine."""
+"""Readers and writers of posts, pages, word lists and calendars."""

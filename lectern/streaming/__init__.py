@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Incremental collecting of posts."""
