@@ -96,7 +96,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.n = spark, shared_folder(spark), 0
+        self.spark, self.folder, self.n, self.there = spark, shared_folder(spark), 0, set()
         atexit.register(self._end)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -105,12 +105,19 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        self.there.add(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
+            self.there.discard(t.scratch_path)
             delete(self.spark, t.scratch_path)
 
+    def drop_all_but(self, kept: DataFrame) -> None:
+        for path in sorted(self.there - {kept.scratch_path}):
+            delete(self.spark, path)
+        self.there = {kept.scratch_path}
+
     def _end(self) -> None:
         try:
             delete(self.spark, self.folder)

@@ -29,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, maybe_among
+
 #: Most rows of signatures that are broadcast: 16 bytes each.
 BROADCAST_ROWS = 1_000_000
 
@@ -99,7 +101,7 @@ def contained(docs: DataFrame, items: DataFrame, words: int = 5, least: float =
     pairs = lookup(hits.distinct(), signatures, ["h"]).select("doc_id", "item_id").distinct()
     # exact: the shingles, as text, of documents that are candidates; only those that some item has go on
     candidates = pairs.select("doc_id").distinct()
-    texts = docs.join(candidates, "doc_id", "left_semi").select("doc_id", words_of(F.col("text")).alias("ws"))
+    texts = maybe_among(docs, "doc_id", candidates).join(candidates, "doc_id", "left_semi").select("doc_id", words_of(F.col("text")).alias("ws"))
     runs = [F.coalesce(_strings(k), F.array().cast("array<string>")) for k in lengths]
     spoken = texts.select("doc_id", F.explode(F.flatten(F.array(*runs)) if len(runs) > 1 else runs[0]).alias("shingle"))
     held = lookup(spoken, shingles.select("shingle").distinct(), ["shingle"], "left_semi").distinct()
@@ -110,5 +112,9 @@ def contained(docs: DataFrame, items: DataFrame, words: int = 5, least: float =
 
 def decontaminate(docs: DataFrame, items: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of docs, with all their columns, that hold `least` of no item; rows with a null id stay."""
-    hit = contained(docs.select("doc_id", "text"), items, words, least).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long") == F.col("_hit"), "left_anti")
+    found = contained(docs.select("doc_id", "text"), items, words, least).select(F.col("doc_id").alias("_hit")).distinct()
+    hit = Scratch(docs.sparkSession).write(found, "hits")
+    keyed = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    # only rows that may go are moved to be compared exactly
+    unsure = maybe_among(keyed, "_id", hit).join(hit, F.col("_id") == F.col("_hit"), "left_anti")
+    return maybe_among(keyed, "_id", hit, among=False).unionByName(unsure).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -224,7 +224,7 @@ def forest(linked: np.ndarray) -> np.ndarray:
 
 
 def _sets(column: pd.Series) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.int64) if isinstance(x, bytes) else np.asarray(x, np.int64) for x in column]
+    return [np.frombuffer(x, np.int64) if isinstance(x, bytes) else np.unique(np.asarray(x, np.int64)) for x in column]
 
 
 def _pair_matrix(rows: pd.DataFrame, verdict) -> np.ndarray:
@@ -253,12 +253,13 @@ def _paired_blocks(rows: DataFrame, key: str, member: str, size) -> DataFrame:
 
 
 def _large_bucket(similar: Similarity):
-    def verdict(common, n, m):
-        least = np.minimum(similar.shared(n), similar.shared(m))
-        fit = (np.minimum(n, m) >= similar.smallest(np.maximum(n, m)))
-        return (common >= least) & fit
-
     def go(rows: pd.DataFrame) -> pd.DataFrame:
+        lost = max(len(x) - len(np.unique(x)) for x in rows["set"])  # shingles of one group that clash
+
+        def verdict(common, n, m):
+            fit = np.minimum(n, m) >= similar.smallest(np.maximum(n, m))
+            return (common + lost >= np.minimum(similar.shared(n), similar.shared(m))) & fit
+
         label = forest(_pair_matrix(rows, verdict))
         gid = rows.gid.to_numpy()
         hung = label != np.arange(len(label))
@@ -333,11 +334,16 @@ def similar_components(
     fit = F.expr(f"least(n, n2) >= {similar.sql_smallest('greatest(n, n2)')} and gid < gid2")
     few = small.join(other, "tok").where(fit).groupBy("gid", "gid2", "n", "n2").agg(F.count("*").alias("k"))
     few = few.where(f"k >= least({similar.sql_shared('n')}, {similar.sql_shared('n2')})").select(F.col("gid").alias("u"), F.col("gid2").alias("v"))
-    large = buckets.where(F.col("size") > SMALL_BUCKET).join(prefixes, ["gid", "n"]).select("tok", "gid", "n", F.col("prefix").alias("set"), "size")
+    large = buckets.where(F.col("size") > SMALL_BUCKET)
+    # 31 bits of each shared shingle: equal ones stay equal, and a clash only lets a pair through to be verified
+    short = F.expr("collect_list(cast(tok & 2147483647 as int))").alias("set")
+    shared_sets = buckets.join(large.select("gid", "n").distinct(), ["gid", "n"], "left_semi").groupBy("gid", "n").agg(short)
+    large = large.join(shared_sets, ["gid", "n"])
     large = _paired_blocks(large, "tok", "gid", F.col("size"))
     many = large.groupBy("tok", "i", "j").applyInPandas(_large_bucket(similar), "u long, v long")
     groups = members.where("rep <> gid").select(F.col("rep").alias("u"), F.col("gid").alias("v"))
     pairs = scratch.write(few.unionByName(many).distinct(), "candidates")
+    scratch.drop(reps, shared, buckets)
     clusters = scratch.write(components(pairs.unionByName(groups), scratch), "clusters")
 
     # members of a cluster with their whole sets, verified block by block
@@ -357,17 +363,22 @@ def similar_components(
     verdict = verdict.select("n", "s1", "s2", F.coalesce("root", "rep").alias("_root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"))
     out = nodes.join(verdict, ["n", "s1", "s2"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("_root", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), own).alias("component_id"),
-        F.when(F.col("n") > 0, F.coalesce("_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+    result = scratch.write(
+        out.select(
+            "doc_id",
+            F.col("n").alias("n_shingles"),
+            F.when(F.col("doc_id").isNotNull(), own).alias("component_id"),
+            F.when(F.col("n") > 0, F.coalesce("_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+        ),
+        "result",
     )
+    scratch.drop_all_but(result)
+    return result
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs, with all their columns, that stay: of each component the row of the smallest id, and all rows with a null id."""
-    found = Scratch(docs.sparkSession).write(similar_components(docs, words, num, den), "verdicts")
+    found = similar_components(docs, words, num, den)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     # only rows that may go are moved to be compared exactly
     kept = maybe_among(docs, "doc_id", gone, among=False).unionByName(maybe_among(docs, "doc_id", gone).join(gone, "doc_id", "left_anti"))
