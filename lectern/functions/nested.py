@@ -44,8 +44,9 @@ def clean_comments(c: Column, entities: bool = False) -> Column:
 
 def clean_comments_strict(json: Column) -> Column:
     """Comments by the second cleaner, with `content` where `comment_content` is missing, without those left empty."""
+    parts = F.filter(parse_json_array(json, "array<string>"), lambda x: x.startswith("{"))  # what is no object is skipped
     cleaned = F.transform(
-        parse_json_array(json, _RAW),
+        F.transform(parts, lambda x: F.from_json(x, _RAW[len("array<") : -1])),
         lambda x: _comment(text.clean_strict(F.coalesce(x["comment_content"], x["content"])), values.to_int(x["comment_like"]), text.text_or_empty(x["comment_date"])),
     )
     return F.filter(cleaned, lambda x: x["comment_content"] != "")

@@ -102,8 +102,10 @@ def topic_terms(model, spark, vocab: list[str], n: int = 15) -> DataFrame:
 
 
 def topic_documents(model, df: DataFrame, k: int) -> DataFrame:
-    """Rows with topic_0... and the first most probable topic."""
+    """Rows with topic_0... and the first most probable topic; a row without any known term is spread evenly."""
     out = model.transform(df).withColumn("_p", vector_to_array("topics"))
+    total = F.aggregate("_p", F.lit(0.0), lambda a, x: a + x)
+    out = out.withColumn("_p", F.when(total > 0, F.col("_p")).otherwise(F.array_repeat(F.lit(1.0 / k), k)))
     return out.withColumns({f"topic_{i}": F.col("_p")[i] for i in range(k)} | {"dominant_topic": argmax(F.col("_p")).cast("int")}).drop("_p", "topics", "features")
 
 

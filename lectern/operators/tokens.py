@@ -86,7 +86,8 @@ def tokenised(df: DataFrame, make: Callable = default_analyser) -> DataFrame:
     out = out.withColumn("comment_token_list", tag_all(F.col("comment_text_list")))
     kinds = {"noun": (NOUNS, 2), "verb": (VERBS, 1), "adj": (ADJECTIVES, 1)}
     new = {f"{p}_token_{k}": by_pos(F.col(f"{p}_token_list"), *v) for p in ("title", "doc") for k, v in kinds.items()}
-    new |= {f"comment_token_{k}": F.transform("comment_token_list", lambda ts, v=v: by_pos(ts, *v)) for k, v in kinds.items()}
+    of_each = lambda v: lambda ts: by_pos(ts, *v)
+    new |= {f"comment_token_{k}": F.transform("comment_token_list", of_each(v)) for k, v in kinds.items()}
     return out.withColumns(new)
 
 
