@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import nested, text, urls, values
 from .operators import dedupe, filters, ml, normalize, pages, relate, stats, tfidf, tokens
 from .session import table
-from .session_scratch import materialised
+from .session_scratch import materialised, scratch_folder
 from .sources.tabular import front_columns
 from .sources.words import calendar, user_stopwords
 
@@ -393,6 +393,19 @@ def calendar_days(spark, sf):
     return calendar(spark)
 
 
+@query("ingest_stream")
+def ingest_stream(spark, sf):
+    """Two runs over the pages as they arrive: the second finds nothing new."""
+    from .streaming.ingest import collect
+
+    base = scratch_folder(spark)
+    arrived = table(spark, sf, "pages").select(F.concat(F.lit("https://blog.naver.com/b/"), F.col("page_id").cast("string")).alias("url"), F.concat(F.lit('<meta property="og:title" content="'), F.col("page_id").cast("string"), F.lit('">'), F.col("html")).alias("html"))
+    arrived.write.parquet(f"{base}/in")
+    for _ in range(2):
+        collect(spark, f"{base}/in", f"{base}/posts", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/posts").select("canonical_url", "title", "comment_count")
+
+
 # --- duplicates
 
 
@@ -487,9 +500,33 @@ def tokenize_pos(spark, sf):
     return p.select("rid", F.size("t").alias("n_tokens"), F.size(filters.by_pos(F.col("t"), tokens.NOUNS, 2)).alias("n_nouns"))
 
 
+@query("word_cloud", f"WITH {COUNTS_SQL} SELECT section, keyword, n::BIGINT AS count FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY n DESC, keyword) AS r FROM counts) WHERE r <= 100")
+def word_cloud(spark, sf):
+    return tokens.word_cloud(tokens.frequencies(post_words(spark, sf), ["section"]), ["section"])
+
+
+@query("comment_rows", "SELECT DISTINCT conv_id AS rid, role AS comment_content, turn AS comment_like FROM conversations WHERE turn < 3")
+def comment_rows(spark, sf):
+    c = conversation_lists(spark, sf).select(F.col("conv_id").alias("rid"), F.array_distinct(F.transform("said", lambda x: F.struct(x["role"].alias("comment_content"), x["turn"].alias("comment_like")))).alias("comment_list"))
+    return tokens.explode_comments(c).where("comment_like < 3")
+
+
+@query("section_nouns", f"WITH {POSTS_SQL}, w AS (SELECT rid, section, regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM posts) SELECT section, md5(coalesce(string_agg(array_to_string(t, ' '), ' ' ORDER BY rid) FILTER (len(t) > 0), '')) AS h FROM w GROUP BY section")
+def section_nouns(spark, sf):
+    p = posts(spark, sf).select("rid", "section", text.words(F.col("title")).alias("tokens"))
+    return tokens.section_text(p).select("section", F.md5("section_doc").alias("h"))
+
+
 # --- weights
 
 
+@query("matrix_sums", f"WITH {TOKENS_SQL} SELECT 'doc' AS kind, rid::VARCHAR AS name, count(*)::BIGINT AS n FROM tokens GROUP BY rid UNION ALL SELECT 'term', keyword, count(*)::BIGINT FROM tokens GROUP BY keyword")
+def matrix_sums(spark, sf):
+    counts = tfidf.term_counts(post_words(spark, sf), ["rid"])
+    a = tfidf.doc_lengths(counts, ["rid"]).select(F.lit("doc").alias("kind"), F.col("rid").cast("string").alias("name"), F.col("length").alias("n"))
+    return a.unionByName(tfidf.term_totals(counts).select(F.lit("term").alias("kind"), F.col("keyword").alias("name"), F.col("total").alias("n")))
+
+
 @query("df_prune", f"WITH {TOKENS_SQL}, tf AS (SELECT rid, keyword, count(*) AS tf FROM tokens GROUP BY ALL), d AS (SELECT keyword, count(*) AS df FROM tf GROUP BY keyword) SELECT rid, keyword, tf::BIGINT AS tf FROM tf WHERE keyword IN (SELECT keyword FROM d WHERE df >= 5 AND df <= 0.85 * (SELECT count(DISTINCT rid) FROM tf))")
 def df_prune(spark, sf):
     return tfidf.prune(tfidf.term_counts(post_words(spark, sf), ["rid"]), ["rid"])

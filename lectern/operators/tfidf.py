@@ -15,6 +15,14 @@ def document_frequencies(counts: DataFrame) -> DataFrame:
     return counts.groupBy("keyword").agg(F.count("*").alias("df"))
 
 
+def doc_lengths(counts: DataFrame, doc: list[str]) -> DataFrame:
+    return counts.groupBy(*doc).agg(F.sum("tf").alias("length"))
+
+
+def term_totals(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("keyword").agg(F.sum("tf").alias("total"))
+
+
 def prune(counts: DataFrame, doc: list[str], min_df: int = 5, max_df: float = 0.85) -> DataFrame:
     """Counts of the terms in at least min_df documents and at most a share max_df of all documents."""
     n = counts.select(*doc).distinct().agg(F.count("*").alias("n"))

@@ -99,6 +99,31 @@ def comment_rows(df: DataFrame) -> DataFrame:
     return out.select("post_idx", "comment_idx", F.col("c.comment_text_list").alias("comment_text"), *[F.col(f"c.{n}").alias(n) for n in names[1:]])
 
 
+def explode_comments(df: DataFrame, column: str = "comment_list") -> DataFrame:
+    """One row for each comment, with its post's rid; posts without comments have none."""
+    return df.select("rid", F.explode(column).alias("c")).where("c is not null").select("rid", "c.*")
+
+
+def comment_table(df: DataFrame, rid: int, column: str = "comment_list") -> DataFrame:
+    """The comments of one post as a table."""
+    return explode_comments(df.where(F.col("rid") == rid), column).drop("rid")
+
+
+def noun_table(df: DataFrame) -> DataFrame:
+    """Posts with their nouns only: title, document and the comments' in one list."""
+    from ..functions.nested import flatten_tokens
+
+    return df.select(
+        "rid", "section", "like", "comment_cnt", F.col("title_token_noun"), F.col("doc_token_noun").alias("document_token_noun"), flatten_tokens(F.col("comment_token_noun")).alias("comment_token_noun")
+    )
+
+
+def section_text(df: DataFrame, tokens_: str = "tokens") -> DataFrame:
+    """All tokens of a section as one text, for export of small corpora only: a section is one row."""
+    rows = F.array_sort(F.collect_list(F.struct("rid", tokens_)))
+    return df.groupBy("section").agg(F.array_join(F.flatten(F.transform(rows, lambda x: x[tokens_])), " ").alias("section_doc"))
+
+
 # --- stop-words
 
 
@@ -157,6 +182,11 @@ def sticky_stopwords(tokens: DataFrame, least: float, keep: DataFrame | None = N
     return out.join(keep.select("keyword"), "keyword", "left_anti") if keep is not None else out
 
 
+def word_cloud(counts: DataFrame, by: list[str] | None = None, n: int = 100) -> DataFrame:
+    """keyword and count of the n most frequent words (of each section)."""
+    return top_words(counts, n, by).drop("rank")
+
+
 # --- sections
 
 

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def materialised(df: DataFrame) -> DataFrame:
-    """The frame, computed once and read from shared storage from here on."""
-    sc = df.sparkSession.sparkContext
+
+def _set_folder(sc) -> None:
+    """A checkpoint folder of our own, only where none is configured (single-machine tests)."""
     if not (sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The frame, computed once and read from shared storage from here on."""
+    _set_folder(df.sparkSession.sparkContext)
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in the shared place."""
+    sc = spark.sparkContext
+    _set_folder(sc)
+    return f"{(sc.getConf().get('spark.checkpoint.dir', None) or sc.getCheckpointDir()).rstrip('/')}/{uuid.uuid4().hex}"
