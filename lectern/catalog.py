@@ -221,9 +221,9 @@ def complete_meta(spark, sf):
     return rows.select("conv_id", filters.complete_comment_meta(6).alias("complete"))
 
 
-@query("reparse_targets", """SELECT conv_id FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) WHERE conv_id % 2 = 0 AND n > 0""")
+@query("reparse_targets", """SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(DISTINCT role) = 2""")
 def reparse_targets(spark, sf):
-    c = conversation_lists(spark, sf).select("conv_id", F.when(F.col("conv_id") % 2 == 1, "t").alias("comment_times"), F.lit("1").alias("comment_like_counts"), F.size("said").cast("string").alias("comment_count"))
+    c = conversation_lists(spark, sf).select("conv_id", F.when(F.size(F.array_distinct(F.transform("said", lambda x: x["role"]))) != 2, "t").alias("comment_times"), F.lit("1").alias("comment_like_counts"), F.size("said").cast("string").alias("comment_count"))
     return filters.to_reparse(c, order="conv_id").select("conv_id")
 
 
@@ -331,9 +331,9 @@ def keyword_semi(spark, sf):
     return filters.among_top(table(spark, sf, "customer"), urgent, "c_custkey").select("c_custkey")
 
 
-@query("size_left_join", "SELECT n_name, n_nationkey, cluster_size FROM nation LEFT JOIN (SELECT c_nationkey, count(*)::BIGINT AS cluster_size FROM customer WHERE c_nationkey < 20 GROUP BY 1) ON n_nationkey = c_nationkey")
+@query("size_left_join", "SELECT n_name, n_nationkey, cluster_size FROM nation LEFT JOIN (SELECT c_nationkey, count(*)::BIGINT AS cluster_size FROM customer WHERE c_acctbal < -800 GROUP BY 1) ON n_nationkey = c_nationkey")
 def size_left_join(spark, sf):
-    sizes = table(spark, sf, "customer").where("c_nationkey < 20").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("cluster_size"))
+    sizes = table(spark, sf, "customer").where("c_acctbal < -800").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("cluster_size"))
     return relate.left_lookup(table(spark, sf, "nation"), sizes, "n_nationkey").select("n_name", "n_nationkey", "cluster_size")
 
 
@@ -505,10 +505,10 @@ def word_cloud(spark, sf):
     return tokens.word_cloud(tokens.frequencies(post_words(spark, sf), ["section"]), ["section"])
 
 
-@query("comment_rows", "SELECT DISTINCT conv_id AS rid, role AS comment_content, turn AS comment_like FROM conversations WHERE turn < 3")
+@query("comment_rows", "SELECT DISTINCT conv_id AS rid, role AS comment_content, turn AS comment_like FROM conversations")
 def comment_rows(spark, sf):
     c = conversation_lists(spark, sf).select(F.col("conv_id").alias("rid"), F.array_distinct(F.transform("said", lambda x: F.struct(x["role"].alias("comment_content"), x["turn"].alias("comment_like")))).alias("comment_list"))
-    return tokens.explode_comments(c).where("comment_like < 3")
+    return tokens.explode_comments(c)
 
 
 @query("section_nouns", f"WITH {POSTS_SQL}, w AS (SELECT rid, section, regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM posts) SELECT section, md5(coalesce(string_agg(array_to_string(t, ' '), ' ' ORDER BY rid) FILTER (len(t) > 0), '')) AS h FROM w GROUP BY section")

@@ -10,6 +10,7 @@ from ..functions.text import text_or_empty
 from ..functions.urls import canonical_post_url
 from ..functions.values import PERIODS
 from ..schemas import CRAWLED, PREPARED
+from ..session_scratch import materialised
 
 
 def is_prepared(df: DataFrame) -> bool:
@@ -33,13 +34,15 @@ def in_sections(df: DataFrame, periods=PERIODS) -> DataFrame:
     return df.where(F.col("section").isin([p[0] for p in periods]))
 
 
-def prepare(df: DataFrame, periods=PERIODS) -> DataFrame:
+def prepare(df: DataFrame, periods=PERIODS, keep: tuple[str, ...] = ()) -> DataFrame:
     """The prepared schema of crawled rows or of rows that have it already; only rows of a known section stay.
 
     Crawled rows get their dates rewritten; prepared ones keep theirs as they are.
+    keep: further columns, such as rid, that go along in front.
     """
     if is_prepared(df):
         out = df.select(
+            *keep,
             text_or_empty(F.col("title")).alias("title"),
             text_or_empty(F.col("doc")).alias("doc"),
             values.to_int(F.col("like")).alias("like"),
@@ -54,6 +57,7 @@ def prepare(df: DataFrame, periods=PERIODS) -> DataFrame:
     dated = any(c in df.columns for c in ("section", "date", "post_date"))
     section = values.normalize_section(F.col("section") if "section" in df.columns else None, day, periods) if dated else F.lit(0)
     out = df.select(
+        *keep,
         text_or_empty(F.col("title")).alias("title"),
         text_or_empty(F.col("content")).alias("doc"),
         values.to_int(first_present(df, "post_like_count", "like_count")).alias("like"),
@@ -100,10 +104,8 @@ def with_rid(df: DataFrame, *order: str, name: str = "rid") -> DataFrame:
     Rows are dealt by ranges of the order; a range's numbers begin after the
     counts of the ranges before it. Ties need a further column to be stable.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    from ..session_scratch import materialised
-
-    ranged = materialised(ranged)
+    # written once: the ranges must stay what they are for the counts to fit
+    ranged = materialised(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     within = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1

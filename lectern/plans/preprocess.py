@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import nested, text
 from ..functions.values import PERIODS
 from ..operators.dedupe import drop_similar
-from ..operators.normalize import is_prepared, prepare, with_rid
+from ..operators.normalize import prepare, with_rid
 from ..operators.stats import change_preview, preprocess_report
 from ..schemas import PREPARED
 from ..session_scratch import materialised
@@ -47,7 +47,7 @@ def preprocess(data: DataFrame | str, least: float = 0.8, periods=PERIODS, previ
     raw = as_frame(spark or data.sparkSession, data)
     if "rid" not in raw.columns:
         raw = with_rid(raw, *(order or [c for c in ("date", "title") if c in raw.columns] or raw.columns[:1]))
-    prepared = materialised(_prepared_with_rid(raw, periods))
+    prepared = materialised(prepare(raw, periods, keep=("rid",)))
     cleaned = materialised(clean_posts(prepared))
     final = cleaned.select("rid", F.col("title_new").alias("title"), F.col("doc_new").alias("doc"), "like", "comment_cnt", F.col("comment_list_new").alias("comment_list"), "ch", "date", "section")
     kept, log = drop_similar(final, least)
@@ -59,23 +59,6 @@ def preprocess(data: DataFrame | str, least: float = 0.8, periods=PERIODS, previ
     return Preprocessed(kept.select("rid", "group_rid", *PREPARED), log, preprocess_report(rows, kept), change_preview(rows, preview_rows))
 
 
-def _prepared_with_rid(raw: DataFrame, periods) -> DataFrame:
-    """prepare() keeps only its own columns; rid travels in a struct beside them."""
-    if is_prepared(raw):
-        from ..functions import values
-
-        out = raw.withColumns({
-            "title": text.text_or_empty(F.col("title")), "doc": text.text_or_empty(F.col("doc")), "like": values.to_int(F.col("like")),
-            "comment_cnt": values.to_int(F.col("comment_cnt")), "ch": text.text_or_empty(F.col("ch")),
-            "comment_list": nested.normalize_comments(F.col("comment_list") if dict(raw.dtypes)["comment_list"].startswith("array") else nested.parse_comments(F.col("comment_list"))),
-            "section": values.normalize_section(F.col("section"), F.col("date"), periods), "date": text.text_or_empty(F.col("date")),
-        })
-        return out.where(F.col("section").isin([p[0] for p in periods])).select("rid", *PREPARED)
-    return prepare(raw.withColumn("title", F.concat(F.col("rid").cast("string"), F.lit("\x1d"), text.text_or_empty(F.col("title")))), periods).select(
-        F.split("title", "\x1d")[0].cast("long").alias("rid"), *[F.regexp_replace("title", "^[^\x1d]*\x1d", "").alias("title") if c == "title" else F.col(c) for c in PREPARED]
-    )
-
-
 def save(run: Preprocessed, posts_path: str, log_path: str) -> None:
     write_csv(run.posts.drop("group_rid", "rid"), posts_path)
     write_csv(run.duplicate_log, log_path)
