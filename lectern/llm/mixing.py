@@ -102,11 +102,12 @@ def mix(
     slots = 1 << 40
     named = docs.drop("mix_block", "mix_row").withColumn("_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     named = named.withColumn("_h", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(slots)))
-    counts = {r._source: r.n for r in named.groupBy("_source").agg(F.count("*").alias("n")).collect()}
+    # one more than a schedule can hold is enough to refuse them
+    counts = {r._source: r.n for r in named.groupBy("_source").agg(F.count("*").alias("n")).limit(period + 1).collect()}
     if not counts:
         return docs.drop("mix_block", "mix_row").selectExpr("*", "cast(null as long) mix_block", "cast(null as int) mix_row")
     if len(counts) > period:
-        raise ValueError(f"{len(counts)} sources don't fit into {period} slots")
+        raise ValueError(f"more than {period} sources don't fit into {period} slots")
     shares = target_weights(counts, weights) if weights else {k: n**alpha for k, n in counts.items()}
     parts = parts_of(shares, period)
     place: dict[str, list[int]] = {k: [] for k in parts}

@@ -284,15 +284,17 @@ def _normal(x: np.ndarray) -> np.ndarray:
 # --- DataFrames
 
 
-def fit_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 20_000, fit_chars: int = 20_000) -> Field:
-    """The field's potentials from those with a digit or an at sign of about fit_rows rows, chosen by hash of their id.
+def fit_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 20_000, fit_texts: int = 2000, fit_chars: int = 20_000) -> Field:
+    """The field's potentials from texts with a digit or an at sign: the first fit_texts by hash among those of about fit_rows rows, chosen by hash of their id.
 
     Texts of more than fit_chars characters are left out of the fit.
     """
     rows = (
         docs.where(hash_share(id_col, fit_rows, docs.count()))
-        .select(F.col(text_col).alias("text"))
+        .select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
         .where((F.length("text") <= fit_chars) & F.col("text").rlike("[0-9@]"))
+        .orderBy("h", "text")
+        .limit(fit_texts)
         .collect()
     )
     return Field.fit(sorted(r.text for r in rows))
