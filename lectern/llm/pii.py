@@ -12,8 +12,8 @@ others, parts of a phone number. A node that skip links connect with a base span
 whose most probable label isn't none, becomes a further span; one that overlaps
 a base span doesn't.
 
-Potentials are fitted on a bounded sample (`fit_rows` documents with a digit or
-an at sign, chosen by hash): a softmax regression on token shapes against the
+Potentials are fitted on a bounded sample (the first `fit_texts` by hash of the
+texts with a digit or an at sign among `fit_rows` documents): a softmax regression on token shapes against the
 rules' labels, smoothed counts of neighbouring labels, and the log odds that
 nodes with one key agree.
 
