@@ -7,7 +7,8 @@
    shingles; of the rest, those frequent within a task's chunk are counted. At
    most `FREQUENT` shingles are told apart as frequent (a bounded table); the
    order is the same for all documents whatever it holds, so results don't
-   depend on it, only speed does.
+   depend on it, only speed does. Counted shingles that occur once are left out
+   of the prefixes by a filter of fixed size, as nothing can share them.
 3. The prefix of a set of size n are its first n - ceil(t n) + l(n) shingles in
    that order, l(n) = 1 + (n - ceil(t n)) // 2. Two sets with similarity t share
    at least min(l, l') shingles of their prefixes. Classes with the same size
@@ -49,8 +50,8 @@ from .components import components
 
 #: Most shingles that are told apart as frequent: 16 bytes each go to the driver and back to every task.
 FREQUENT = 1 << 18
-#: Exact counts are taken of shingles whose hash lies below this part of the range.
-COUNTED = 4
+#: Exact counts are taken of shingles whose hash lies below this, a quarter of the range.
+COUNTED_BELOW = np.uint64(1 << 62)
 #: Shingles of a chunk; of those outside the counted part, the ones that occur CHUNK_LEAST times in it are counted.
 CHUNK, CHUNK_LEAST = 1 << 20, 4
 #: Members of a bucket up to which pairs are formed natively; members of a block above.
@@ -114,7 +115,7 @@ def _count_chunks(words: int):
 
         def flush() -> pa.RecordBatch:
             u, c = np.unique(np.concatenate(held), return_counts=True)
-            some = (u < np.uint64((1 << 64) // COUNTED)) | (c >= CHUNK_LEAST)
+            some = (u < COUNTED_BELOW) | (c >= CHUNK_LEAST)
             return pa.RecordBatch.from_arrays([pa.array(u[some].view(np.int64)), pa.array(c[some])], ["h", "n"])
 
         for b in batches:
@@ -130,62 +131,71 @@ def _count_chunks(words: int):
     return go
 
 
-def frequent_shingles(docs: DataFrame, words: int, scratch: Scratch, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) of at most `most` frequent shingles and the logarithm of their counts: all with at least c, for the least c > 2 that fits."""
-    counts = map_batches(docs.select("text"), _count_chunks(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
+class Order:
+    """The global order of shingles, and a filter of those in the counted part that occur more than once."""
+
+    def __init__(self, frequent: np.ndarray, level: np.ndarray, shared: np.ndarray):
+        self.frequent, self.level, self.shared = frequent, level, shared
+
+    def keys(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the order (level in the top bits, hash below), and whether a shingle may occur in another text."""
+        key, level = u >> np.uint64(6), np.zeros(len(u), np.uint64)
+        if len(self.frequent) and len(u):
+            at = np.minimum(np.searchsorted(self.frequent, u), len(self.frequent) - 1)
+            level = np.where(self.frequent[at] == u, self.level[at], 0).astype(np.uint64)
+        bit = np.where(u < COUNTED_BELOW, u >> np.uint64(38), np.uint64(0))
+        seen = (self.shared[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+        return key | (level << np.uint64(58)), seen | (u >= COUNTED_BELOW)
+
+
+def global_order(docs: DataFrame, words: int, scratch: Scratch, most: int = FREQUENT) -> Order:
+    """Levels of at most `most` frequent shingles (all with at least c texts, for the least c > 2 that fits) and the filter."""
+    counts = map_batches(docs.select("text"), _count_chunks(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     kept = scratch.write(counts, "counts")
-    # how many shingles have each bit length and leading bits of a count: at most 512 rows
+    # how many shingles have each leading bits of a count: at most 512 rows
     coarse = F.expr("shiftleft(shiftright(n, greatest(0, cast(floor(log2(n)) as int) - 3)), greatest(0, cast(floor(log2(n)) as int) - 3))")
-    sizes = sorted(((r.c, r.k) for r in kept.groupBy(coarse.alias("c")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    sizes = sorted(((r.c, r.k) for r in kept.where("n > 2").groupBy(coarse.alias("c")).agg(F.count("*").alias("k")).collect()), reverse=True)
     least, total = None, 0
     for c, k in sizes:
         total += k
         if total > most:
             break
         least = c
-    if least is None:
-        got = pd.DataFrame({"h": [], "n": []})
-    else:
-        got = kept.where(F.col("n") >= least).toArrow().to_pandas()
+    got = kept.where(F.col("n") >= least).toArrow().to_pandas() if least is not None else pd.DataFrame({"h": [], "n": []})
+    # 2^24 bits in at most 2^18 words
+    marks = kept.where((F.col("h") >= 0) & (F.col("h") < F.lit(int(COUNTED_BELOW)))).select(F.shiftright("h", 38).alias("b"))
+    filled = marks.groupBy(F.expr("b div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("m")).toArrow().to_pandas()
+    shared = np.zeros(1 << 18, np.uint64)
+    shared[filled.w.to_numpy(np.int64)] = filled.m.to_numpy(np.int64).view(np.uint64)
     scratch.drop(kept)
     h = got.h.to_numpy(np.int64).view(np.uint64)
     level = np.minimum(np.log2(np.maximum(got.n.to_numpy(np.float64), 1)).astype(np.int64) + 1, 31).astype(np.uint8)
     order = np.argsort(h)
-    return h[order], level[order]
+    return Order(h[order], level[order], shared)
 
 
-def ordered_keys(u: np.ndarray, frequent: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Places of shingles in the global order: level in the top bits, hash below."""
-    key = u >> np.uint64(6)
-    if len(frequent) and len(u):
-        at = np.minimum(np.searchsorted(frequent, u), len(frequent) - 1)
-        lv = np.where(frequent[at] == u, level[at], 0).astype(np.uint64)
-        key |= lv << np.uint64(58)
-    return key
+NODES = "doc_id long, n long, s1 long, s2 long, g long, prefix array<long>"
 
 
-NODES = "doc_id long, n long, s1 long, s2 long, prefix array<long>"
-
-
-def _nodes(words: int, similar: Similarity, frequent: np.ndarray, level: np.ndarray):
+def _nodes(words: int, similar: Similarity, order: Order):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, s1, s2, prefixes = [], [], [], []
+            n, s1, s2, g, prefixes = [], [], [], [], []
             for raw in texts(b.column(1)):
                 u = shingle_hashes(raw, words)
                 n.append(len(u))
                 s1.append(int((u * np.uint64(0xD6E8FEB86659FD93) ^ (u >> np.uint64(32))).sum(dtype=np.uint64)))
                 s2.append(int(np.bitwise_xor.reduce(u * np.uint64(0xA0761D6478BD642F), initial=np.uint64(0))))
-                key = ordered_keys(u, frequent, level)
-                p = similar.prefix(len(u)) if len(u) else 0
-                key = np.partition(key, p - 1)[:p] if 0 < p < len(key) else key
-                prefixes.append(np.sort(key))
+                key, seen = order.keys(u)
+                first = np.argsort(key)[: similar.prefix(len(u)) if len(u) else 0]
+                g.append(_WORD(key[first].tobytes()))
+                prefixes.append(key[first][seen[first]])  # what no other text has can't be shared
             at = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
             as_long = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), as_long(s1), as_long(s2), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
-                ["doc_id", "n", "s1", "s2", "prefix"],
+                [b.column(0), pa.array(n, pa.int64()), as_long(s1), as_long(s2), as_long(g), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
+                ["doc_id", "n", "s1", "s2", "g", "prefix"],
             )
 
     return go
@@ -304,20 +314,21 @@ def similar_components(
     bound_batches(spark)
     similar, scratch = Similarity(num, den), Scratch(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    hashes, level = frequent_shingles(docs, words, scratch, frequent)
-    found = map_batches(docs, _nodes(words, similar, hashes, level), NODES)
-    full = scratch.write(found, "nodes")
-    nodes = full.select("doc_id", "n", "s1", "s2")
+    order = global_order(docs, words, scratch, frequent)
+    full = scratch.write(map_batches(docs, _nodes(words, similar, order), NODES), "nodes")
+    nodes = full.select("doc_id", "n", "s1", "s2", "g")
     known = nodes.where("n > 0 and doc_id is not null")
-    classes = scratch.write(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies")), "classes")
-
-    # groups: classes with the same size and prefix
-    keyed = full.where("n > 0").withColumn("g", F.xxhash64("prefix"))
-    reps = keyed.join(classes.select("n", "s1", "s2", F.col("rep").alias("doc_id")), ["n", "s1", "s2", "doc_id"], "left_semi")
-    reps = scratch.write(reps.select(F.col("doc_id").alias("rep"), "n", "g", "prefix"), "reps")
-    hubs = reps.groupBy("n", "g").agg(F.min("rep").alias("gid"))
-    members = scratch.write(reps.select("rep", "n", "g").join(hubs, ["n", "g"]).select("rep", "n", "gid").distinct(), "members")
-    prefixes = reps.join(members.where("rep <> gid").select("rep", "n"), ["rep", "n"], "left_anti").select(F.col("rep").alias("gid"), "n", "prefix")
+    classes = scratch.write(known.groupBy("n", "s1", "s2", "g").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies")), "classes")
+
+    # groups: classes with the same size and prefix; only ids are moved
+    hubs = classes.groupBy("n", "g").agg(F.min("rep").alias("gid"))
+    members = scratch.write(classes.select("rep", "n", "g").join(hubs, ["n", "g"]).select("rep", "n", "gid").distinct(), "members")
+    aside = known.select("doc_id", "n").join(members.where("rep = gid").select(F.col("gid").alias("doc_id"), "n"), ["doc_id", "n"], "left_anti")
+    aside = scratch.write(aside.distinct(), "aside")
+    whole = full.where("n > 0 and doc_id is not null").select("doc_id", "n", "prefix")
+    ids = aside.select("doc_id")
+    prefixes = maybe_among(whole, "doc_id", ids, among=False).unionByName(maybe_among(whole, "doc_id", ids).join(aside, ["doc_id", "n"], "left_anti"))
+    prefixes = prefixes.select(F.col("doc_id").alias("gid"), "n", "prefix")
 
     # buckets of shared prefix shingles, without groups that share too few to have a partner
     spread = prefixes.select("gid", "n", F.explode("prefix").alias("tok"))
@@ -343,7 +354,7 @@ def similar_components(
     many = large.groupBy("tok", "i", "j").applyInPandas(_large_bucket(similar), "u long, v long")
     groups = members.where("rep <> gid").select(F.col("rep").alias("u"), F.col("gid").alias("v"))
     pairs = scratch.write(few.unionByName(many).distinct(), "candidates")
-    scratch.drop(reps, shared, buckets)
+    scratch.drop(shared, buckets, aside)
     clusters = scratch.write(components(pairs.unionByName(groups), scratch), "clusters")
 
     # members of a cluster with their whole sets, verified block by block
