@@ -11,9 +11,9 @@ item is a tiny part of a long document; it loses matches. So the sizes set the
 depth of the signature rather than a number of bands.)
 
 Documents' shingles are looked up in the signatures; every candidate pair is
-then verified exactly, shingle by shingle, as text. The signatures' table is
-broadcast only if it has at most `broadcast_rows` rows; above, the lookup
-shuffles hashes.
+then verified exactly, shingle by shingle, as text. The items' tables are
+broadcast only if they have at most `broadcast_rows` shingles; above, the
+lookups shuffle.
 
 Words are runs of letters and digits, lower-cased. Items of fewer than `words`
 words are looked up as one shingle of their own length.
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, maybe_among
 
-#: Most rows of signatures that are broadcast: 16 bytes each.
-BROADCAST_ROWS = 1_000_000
+#: Most shingles of all items with which they, and the signatures among them, are broadcast: words of text each.
+BROADCAST_ROWS = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -89,7 +89,7 @@ def contained(docs: DataFrame, items: DataFrame, words: int = 5, least: float =
     signatures = signatures.groupBy("item_id", "len", "q").agg(F.array_sort(F.collect_set("h")).alias("hs"))
     signatures = signatures.select("item_id", F.explode(F.slice("hs", 1, depth.cast("int"))).alias("h")).distinct()
     keys = signatures.select("h").distinct()
-    small = signatures.count() <= broadcast_rows
+    small = shingles.count() <= broadcast_rows
 
     def lookup(rows: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
         return rows.join(F.broadcast(other) if small else other, on, how)
@@ -98,7 +98,9 @@ def contained(docs: DataFrame, items: DataFrame, words: int = 5, least: float =
     arrays = [_hashes(k) for k in lengths]
     hashes = F.coalesce(arrays[0], F.array().cast("array<bigint>")) if len(arrays) == 1 else F.flatten(F.array(*(F.coalesce(a, F.array().cast("array<bigint>")) for a in arrays)))
     hits = lookup(worded.select("doc_id", F.explode(hashes).alias("h")), keys, ["h"], "left_semi")
-    pairs = lookup(hits.distinct(), signatures, ["h"]).select("doc_id", "item_id").distinct()
+    # written, as three parts of the rest read it; a few rows for each document that may hold an item
+    found = lookup(hits.distinct(), signatures, ["h"]).select("doc_id", "item_id").distinct()
+    pairs = Scratch(docs.sparkSession).write(found, "candidates")
     # exact: the shingles, as text, of documents that are candidates; only those that some item has go on
     candidates = pairs.select("doc_id").distinct()
     texts = maybe_among(docs, "doc_id", candidates).join(candidates, "doc_id", "left_semi").select("doc_id", words_of(F.col("text")).alias("ws"))
