@@ -104,7 +104,7 @@ def _inflated(stream) -> Iterator[bytes]:
     while piece := stream.read(PIECE):
         while piece:
             yield z.decompress(piece, PIECE)
-            while z.unconsumed_tail:
+            while z.unconsumed_tail and not z.eof:
                 yield z.decompress(z.unconsumed_tail, PIECE)
             piece = z.unused_data
             if z.eof:
