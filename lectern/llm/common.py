@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch that goes to Python at once; long texts make bytes the binding one.
-BATCH_ROWS, BATCH_BYTES = 1000, "16m"
+BATCH_ROWS, BATCH_BYTES = 500, "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -56,6 +56,8 @@ COUNTED_BELOW = np.uint64(1 << 62)
 CHUNK, CHUNK_LEAST = 1 << 20, 4
 #: Members of a bucket up to which pairs are formed natively; members of a block above.
 SMALL_BUCKET, BLOCK = 24, 800
+#: Shingles of a block of members, on average: long texts make smaller blocks.
+BLOCK_SHINGLES = 1 << 20
 
 _WORD = xxhash.xxh64_intdigest
 
@@ -358,7 +360,9 @@ def similar_components(
     clusters = scratch.write(components(pairs.unionByName(groups), scratch), "clusters")
 
     # members of a cluster with their whole sets, verified block by block
-    sized = clusters.join(clusters.groupBy("root").agg(F.count("*").alias("size")), "root")
+    lengths = members.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("_n"))
+    size = F.greatest(F.count("*"), F.ceil(F.sum("_n") * F.lit(BLOCK / BLOCK_SHINGLES))).alias("size")
+    sized = clusters.join(clusters.join(lengths, "node").groupBy("root").agg(size), "root")
     sized = sized.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), "size")
     member_texts = maybe_among(docs, "doc_id", clusters.select("node")).join(sized, "doc_id").select("text", "doc_id", "cluster", "size")
     sets = map_batches(member_texts, _member_sets(words), "set binary, rep long, cluster long, size long")
