@@ -5,8 +5,11 @@ white space that hold a digit or an at sign, and plain tokens that equal a part
 of a base span) are the nodes of a field with labels none, email, ip, card and
 phone; all other tokens are fixed to none. Neighbouring nodes share a
 transition potential; nodes with the same key (text, digits, mail name) share a
-skip potential, each occurrence linked to the next, so links stay linear in the
-length. Loopy sum-product messages then carry the labels of base spans to their
+skip potential. Where an occurrence lies inside a base span, all others of that
+key are linked to the first that does: each is one link from the match however
+many there are, and repetitions that look odd don't outvote it among themselves.
+Other keys link each occurrence to the next. Links stay linear in the length.
+Loopy sum-product messages, run until they settle, then carry the labels of base spans to their
 repetitions that the rules miss: bare mail names, numbers run together with
 others, parts of a phone number. A node that skip links connect with a base span, and
 whose most probable label isn't none, becomes a further span; one that overlaps
@@ -165,13 +168,14 @@ class Nodes:
             self.label.append(label)
             self.keys.append(_keys(token, label))
             self.shape.append(_shape(token))
-        last: dict[str, int] = {}
-        skip = set()
+        members: dict[str, list[int]] = {}
         for i, keys in enumerate(self.keys):
             for k in keys:
-                if k in last:
-                    skip.add((last[k], i))
-                last[k] = i
+                members.setdefault(k, []).append(i)
+        skip = set()
+        for held in members.values():
+            first = next((i for i in held if self.label[i]), None)
+            skip |= set(zip(held, held[1:])) if first is None else {(min(first, i), max(first, i)) for i in held if i != first}
         self.skip = sorted(skip)
 
     def linked_to_base(self) -> list[int]:
@@ -189,6 +193,21 @@ class Nodes:
         seen = {find(i) for i, k in enumerate(self.label) if k}
         return [i for i, k in enumerate(self.label) if not k and find(i) in seen]
 
+    def hops(self) -> int:
+        """Skip links between a base span and the farthest node that they connect with one."""
+        near: dict[int, list[int]] = {}
+        for i, j in self.skip:
+            near.setdefault(i, []).append(j)
+            near.setdefault(j, []).append(i)
+        away = {i: 0 for i, k in enumerate(self.label) if k}
+        queue = list(away)
+        for i in queue:
+            for j in near.get(i, ()):
+                if j not in away:
+                    away[j] = away[i] + 1
+                    queue.append(j)
+        return max(away.values(), default=0)
+
 
 class Field:
     """Potentials of the field."""
@@ -230,20 +249,28 @@ class Field:
         # at least so much that one link to a rule match outweighs an odd shape
         return cls(unary, np.clip(rows - share, -2, 2), float(max(7.0, np.log(rate / (1 - rate) * (N_LABELS - 1)))))
 
-    def marginals(self, n: Nodes, rounds: int = 12) -> np.ndarray:
-        """Loopy sum-product messages in the log domain, all at once in each round, damped by half."""
+    def marginals(self, n: Nodes, rounds: int = 1000, settled: float = 1e-7) -> np.ndarray:
+        """Loopy sum-product messages in the log domain, all at once in each round, damped by half.
+
+        They run until none changes by more than `settled`; `rounds` only ends those that never do.
+        """
         node = np.array([self.unary[list(f)].sum(0) for f in n.shape])
         node -= node.max(1, keepdims=True)
-        for i, k in enumerate(n.label):
-            if k:
-                node[i] = -30.0
-                node[i, k] = 0.0
+        fixed = np.array(n.label)
         edges = n.chain + n.skip
-        if not edges:
+        if edges:
+            agree = np.eye(N_LABELS) * self.skip
+            potential = np.stack([self.chain] * len(n.chain) + [agree] * len(n.skip))
+            a, b = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
+            # what a rule labels is known: it tells its neighbours once, and nothing outvotes it
+            for x, y, table in ((a, b, potential), (b, a, potential.transpose(0, 2, 1))):
+                known = (fixed[x] > 0) & (fixed[y] == 0)
+                np.add.at(node, y[known], table[known, fixed[x[known]]])
+            free = (fixed[a] == 0) & (fixed[b] == 0)
+            a, b, potential = a[free], b[free], potential[free]
+        node[fixed > 0] = np.where(np.eye(N_LABELS, dtype=bool)[fixed[fixed > 0]], 0.0, -np.inf)
+        if not edges or not len(a):
             return _normal(node)
-        agree = np.eye(N_LABELS) * self.skip
-        potential = np.stack([self.chain] * len(n.chain) + [agree] * len(n.skip))
-        a, b = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
         src, dst = np.concatenate([a, b]), np.concatenate([b, a])
         table = np.concatenate([potential, potential.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
@@ -254,7 +281,11 @@ class Field:
             held = total[src] - message[back]
             new = _logsum(held[:, :, None] + table)
             new -= _logsum(new[:, :, None])
-            message = 0.5 * message + 0.5 * new
+            new = 0.5 * message + 0.5 * new
+            change = np.abs(new - message).max()
+            message = new
+            if change <= settled:
+                break
         total = node.copy()
         np.add.at(total, dst, message)
         return _normal(total)
@@ -267,7 +298,7 @@ class Field:
         linked = n.linked_to_base()
         if not linked:
             return []
-        best = self.marginals(n).argmax(1)
+        best = self.marginals(n, 1000 + 4 * n.hops()).argmax(1)
         return [(n.at[i][0], int(best[i]) - 1, n.at[i][1]) for i in linked if best[i]]
 
 

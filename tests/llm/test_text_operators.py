@@ -58,6 +58,25 @@ def test_links_carry_labels_to_repetitions_and_leave_others_alone():
     assert pii.spans_of(lone, field) == ([], [])
 
 
+@pytest.mark.parametrize("times", [5, 20, 200])
+def test_every_repetition_of_a_match_is_labelled(times):
+    field = pii.Field.fit(["Mail a.bcdef@mail.example.com or 10.0.0.1 or 4587121519400672 now 12345 6 x7"] * 30)
+    for first, bare, kind in (("mail johnsmith77@mail.example.com", "johnsmith77", "email"), ("call +14155550123456 .", "14155550123456", "phone")):
+        text = f"{first} and" + f" then {bare} was" * times
+        base, full = pii.spans_of(text, field)
+        assert len(base) == 1 and [(pii.KINDS[k], text[s:e]) for s, k, e in full[1:]] == [(kind, bare)] * times
+        before = f"{bare} was then " * times + first
+        assert len(pii.spans_of(before, field)[1]) == times + 1
+
+
+def test_messages_run_until_they_settle():
+    field = pii.Field(np.zeros((pii.N_FEATURES, pii.N_LABELS)), np.zeros((5, 5)), 7.0)
+    text = "at 10.20.30.40 is username@10203040" + " then @username was" * 40
+    n = pii.Nodes(text, pii.base_spans(text))
+    assert n.hops() == 41 and len(n.linked_to_base()) == 41
+    assert len(pii.spans_of(text, field)[1]) == 42
+
+
 def test_messages_match_enumeration_on_a_tree():
     rng = np.random.default_rng(2)
     field = pii.Field(rng.normal(size=(pii.N_FEATURES, pii.N_LABELS)), rng.normal(size=(5, 5)) * 0.5, 1.5)
