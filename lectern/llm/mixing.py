@@ -6,31 +6,41 @@ Each slot goes to the released block with the earliest deadline (ties: the later
 successor first, as PD2 has it, then the name), which keeps every source within
 one block of its share at every slot while no source has run out.
 
-Weights are whole parts of `period` slots, so the schedule repeats and only one
-period, a table of `period` entries whatever the data's size, is worked out on
-the driver. A source's k-th block then falls into slot
-    (k // parts) * period + place[k % parts].
+Weights are kept as exact fractions and no schedule is repeated, so the bound
+holds against the targets themselves, however long the mix and however many its
+sources. A source that has run out takes no more slots; the others' blocks keep
+to their windows. The driver works the slots out one block after another and
+holds one entry for each source and one piece of the schedule; the pieces are
+written to a shared folder and joined to the ranges of rows, not broadcast.
 Rows get their number within the source from counts by hash range, so a source
 that holds a third of all rows is dealt over as many tasks as its ranges.
 
-Every row is kept: a source that has run out leaves its slots empty, and the
-rest goes on in order; `position` numbers the rows of the mix without gaps
-inside a block. Defined results: a null source counts as the source "";
+Every row is kept: slots for which no block is released stay empty, and the
+rest goes on in order; `mix_row` numbers the rows of a block without gaps. Defined results: a null source counts as the source "";
 sources without a target weight share what `weights` leaves over in proportion
-to their rows, or, where nothing is left over, come after a period's other
-sources with one part each; repeated rows are rows of their own; an empty table gives an
-empty result; columns named like the new ones are replaced.
+to their rows, or, where nothing (less than 1e-9) is left over, come after all
+others in proportion to their rows; repeated rows are rows of their own; an empty
+table gives an empty result; columns named like the new ones are replaced.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots of a period, and most sources a schedule can hold.
+from .common import Scratch
+
+#: Slots of a schedule that repeats (`parts_of`, `pfair`); `mix` has none.
 PERIOD = 1000
+#: Blocks of the schedule that the driver holds at once.
+PIECE = 500_000
 
 
 def parts_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -52,33 +62,79 @@ def parts_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return parts
 
 
+def schedule(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int]]:
+    """(source, block from 0, slot) of all blocks by slot: the earliest deadline among released blocks, by exact weights."""
+    exact = {k: Fraction(v) for k, v in weights.items()}
+    if not exact or min(exact.values()) <= 0:
+        raise ValueError("weights must be positive")
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    part = {k: int(x * unit) for k, x in exact.items()}
+    total = sum(part.values())
+
+    def due(name: str, k: int) -> tuple[int, bool, int, str, int]:
+        end = (k + 1) * total
+        # the next block's window begins before this one's ends: it goes first among equals
+        return -(-end // part[name]), end % part[name] == 0, -part[name], name, k
+
+    ready = [due(name, 0) for name in sorted(part) if blocks[name]]
+    heapq.heapify(ready)
+    later: list[tuple[int, str, int]] = []
+    slot = 0
+    while ready or later:
+        if not ready:
+            slot = max(slot, later[0][0])
+        while later and later[0][0] <= slot:
+            _, name, k = heapq.heappop(later)
+            heapq.heappush(ready, due(name, k))
+        *_, name, k = heapq.heappop(ready)
+        yield name, k, slot
+        if k + 1 < blocks[name]:
+            heapq.heappush(later, ((k + 1) * total // part[name], name, k + 1))
+        slot += 1
+
+
 def pfair(parts: dict[str, int], period: int = PERIOD) -> list[str | None]:
     """The source of each slot of a period, by earliest deadline among released blocks."""
-    done = dict.fromkeys(sorted(parts), 0)
-    out: list[str | None] = []
-    for slot in range(period):
-        ready = []
-        for name, k in done.items():
-            p = parts[name]
-            if k < p and k * period // p <= slot:
-                deadline = -(-(k + 1) * period // p)
-                overlap = (k + 1) * period % p > 0  # the next block's window begins before this one's ends
-                ready.append((deadline, not overlap, -p, name))
-        name = min(ready)[3] if ready else None
-        if name is not None:
-            done[name] += 1
-        out.append(name)
+    out: list[str | None] = [None] * period
+    for name, _, slot in schedule(parts, parts):
+        out[slot] = name
     return out
 
 
-def target_weights(counts: dict[str, int], weights: dict[str, float] | None) -> dict[str, float]:
-    """Weights of all sources: see the module for those without a target."""
-    weights = {k: w for k, w in (weights or {}).items() if w > 0 and k in counts}
-    rest = {k: n for k, n in counts.items() if k not in weights}
-    left = max(0.0, 1.0 - sum(weights.values()))
-    spare = left if left > 0 else len(rest) / PERIOD
+def target_weights(counts: dict[str, int], weights: dict[str, float] | None) -> tuple[dict[str, float], dict[str, float]]:
+    """Weights of the sources that are mixed, and of those that come after them: see the module."""
+    held = {k: w for k, w in (weights or {}).items() if w > 0 and k in counts}
+    rest = {k: n for k, n in counts.items() if k not in held}
+    left = 1 - sum(map(Fraction, held.values()))
+    if not held or left < Fraction(1, 10**9):
+        return (held, rest) if held else (rest, {})
     total = sum(rest.values())
-    return weights | {k: max(spare * n / total, 1e-9) for k, n in rest.items()}
+    return held | {k: left * n / total for k, n in rest.items()}, {}
+
+
+def _slots(counts: dict[str, int], weights: dict[str, float] | None, alpha: float, block_rows: int) -> Iterator[tuple[str, int, int]]:
+    blocks = {k: -(-n // block_rows) for k, n in counts.items()}
+    first, after = target_weights(counts, weights) if weights else ({k: n**alpha for k, n in counts.items()}, {})
+    begin = 0
+    for shares in (first, after):
+        last = begin - 1
+        if shares:
+            for name, k, slot in schedule(shares, blocks):
+                last = begin + slot
+                yield name, k, last
+        begin = last + 1
+
+
+def _written(spark, slots: Iterator[tuple[str, int, int]]) -> DataFrame:
+    """The schedule as a table of the shared folder, written piece by piece."""
+    scratch, out = Scratch(spark), None
+    names = ["_source", "_k", "_slot"]
+    types = [pa.string(), pa.int64(), pa.int64()]
+    while piece := list(islice(slots, PIECE)):
+        columns = [pa.array(c, t) for c, t in zip(zip(*piece, strict=True), types, strict=True)]
+        part = scratch.write(spark.createDataFrame(pa.table(columns, names)), "slots")
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 def mix(
@@ -89,44 +145,37 @@ def mix(
     alpha: float = 0.5,
     block_rows: int = 8,
     range_rows: int = 2000,
-    period: int = PERIOD,
     seed: int = 1,
 ) -> DataFrame:
     """All rows with mix_block (the block's slot) and mix_row (the row's place within the block).
 
     Ordering by (mix_block, mix_row) gives the mix. Rows of a source are taken in
     the order of a seeded hash of their id. weights: target share by source, of 1
-    in all; without them a source's share goes with its rows to the power alpha.
+    in all, or scaled to it where they are more; without them a source's share goes with its rows to the power alpha.
     """
     spark = docs.sparkSession
     slots = 1 << 40
     named = docs.drop("mix_block", "mix_row").withColumn("_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     named = named.withColumn("_h", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(slots)))
-    # one more than a schedule can hold is enough to refuse them
-    counts = {r._source: r.n for r in named.groupBy("_source").agg(F.count("*").alias("n")).limit(period + 1).collect()}
+    counts = {r._source: r.n for r in named.groupBy("_source").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return docs.drop("mix_block", "mix_row").selectExpr("*", "cast(null as long) mix_block", "cast(null as int) mix_row")
-    if len(counts) > period:
-        raise ValueError(f"more than {period} sources don't fit into {period} slots")
-    shares = target_weights(counts, weights) if weights else {k: n**alpha for k, n in counts.items()}
-    parts = parts_of(shares, period)
-    place: dict[str, list[int]] = {k: [] for k in parts}
-    for slot, name in enumerate(pfair(parts, period)):
-        if name is not None:
-            place[name].append(slot)
+    taken = _written(spark, _slots(dict(sorted(counts.items())), weights, alpha, block_rows))
     ranges = max(1, -(-sum(counts.values()) // range_rows))
     named = named.withColumn("_range", F.floor(F.col("_h") / F.lit(-(-slots // ranges))).cast("int"))
     sizes = named.groupBy("_source", "_range").agg(F.count("*").alias("_n"))
     running = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("_source", "_range", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
+    before = sizes.select("_source", "_range", "_n", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
+    # the slots of each range's blocks, in order: a range holds about range_rows / block_rows of them
+    first = F.expr(f"_before div {block_rows}")
+    ks = before.select("_source", "_range", "_before", F.explode(F.sequence(first, F.expr(f"(_before + _n - 1) div {block_rows}"))).alias("_k"))
+    held = F.transform(F.array_sort(F.collect_list(F.struct("_k", "_slot"))), lambda x: x["_slot"])
+    places = ks.join(taken.hint("merge"), ["_source", "_k"]).groupBy("_source", "_range").agg(F.first("_before").alias("_before"), held.alias("_slots"))
     within = Window.partitionBy("_source", "_range").orderBy("_h", id_col)
-    ranked = named.withColumn("_i", F.row_number().over(within) - 1).join(before, ["_source", "_range"])
-    # one row for each source, at most `period`: bounded whatever the data's size
-    schedule = spark.createDataFrame([(k, parts[k], v) for k, v in sorted(place.items())], "_source string, _parts long, _place array<long>")
-    k = F.expr(f"(_before + _i) div {block_rows}")
-    out = ranked.join(F.broadcast(schedule), "_source").withColumn("_k", k)
+    out = named.withColumn("_i", F.row_number().over(within) - 1).join(places.hint("merge"), ["_source", "_range"])
+    at = F.expr(f"_slots[cast((_before + _i) div {block_rows} - _before div {block_rows} as int)]")
     return out.select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in ("mix_block", "mix_row")],
-        (F.expr("_k div _parts") * period + F.expr("_place[cast(_k % _parts as int)]")).alias("mix_block"),
+        at.alias("mix_block"),
         F.expr(f"cast((_before + _i) % {block_rows} as int)").alias("mix_row"),
     )

@@ -1,8 +1,10 @@
 """Operators over whole tables: mixing, join, neighbours, decontamination, chat, archives, pipeline."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -48,6 +50,36 @@ def test_mix_keeps_all_rows_and_the_targets(spark):
     assert sorted(map(tuple, got[key].values)) == sorted(map(tuple, again[key].values))
 
 
+@pytest.mark.parametrize("n", [3, 1500])
+def test_schedule_stays_within_one_block_of_the_exact_targets(n):
+    rng = random.Random(n)
+    weights = {"third": 0.3333, "rare": 0.0001} | {f"s{i}": rng.random() ** 3 + 1e-6 for i in range(n)}
+    scale = (1 - 0.3334) / sum(list(weights.values())[2:])
+    weights = {k: w if k in ("third", "rare") else w * scale for k, w in weights.items()}
+    total = sum(map(Fraction, weights.values()))
+    slots = 300_000 if n == 3 else 20_000
+    blocks = {k: math.ceil(w * slots) + 2 for k, w in weights.items()}
+    taken = -1
+    for name, k, slot in mixing.schedule(weights, blocks):
+        assert slot > taken  # one block in a slot
+        taken = slot
+        share = Fraction(weights[name]) / total
+        # after the block's slot k + 1 are done, before it k: both within one block of the share
+        assert k + 1 - share * (slot + 1) < 1 and share * slot - k < 1 and share * (slot + 1) - k <= 1
+
+
+def test_mix_holds_more_than_1000_sources_to_their_targets(spark):
+    rows = [(i, f"s{i % 1200}") for i in range(12_000)] + [(12_000 + i, "big") for i in range(12_000)]
+    d = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mix(d, {"big": 0.3333}, block_rows=4, range_rows=500).toPandas()
+    assert sorted(got.doc_id) == list(range(24_000)) and not got.duplicated(["mix_block", "mix_row"]).any()
+    assert (got.groupby("mix_block").source.nunique() == 1).all() and (got.groupby("mix_block").size() <= 4).all()
+    big = sorted(set(got[got.source == "big"].mix_block))
+    assert len(big) == 3000 and all(abs(k - 0.3333 * slot) <= 1 for k, slot in enumerate(big))
+    after = mixing.mix(d, {"big": 1.0}, block_rows=4).toPandas()
+    assert len(after) == 24_000 and after[after.source == "big"].mix_block.max() == 2999 == after[after.source != "big"].mix_block.min() - 1
+
+
 def test_too_many_sources_are_refused():
     with pytest.raises(ValueError):
         mixing.parts_of(dict.fromkeys(range(1001), 1.0))
