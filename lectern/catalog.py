@@ -692,12 +692,17 @@ def centroid_terms(spark, sf):
 @query("kmeans_assign")
 def kmeans_assign(spark, sf):
     rows = materialised(ml.dense(table(spark, sf, "embeddings"), "embedding").select("vec_id", "features"))
-    return ml.kmeans(rows, 3, n_init=2)[0].transform(rows).select("vec_id", "cluster")
+    return ml.kmeans(rows, 3)[0].transform(rows).select("vec_id", "cluster")
 
 
 @query("kmeans_elbow")
 def kmeans_elbow(spark, sf):
-    return ml.elbow(ml.dense(table(spark, sf, "embeddings"), "embedding"), range(2, 5), n_init=1)
+    return ml.elbow(ml.dense(table(spark, sf, "embeddings"), "embedding"), range(2, 5))
+
+
+@query("kmeans_elbow_all")
+def kmeans_elbow_all(spark, sf):
+    return ml.elbow(ml.dense(table(spark, sf, "embeddings"), "embedding"))
 
 
 def _counted(spark, sf):
@@ -709,10 +714,10 @@ def _counted(spark, sf):
 @query("lda_topics")
 def lda_topics(spark, sf):
     rows, vocab = _counted(spark, sf)
-    return ml.topic_terms(ml.lda(rows, iterations=5), spark, vocab)
+    return ml.topic_terms(ml.lda(rows), spark, vocab)
 
 
 @query("lda_docs")
 def lda_docs(spark, sf):
     rows, _ = _counted(spark, sf)
-    return ml.topic_documents(ml.lda(rows, iterations=5), rows, 5)
+    return ml.topic_documents(ml.lda(rows), rows, 5)
