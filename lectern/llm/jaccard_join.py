@@ -391,13 +391,33 @@ def similar_components(
     return result
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """One row of each id and text, the first by its columns as JSON, with `_id`: the id, or for further texts of one id a number above all ids.
+
+    The order of `_id` depends on the rows only. Rows with a null id all stay.
+    """
+    named = docs.where("doc_id is not null").withColumn("_all", F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    same, texts = Window.partitionBy("doc_id", "text").orderBy("_all"), Window.partitionBy("doc_id").orderBy("text")
+    once = named.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").withColumn("_nth", F.row_number().over(texts)).drop("_all")
+    once, most = Scratch(docs.sparkSession).write(once, "once"), docs.agg(F.max("doc_id").alias("m")).first().m
+    own = F.col("doc_id").cast("long")
+    extra = once.where("_nth > 1").orderBy("doc_id", "_nth").withColumn("_id", F.lit(int(most) + 1) + F.monotonically_increasing_id())
+    extra = Scratch(docs.sparkSession).write(extra, "extra")
+    out = once.where("_nth = 1").withColumn("_id", own).unionByName(extra).drop("_nth")
+    return out.unionByName(docs.where("doc_id is null").withColumn("_id", own))
+
+
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs, with all their columns, that stay: of each component the row of the smallest id, and all rows with a null id."""
-    found = similar_components(docs, words, num, den)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    """The rows of docs, with all their columns, that stay: of each component the row of the smallest id, and all rows with a null id.
+
+    Rows with one id and one text are one row; different texts with one id are
+    documents of their own, removed by similarity only.
+    """
+    columns = docs.columns
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    docs = _told_apart(docs) if repeated else docs.withColumn("_id", F.col("doc_id").cast("long"))
+    found = similar_components(docs, words, num, den, "_id")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
     # only rows that may go are moved to be compared exactly
-    kept = maybe_among(docs, "doc_id", gone, among=False).unionByName(maybe_among(docs, "doc_id", gone).join(gone, "doc_id", "left_anti"))
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id").limit(1).count()
-    if repeated:
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept.select(docs.columns)
+    kept = maybe_among(docs, "_id", gone, among=False).unionByName(maybe_among(docs, "_id", gone).join(gone, "_id", "left_anti"))
+    return kept.select(columns)

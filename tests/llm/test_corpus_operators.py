@@ -139,6 +139,15 @@ def test_components_match_brute_force(spark, monkeypatch, words, num):
     assert len(got) == len(rows) + 1 and [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+def test_different_texts_with_one_id_both_stay(spark):
+    one, two, far = (" ".join(f"{x}{i}" for i in range(40)) for x in ("a", "b", "c"))
+    rows = [(1, one, "p"), (2, one, "q"), (2, two, "r"), (3, far, "s"), (3, far + " end", "t"), (3, far, "s"), (4, "short", "u"), (4, "other", "v"), (None, one, "w"), (None, one, "w")]
+    want = [("1", "p"), ("2", "r"), ("3", "s"), ("4", "u"), ("4", "v"), ("None", "w"), ("None", "w")]
+    for parts in (1, 7):
+        d = spark.createDataFrame(rows, "doc_id long, text string, n string").repartition(parts)
+        assert sorted((str(r.doc_id), r.n) for r in jaccard_join.one_of_each(d).collect()) == want
+
+
 def test_join_keeps_one_of_each(spark):
     text = " ".join(f"w{i}" for i in range(50))
     d = spark.createDataFrame([(3, text, "p"), (1, text, "q"), (1, text, "q"), (2, "other words", "r"), (4, "", "s"), (5, None, "t"), (None, text, "u")], "doc_id long, text string, n string")
