@@ -16,9 +16,9 @@ Measured recall against brute force is a test and stands in the README.
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part; ties go to the smaller id;
-a row that occurs twice counts once, and a query's own id is no candidate; fewer
-than k candidates in the table are all returned (tables of up to 64 k rows are
-searched whole); extra columns are ignored.
+a row that occurs twice counts once, and a query's own id is no candidate; a
+query goes on to further parts until those searched hold k other rows, so fewer
+than k candidates in the table are all returned; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +30,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, hash_share
+from .common import Scratch, bound_batches, hash_share
 
 RESULT = "query_id long, vec_id long, score double"
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component near one: exact, and squares neither overflow nor vanish."""
+    _, power = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    return np.ldexp(x, -power)
+
+
 def normalised(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -123,7 +130,8 @@ class Router:
 
 
 def exact_cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosines of paired rows in double precision, summed row by row, so that equal vectors get equal scores."""
+    """Cosines of paired rows in double precision, summed row by row, so that equal vectors get equal scores; of any finite size."""
+    q, x = scaled(q), scaled(x)
     return (q * x).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1)))
 
 
@@ -173,7 +181,8 @@ def probes_for(router: Router, x: np.ndarray, held: np.ndarray, k: int, recall:
 
 def fit_router(rows: DataFrame, n: int, k: int = 5, sample_rows: int = 8000, parts: int = 64, recall: float = 0.93) -> tuple[Router | None, int]:
     """A router for n usable rows from about sample_rows of them, chosen by hash of the id, and how many parts a query searches."""
-    got = rows.where(hash_share("vec_id", sample_rows, n)).collect() if n else []
+    h = F.xxhash64(F.lit(11), "vec_id")  # at most sample_rows rows, also where one id has many
+    got = rows.where(hash_share("vec_id", sample_rows, n)).orderBy(h, "v").limit(sample_rows).collect() if n else []
     if not got:
         return None, 1
     x = normalised(np.unique(np.array([r.v for r in got], np.float64), axis=0))
@@ -215,22 +224,28 @@ def nearest(
     if router is None:  # no row fell into the sample of a very small table: one part holds all
         router = Router(np.zeros((length[0].n, 1)), np.zeros(1))
     count = router.weights.shape[1]
-    probes = count if n <= 64 * k else probes
-
-    def route(most: int):
-        def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    best = router.best(normalised(_matrix(b.v)), most)
-                    yield b.assign(parts=list(best.astype("int32")))
 
-        return go
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b.assign(part=router.best(normalised(_matrix(b.v)), 1)[:, 0].astype("int32"))
 
-    routed, one = "vec_id long, v array<double>, parts array<int>", F.explode("parts").alias("part")
     # blocks by the rows' number, not by a part's: every part is cut alike, and none needs to be known beforehand
     blocks = max(1, -(-n // (count * block_rows)) * 2)
-    dealt = rows.mapInPandas(route(1), routed).select("vec_id", "v", one).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    asked = rows.where(is_query).mapInPandas(route(probes), routed).select("vec_id", "v", one)
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
+    dealt = Scratch(spark).write(rows.mapInPandas(deal, "vec_id long, v array<double>, part int").select("vec_id", "v", "part", block), "dealt")
+    size = np.zeros(count, np.int64)  # one number for each part
+    for r in dealt.groupBy("part").agg(F.countDistinct("vec_id").alias("n")).collect():
+        size[r.part] = r.n
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                best = router.best(normalised(_matrix(b.v)), count)
+                most = np.maximum(probes, (np.cumsum(size[best], 1) <= k).sum(1) + 1)  # k others and the query's own row
+                yield b.assign(parts=[p[:m].astype("int32") for p, m in zip(best, most, strict=True)])
+
+    asked = rows.where(is_query).mapInPandas(ask, "vec_id long, v array<double>, parts array<int>").select("vec_id", "v", F.explode("parts").alias("part"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     found = asked.groupBy("part", "block").cogroup(dealt.groupBy("part", "block")).applyInPandas(lambda q, x: search_block(q, x, k), RESULT)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -1,19 +1,24 @@
-"""Benchmark decontamination: size-partitioned bottom-k MinHash containment search, native.
+"""Benchmark decontamination: size-partitioned MinHash containment search, native.
 
 Which documents hold at least `least` of a benchmark item's distinct word
-shingles? Items are partitioned by their number q of shingles. In the partition
-of q, an item's signature is its k(q) = floor((1 - least) * q) + 1 shingles of
-smallest hash (bottom-k MinHash). A document that holds `least` of an item can
-miss fewer than k(q) of its shingles, so it holds one of the signature at
-least: the search has no false negatives, however long the document is. (Banded
-MinHash would need to tell Jaccard similarities of 0.002 apart, since a short
-item is a tiny part of a long document; it loses matches. So the sizes set the
-depth of the signature rather than a number of bands.)
-
-Documents' shingles are looked up in the signatures; every candidate pair is
+shingles? Items are partitioned by the power of two of their number q of
+shingles. A document holding `least` of an item misses m(q) = floor((1 - least)
+* q) of its shingles at most, so of the item's MinHash signature, its m(q) + c
+shingles of smallest hash, it holds c at least. c grows with the partition (1
+below 16 shingles, 2 below 32, 3 below 64, then 4): long items need more evidence to
+become candidates. A partition's threshold is the largest hash in any of its
+signatures; a document's MinHash sketch for the partition are its shingles with
+hashes up to that. So a sketch is a fixed share of a document, however long, and
+the search has no false negatives.
+
+(Signatures of fixed length, cut into bands, would have to tell Jaccard
+similarities of 0.002 apart, since a short item is a tiny part of a long
+document; the README has their recall by document size.)
+
+Documents' sketches are looked up in the signatures; every candidate pair is
 then verified exactly, shingle by shingle, as text. The items' tables are
-broadcast only if they have at most `broadcast_rows` shingles; above, the
-lookups shuffle.
+broadcast only if they have at most `broadcast_rows` shingles; above, a filter
+of bounded size goes before the lookups, which shuffle.
 
 Words are runs of letters and digits, lower-cased. Items of fewer than `words`
 words are looked up as one shingle of their own length.
@@ -29,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, maybe_among
+from .common import Scratch, maybe_among, named, spare
 
 #: Most shingles of all items with which they, and the signatures among them, are broadcast: words of text each.
 BROADCAST_ROWS = 200_000
@@ -77,7 +82,6 @@ def contained(docs: DataFrame, items: DataFrame, words: int = 5, least: float =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     if not lengths:
         return docs.selectExpr("doc_id", "0L item_id", "0L n_shared", "0L n_item", "0d containment").where("false")
-    depth = F.floor(F.round((1 - F.lit(least)) * F.col("q"), 6)) + 1
     # an item's shingles meet by nature: one text of the benchmark
     ranked = []
     for k in lengths:
@@ -86,37 +90,51 @@ def contained(docs: DataFrame, items: DataFrame, words: int = 5, least: float =
     signatures = ranked[0]
     for p in ranked[1:]:
         signatures = signatures.unionByName(p)
-    signatures = signatures.groupBy("item_id", "len", "q").agg(F.array_sort(F.collect_set("h")).alias("hs"))
-    signatures = signatures.select("item_id", F.explode(F.slice("hs", 1, depth.cast("int"))).alias("h")).distinct()
+    missed = F.floor(F.round((1 - F.lit(least)) * F.col("q"), 6)).cast("int")
+    needed = F.when(F.col("q") < 16, 1).when(F.col("q") < 32, 2).when(F.col("q") < 64, 3).otherwise(4)
+    signatures = signatures.groupBy("item_id", "q").agg(F.array_sort(F.collect_set("h")).alias("hs"))
+    signatures = signatures.select("item_id", F.floor(F.log2("q")).alias("part"), needed.alias("needed"), F.explode(F.slice("hs", F.lit(1), missed + needed)).alias("h"))
+    scratch = Scratch(docs.sparkSession)
+    signatures = scratch.write(signatures, "signatures")
+    # thresholds of the partitions: a few rows, as sizes are powers of two
+    highest = {r.part: r.h for r in signatures.groupBy("part").agg(F.max("h").alias("h")).collect()}
     keys = signatures.select("h").distinct()
-    small = shingles.count() <= broadcast_rows
+    n_keys = shingles.count()
+    small = n_keys <= broadcast_rows
 
-    def lookup(rows: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-        return rows.join(F.broadcast(other) if small else other, on, how)
+    def among(rows: DataFrame, other: DataFrame, on: str) -> DataFrame:
+        if small:
+            return rows.join(F.broadcast(other), on, "left_semi")
+        return maybe_among(rows, on, other, n_keys).join(other, on, "left_semi")
+
+    def lookup(rows: DataFrame, other: DataFrame, on: str) -> DataFrame:
+        return rows.join(F.broadcast(other) if small else other, on)
 
     worded = docs.select("doc_id", words_of(F.col("text")).alias("ws"))
-    arrays = [_hashes(k) for k in lengths]
-    hashes = F.coalesce(arrays[0], F.array().cast("array<bigint>")) if len(arrays) == 1 else F.flatten(F.array(*(F.coalesce(a, F.array().cast("array<bigint>")) for a in arrays)))
-    hits = lookup(worded.select("doc_id", F.explode(hashes).alias("h")), keys, ["h"], "left_semi")
+    arrays = [F.coalesce(_hashes(k), F.array().cast("array<bigint>")) for k in lengths]
+    # sketches are nested, so the one of the highest threshold holds all others
+    sketch = F.array_distinct(F.filter(F.flatten(F.array(*arrays)) if len(arrays) > 1 else arrays[0], lambda h: h <= max(highest.values())))
+    hits = among(worded.select("doc_id", F.explode(sketch).alias("h")), keys, "h")
+    found = lookup(hits, signatures, "h").groupBy("doc_id", "item_id", "needed").agg(F.size(F.collect_set("h")).alias("n")).where("n >= needed")
     # written, as three parts of the rest read it; a few rows for each document that may hold an item
-    found = lookup(hits.distinct(), signatures, ["h"]).select("doc_id", "item_id").distinct()
-    pairs = Scratch(docs.sparkSession).write(found, "candidates")
+    pairs = scratch.write(found.select("doc_id", "item_id").distinct(), "candidates")
     # exact: the shingles, as text, of documents that are candidates; only those that some item has go on
     candidates = pairs.select("doc_id").distinct()
-    texts = maybe_among(docs, "doc_id", candidates).join(candidates, "doc_id", "left_semi").select("doc_id", words_of(F.col("text")).alias("ws"))
+    texts = maybe_among(docs, "doc_id", candidates, pairs.count()).join(candidates, "doc_id", "left_semi").select("doc_id", words_of(F.col("text")).alias("ws"))
     runs = [F.coalesce(_strings(k), F.array().cast("array<string>")) for k in lengths]
     spoken = texts.select("doc_id", F.explode(F.flatten(F.array(*runs)) if len(runs) > 1 else runs[0]).alias("shingle"))
-    held = lookup(spoken, shingles.select("shingle").distinct(), ["shingle"], "left_semi").distinct()
-    shared = lookup(held, shingles.select("shingle", "item_id", "q"), ["shingle"]).join(pairs, ["doc_id", "item_id"], "left_semi")
+    held = among(spoken, shingles.select("shingle").distinct(), "shingle").distinct()
+    shared = lookup(held, shingles.select("shingle", "item_id", "q"), "shingle").join(pairs, ["doc_id", "item_id"], "left_semi")
     out = shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.first("q").alias("n_item"))
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("n_shared") >= F.round(F.lit(least) * F.col("n_item"), 6))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of docs, with all their columns, that hold `least` of no item; rows with a null id stay."""
-    found = contained(docs.select("doc_id", "text"), items, words, least).select(F.col("doc_id").alias("_hit")).distinct()
+    """The rows of docs, with all their columns, that hold `least` of no item; rows with a null id stay. Extra columns may have any name."""
+    key, hit_key = spare(docs.columns, "key", "hit")
+    found = contained(docs.select("doc_id", "text"), items, words, least).select(F.col("doc_id").alias(hit_key)).distinct()
     hit = Scratch(docs.sparkSession).write(found, "hits")
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    keyed, rows = docs.withColumn(key, F.col("doc_id").cast("long")), hit.count()
     # only rows that may go are moved to be compared exactly
-    unsure = maybe_among(keyed, "_id", hit).join(hit, F.col("_id") == F.col("_hit"), "left_anti")
-    return maybe_among(keyed, "_id", hit, among=False).unionByName(unsure).select(*[F.col(f"`{c}`") for c in docs.columns])
+    unsure = maybe_among(keyed, key, hit, rows).join(hit, F.col(key) == F.col(hit_key), "left_anti")
+    return maybe_among(keyed, key, hit, rows, among=False).unionByName(unsure).select(named(docs))

@@ -3,25 +3,29 @@
 1. Every text becomes its set of shingles, as 64-bit hashes. Texts with equal
    sets are one class, represented by its smallest id.
 2. Shingles get a global order: rare ones by hash, frequent ones after them by
-   the logarithm of their count. Counts are exact for a quarter of all
+   the logarithm of their count. Counts are exact for a sixteenth of all
    shingles; of the rest, those frequent within a task's chunk are counted. At
    most `FREQUENT` shingles are told apart as frequent (a bounded table); the
    order is the same for all documents whatever it holds, so results don't
-   depend on it, only speed does. Counted shingles that occur once are left out
-   of the prefixes by a filter of fixed size, as nothing can share them.
+   depend on it, only speed does.
 3. The prefix of a set of size n are its first n - ceil(t n) + l(n) shingles in
    that order, l(n) = 1 + (n - ceil(t n)) // 2. Two sets with similarity t share
    at least min(l, l') shingles of their prefixes. Classes with the same size
    and prefix collapse into one group.
-4. Shingles that two prefixes share form buckets; groups with fewer shared
-   shingles than any partner would need are filtered out. Group pairs are then
-   filtered by the number of shared prefix shingles: natively in small buckets,
-   by matrix products within blocks of a bucket in large ones, from which only
-   a spanning forest goes on, so that no bucket emits all its pairs.
-5. Components of those candidates are expanded to the groups' members, whose
-   whole sets are verified exactly, again in blocks with only a forest and the
-   number of links of each member going on.
-6. Components of the verified links are the result.
+4. Shingles that several prefixes hold form buckets; groups with fewer of them
+   than any partner would need are filtered out. A group's home is its largest
+   bucket, so similar groups mostly have the same home. Group pairs are filtered
+   by size and by the number of shared prefix shingles: natively in small
+   buckets, by matrix products within blocks of a bucket in large ones. What
+   goes on are the pairs of homes that hold a pair of groups that passes, so no
+   bucket emits its pairs.
+5. Homes are expanded to their groups' members and cut into blocks; whole sets of
+   members are verified exactly in every pair of blocks whose homes are paired,
+   from which a forest and each member's number of links go on. A chain of
+   documents, each similar to the next few, has few pairs of homes, so its work
+   grows with its length; a family of n texts that are all similar has n^2 / 2
+   links to count, in blocks.
+6. Components of the verified links, and of the texts of one id, are the result.
 
 Each hash has 64 bits; in a corpus of 10^9 shingles two different ones share a
 hash with a probability of 3 in 100, and a verdict changes only if that falls on
@@ -29,9 +33,11 @@ the boundary of a pair.
 
 Defined results: a text without words is empty, has size 0 and links with
 nothing (not even another empty text); a null id gives a null component; rows
-with the same id count as one document and share a component; extra columns are
-ignored; an empty table gives an empty result. No cap on partners, buckets or
-group sizes: larger ones are cut into more blocks.
+with the same id and set count once; different texts with one id share a
+component, and each counts its own links (an id linked by two of its texts
+counts once for each); extra columns are ignored; an empty table gives an empty
+result. No cap on partners, buckets or group sizes: larger ones are cut into
+more blocks.
 """
 
 from __future__ import annotations
@@ -39,19 +45,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, map_batches, maybe_among, texts
+from .common import Scratch, map_batches, map_groups, maybe_among, named, spare, texts
 from .components import components
 
 #: Most shingles that are told apart as frequent: 16 bytes each go to the driver and back to every task.
 FREQUENT = 1 << 18
-#: Exact counts are taken of shingles whose hash lies below this, a quarter of the range.
-COUNTED_BELOW = np.uint64(1 << 62)
+#: Exact counts are taken of shingles whose hash lies below this, a sixteenth of the range.
+COUNTED_BELOW = np.uint64(1 << 60)
 #: Shingles of a chunk; of those outside the counted part, the ones that occur CHUNK_LEAST times in it are counted.
 CHUNK, CHUNK_LEAST = 1 << 20, 4
 #: Members of a bucket up to which pairs are formed natively; members of a block above.
@@ -134,92 +139,95 @@ def _count_chunks(words: int):
 
 
 class Order:
-    """The global order of shingles, and a filter of those in the counted part that occur more than once."""
+    """The global order of shingles."""
 
-    def __init__(self, frequent: np.ndarray, level: np.ndarray, shared: np.ndarray):
-        self.frequent, self.level, self.shared = frequent, level, shared
+    def __init__(self, frequent: np.ndarray, level: np.ndarray):
+        self.frequent, self.level = frequent, level
 
-    def keys(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the order (level in the top bits, hash below), and whether a shingle may occur in another text."""
-        key, level = u >> np.uint64(6), np.zeros(len(u), np.uint64)
+    def keys(self, u: np.ndarray) -> np.ndarray:
+        """Places in the order: the level in the top bits, the hash below."""
+        key = u >> np.uint64(6)
         if len(self.frequent) and len(u):
             at = np.minimum(np.searchsorted(self.frequent, u), len(self.frequent) - 1)
-            level = np.where(self.frequent[at] == u, self.level[at], 0).astype(np.uint64)
-        bit = np.where(u < COUNTED_BELOW, u >> np.uint64(38), np.uint64(0))
-        seen = (self.shared[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
-        return key | (level << np.uint64(58)), seen | (u >= COUNTED_BELOW)
+            key |= np.where(self.frequent[at] == u, self.level[at], 0).astype(np.uint64) << np.uint64(58)
+        return key
 
 
 def global_order(docs: DataFrame, words: int, scratch: Scratch, most: int = FREQUENT) -> Order:
-    """Levels of at most `most` frequent shingles (all with at least c texts, for the least c > 2 that fits) and the filter."""
-    counts = map_batches(docs.select("text"), _count_chunks(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    """Levels of at most `most` frequent shingles: all with at least c texts, for the least c > 2 that fits."""
+    counts = map_batches(docs.select("text"), _count_chunks(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
     kept = scratch.write(counts, "counts")
     # how many shingles have each leading bits of a count: at most 512 rows
     coarse = F.expr("shiftleft(shiftright(n, greatest(0, cast(floor(log2(n)) as int) - 3)), greatest(0, cast(floor(log2(n)) as int) - 3))")
-    sizes = sorted(((r.c, r.k) for r in kept.where("n > 2").groupBy(coarse.alias("c")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    sizes = sorted(((r.c, r.k) for r in kept.groupBy(coarse.alias("c")).agg(F.count("*").alias("k")).collect()), reverse=True)
     least, total = None, 0
     for c, k in sizes:
         total += k
         if total > most:
             break
         least = c
-    got = kept.where(F.col("n") >= least).toArrow().to_pandas() if least is not None else pd.DataFrame({"h": [], "n": []})
-    # 2^24 bits in at most 2^18 words
-    marks = kept.where((F.col("h") >= 0) & (F.col("h") < F.lit(int(COUNTED_BELOW)))).select(F.shiftright("h", 38).alias("b"))
-    filled = marks.groupBy(F.expr("b div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("m")).toArrow().to_pandas()
-    shared = np.zeros(1 << 18, np.uint64)
-    shared[filled.w.to_numpy(np.int64)] = filled.m.to_numpy(np.int64).view(np.uint64)
+    h, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if least is not None:
+        got = kept.where(F.col("n") >= least).toArrow()
+        h, n = got["h"].to_numpy(), got["n"].to_numpy()
     scratch.drop(kept)
-    h = got.h.to_numpy(np.int64).view(np.uint64)
-    level = np.minimum(np.log2(np.maximum(got.n.to_numpy(np.float64), 1)).astype(np.int64) + 1, 31).astype(np.uint8)
-    order = np.argsort(h)
-    return Order(h[order], level[order], shared)
+    level = np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64) + 1, 31).astype(np.uint8)
+    order = np.argsort(h.view(np.uint64))
+    return Order(h.view(np.uint64)[order], level[order])
 
 
 NODES = "doc_id long, n long, s1 long, s2 long, g long, prefix array<long>"
 
 
+def _signature(u: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a whole set, as two signed numbers."""
+    s1 = (u * np.uint64(0xD6E8FEB86659FD93) ^ (u >> np.uint64(32))).sum(dtype=np.uint64)
+    s2 = np.bitwise_xor.reduce(u * np.uint64(0xA0761D6478BD642F), initial=np.uint64(0))
+    return int(np.uint64(s1).view(np.int64)), int(np.uint64(s2).view(np.int64))
+
+
 def _nodes(words: int, similar: Similarity, order: Order):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, s1, s2, g, prefixes = [], [], [], [], []
             for raw in texts(b.column(1)):
                 u = shingle_hashes(raw, words)
+                signed = _signature(u)
                 n.append(len(u))
-                s1.append(int((u * np.uint64(0xD6E8FEB86659FD93) ^ (u >> np.uint64(32))).sum(dtype=np.uint64)))
-                s2.append(int(np.bitwise_xor.reduce(u * np.uint64(0xA0761D6478BD642F), initial=np.uint64(0))))
-                key, seen = order.keys(u)
-                first = np.argsort(key)[: similar.prefix(len(u)) if len(u) else 0]
-                g.append(_WORD(key[first].tobytes()))
-                prefixes.append(key[first][seen[first]])  # what no other text has can't be shared
+                s1.append(signed[0])
+                s2.append(signed[1])
+                key = order.keys(u)
+                prefixes.append(np.sort(key)[: similar.prefix(len(u)) if len(u) else 0])
+                g.append(_WORD(prefixes[-1].tobytes()))
             at = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
-            as_long = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
+            groups = pa.array(np.array(g, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), as_long(s1), as_long(s2), as_long(g), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), groups, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
                 ["doc_id", "n", "s1", "s2", "g", "prefix"],
             )
 
     return go
 
 
-def common_counts(a: list[np.ndarray], b: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of all sets of a with all of b, by products of incidence matrices, some columns at a time."""
-    flat = np.concatenate([*a, *b]) if a and b else np.zeros(0, np.int64)
+Sets = tuple[np.ndarray, np.ndarray]  # all members one after another, and how many each set has
+
+
+def common_counts(sets: Sets, a: np.ndarray, b: np.ndarray, chunk: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of the sets numbered a with those numbered b, by products of incidence matrices, some columns at a time."""
+    flat, lengths = sets
     out = np.zeros((len(a), len(b)), np.int64)
-    if not len(flat):
-        return out
-    u, inverse, n = np.unique(flat, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in [*a, *b]])
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    _, inverse, n = np.unique(flat, return_inverse=True, return_counts=True)
     some = n[inverse] > 1
-    row, column = row[some], np.cumsum(n > 1)[inverse[some]] - 1
+    row, column = row[some], (np.cumsum(n > 1) - 1)[inverse[some]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, chunk):
         lo, hi = np.searchsorted(column, [at, at + chunk])
-        m = np.zeros((len(a) + len(b), chunk), np.float32)
+        m = np.zeros((len(lengths), min(chunk, int(column[-1]) + 1 - at)), np.float32)
         m[row[lo:hi], column[lo:hi] - at] = 1
-        out += np.rint(m[: len(a)] @ m[len(a) :].T).astype(np.int64)
+        out += np.rint(m[a] @ m[b].T).astype(np.int64)
     return out
 
 
@@ -235,71 +243,95 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _sets(column: pd.Series) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.int64) if isinstance(x, bytes) else np.unique(np.asarray(x, np.int64)) for x in column]
-
-
-def _pair_matrix(rows: pd.DataFrame, verdict) -> np.ndarray:
-    """Symmetric links among a block pair's rows: within the block, or between its two blocks."""
-    sets, n = _sets(rows["set"]), rows.n.to_numpy()
-    one = rows.block.to_numpy() == rows.i.to_numpy()
-    if rows.i.iloc[0] == rows.j.iloc[0]:
-        linked = verdict(common_counts(sets, sets), n[:, None], n[None])
-        np.fill_diagonal(linked, False)
-        return linked
-    a, b = np.flatnonzero(one), np.flatnonzero(~one)
-    linked = np.zeros((len(rows), len(rows)), bool)
-    if len(a) and len(b):
-        part = verdict(common_counts([sets[i] for i in a], [sets[i] for i in b]), n[a][:, None], n[b][None])
-        linked[np.ix_(a, b)] = part
-        linked[np.ix_(b, a)] = part.T
-    return linked
-
-
-def _paired_blocks(rows: DataFrame, key: str, member: str, size) -> DataFrame:
+def _dealt(rows: DataFrame, member: str, size) -> DataFrame:
     """Rows of large groups dealt to pairs (i, j) of blocks: a row once for each block of its group."""
-    blocks = F.ceil(size / F.lit(BLOCK)).cast("int")
-    rows = rows.withColumn("_b", blocks).withColumn("block", F.pmod(F.xxhash64(member), F.col("_b")).cast("int"))
+    rows = rows.withColumn("_b", F.ceil(size / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64(member), F.col("_b")).cast("int"))
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
     return rows.withColumns({"i": F.least("block", "_o"), "j": F.greatest("block", "_o")}).drop("_b", "_o")
 
 
-def _large_bucket(similar: Similarity):
-    def go(rows: pd.DataFrame) -> pd.DataFrame:
-        lost = max(len(x) - len(np.unique(x)) for x in rows["set"])  # shingles of one group that clash
-
-        def verdict(common, n, m):
-            fit = np.minimum(n, m) >= similar.smallest(np.maximum(n, m))
-            return (common + lost >= np.minimum(similar.shared(n), similar.shared(m))) & fit
-
-        label = forest(_pair_matrix(rows, verdict))
-        gid = rows.gid.to_numpy()
-        hung = label != np.arange(len(label))
-        return pd.DataFrame({"u": gid[hung], "v": gid[label[hung]]})
+def _home_pairs(similar: Similarity):
+    """The pairs of homes that hold a pair of groups that passes, of one pair of blocks of a bucket."""
+
+    def go(rows: pa.Table) -> pa.RecordBatch | None:
+        tok, i, j = (rows[c][0].as_py() for c in ("tok", "i", "j"))
+        block, home, n = (rows[c].to_numpy() for c in ("block", "home", "n"))
+        homes, of = np.unique(home, return_inverse=True)
+        if len(homes) == 1 and homes[0] != tok:
+            return None  # pairs with one home are found in its own bucket
+        lists = rows["set"].combine_chunks()
+        lengths = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten().to_numpy()
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        once = np.unique(np.stack([row, flat]), axis=1)
+        distinct = np.bincount(once[0], minlength=len(lengths))
+        lost = int((lengths - distinct).max())  # shingles of one group that clash
+        # the most common home is compared with the others only, unless this is its own bucket
+        most = np.bincount(of).argmax()
+        if i == j:
+            a, b = np.flatnonzero((of != most) | (home == tok)), np.arange(len(n))
+        else:
+            a, b = np.flatnonzero(block == i), np.flatnonzero(block != i)
+            if homes[most] != tok and not (of[a] != most).any() and not (of[b] != most).any():
+                return None
+        if not len(a) or not len(b):
+            return None
+        common = common_counts((once[1], distinct), a, b)
+        x, y = n[a][:, None], n[b][None]
+        passes = (common + lost >= np.minimum(similar.shared(x), similar.shared(y))) & (np.minimum(x, y) >= similar.smallest(np.maximum(x, y)))
+        passes &= a[:, None] != b[None]
+        x, y = np.nonzero(passes)
+        pair = np.unique(np.sort(np.stack([of[a[x]], of[b[y]]]), axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(homes[pair[0]]), pa.array(homes[pair[1]])], ["a", "b"])
 
     return go
 
 
 def _verify(similar: Similarity):
-    def verdict(common, n, m):
-        return common * (similar.den + similar.num) >= similar.num * (n + m)
-
-    def go(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["rep", "set"])
-        linked = _pair_matrix(rows, verdict)
-        rep = rows.rep.to_numpy()
-        linked &= rep[:, None] != rep[None]
-        label = forest(linked)
-        return pd.DataFrame({"u": rep, "v": rep[label], "links": linked @ rows.copies.to_numpy()})
+    """A forest of the links in one pair of blocks, and each member's number of links in it."""
+
+    def go(rows: pa.Table) -> pa.RecordBatch | None:
+        key = np.stack([rows[c].to_numpy() for c in ("rep", "n", "s1", "s2")])
+        _, first = np.unique(key, axis=1, return_index=True)  # rows that occur twice
+        rows, key = rows.take(pa.array(first)), key[:, first]
+        a, i, b, j, home, block = (rows[c].to_numpy() for c in ("a", "i", "b", "j", "home", "block"))
+        rep, n, copies = key[0], key[1], rows["copies"].to_numpy()
+        flat = np.frombuffer(b"".join(rows["set"].to_pylist()), np.uint64)
+        linked = np.zeros((len(n), len(n)), bool)
+        one = (home == a) & (block == i)
+        same = bool(a[0] == b[0] and i[0] == j[0])
+        x, y = (np.arange(len(n)),) * 2 if same else (np.flatnonzero(one), np.flatnonzero(~one))
+        if len(x) and len(y):
+            common = common_counts((flat, n), x, y)
+            part = common * (similar.den + similar.num) >= similar.num * (n[x][:, None] + n[y][None])
+            linked[np.ix_(x, y)] = part
+            linked[np.ix_(y, x)] |= part.T
+        np.fill_diagonal(linked, False)
+        some = np.flatnonzero(linked.any(1))
+        if not len(some):
+            return None
+        label = forest(linked[np.ix_(some, some)])
+        order = np.argsort(rep[some], kind="stable")
+        least = np.full(len(some), -1, np.int64)  # the smallest id of each tree
+        least[label[order][::-1]] = rep[some][order][::-1]
+        columns = [*key[:, some], least[label], (linked @ copies)[some]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["u", "n", "s1", "s2", "v", "links"])
 
     return go
 
 
 def _member_sets(words: int):
+    """The whole sets of texts that are the members they were moved for."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_hashes(raw, words).tobytes() for raw in texts(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *b.columns[1:]], ["set", *b.schema.names[1:]])
+            wanted = zip(*(b.column(k).to_pylist() for k in ("n", "s1", "s2")), strict=True)
+            sets, fits = [], []
+            for raw, (n, *signed) in zip(texts(b.column(0)), wanted, strict=True):
+                u = shingle_hashes(raw, words)
+                fits.append(len(u) == n and list(_signature(u)) == signed)
+                sets.append(u.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *b.columns[1:]], ["set", *b.schema.names[1:]]).filter(pa.array(fits, pa.bool_()))
 
     return go
 
@@ -313,68 +345,81 @@ def similar_components(
     `words`-word shingles; component_id is the smallest id that links reach.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     similar, scratch = Similarity(num, den), Scratch(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = global_order(docs, words, scratch, frequent)
     full = scratch.write(map_batches(docs, _nodes(words, similar, order), NODES), "nodes")
+    total = full.count()
     nodes = full.select("doc_id", "n", "s1", "s2", "g")
     known = nodes.where("n > 0 and doc_id is not null")
-    classes = scratch.write(known.groupBy("n", "s1", "s2", "g").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies")), "classes")
+    classes = known.groupBy("n", "s1", "s2", "g").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies"))
 
-    # groups: classes with the same size and prefix; only ids are moved
-    hubs = classes.groupBy("n", "g").agg(F.min("rep").alias("gid"))
-    members = scratch.write(classes.select("rep", "n", "g").join(hubs, ["n", "g"]).select("rep", "n", "gid").distinct(), "members")
+    # groups: classes with the same size and prefix; only ids are moved. Keys of the join are new to Spark, so that it can split a large group
+    apart = lambda *names: [F.bitwise_not(c).alias(f"_{c}") for c in names]
+    hubs = classes.groupBy("n", "g").agg(F.min("rep").alias("gid")).select(*apart("n", "g"), "gid")
+    members = classes.select("*", *apart("n", "g")).join(hubs.hint("merge"), ["_n", "_g"])
+    members = scratch.write(members.select("rep", "n", "s1", "s2", "copies", "gid"), "members")
     aside = known.select("doc_id", "n").join(members.where("rep = gid").select(F.col("gid").alias("doc_id"), "n"), ["doc_id", "n"], "left_anti")
     aside = scratch.write(aside.distinct(), "aside")
     whole = full.where("n > 0 and doc_id is not null").select("doc_id", "n", "prefix")
     ids = aside.select("doc_id")
-    prefixes = maybe_among(whole, "doc_id", ids, among=False).unionByName(maybe_among(whole, "doc_id", ids).join(aside, ["doc_id", "n"], "left_anti"))
-    prefixes = prefixes.select(F.col("doc_id").alias("gid"), "n", "prefix")
-
-    # buckets of shared prefix shingles, without groups that share too few to have a partner
-    spread = prefixes.select("gid", "n", F.explode("prefix").alias("tok"))
-    shared = scratch.write(
-        spread.withColumn("size", F.count("*").over(Window.partitionBy("tok"))).where("size > 1").select("tok", "gid", "n"), "shared"
-    )
-    enough = shared.groupBy("gid", "n").agg(F.count("*").alias("k")).where(f"k >= {similar.sql_shared(similar.sql_smallest('n'))}").select("gid", "n")
-    buckets = shared.join(enough, ["gid", "n"], "left_semi")
-    buckets = scratch.write(buckets.withColumn("size", F.count("*").over(Window.partitionBy("tok"))).where("size > 1"), "buckets")
-
-    # candidate pairs of groups: natively in small buckets, as forests of blocks in large ones
-    small = buckets.where(F.col("size") <= SMALL_BUCKET).select("tok", "gid", "n")
-    other = small.select("tok", F.col("gid").alias("gid2"), F.col("n").alias("n2"))
-    fit = F.expr(f"least(n, n2) >= {similar.sql_smallest('greatest(n, n2)')} and gid < gid2")
-    few = small.join(other, "tok").where(fit).groupBy("gid", "gid2", "n", "n2").agg(F.count("*").alias("k"))
-    few = few.where(f"k >= least({similar.sql_shared('n')}, {similar.sql_shared('n2')})").select(F.col("gid").alias("u"), F.col("gid2").alias("v"))
-    large = buckets.where(F.col("size") > SMALL_BUCKET)
+    prefixes = maybe_among(whole, "doc_id", ids, total, among=False).unionByName(maybe_among(whole, "doc_id", ids, total).join(aside, ["doc_id", "n"], "left_anti"))
+
+    # buckets of shared prefix shingles: counts are partial sums, and only what may be shared is moved
+    spread = prefixes.select(F.col("doc_id").alias("gid"), "n", F.explode("prefix").alias("tok"))
+    sizes = scratch.write(spread.groupBy("tok").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    shared = maybe_among(spread, "tok", sizes.select("tok"), sizes.count()).join(sizes.hint("merge"), "tok")
+    index = shared.groupBy("gid", "n").agg(F.collect_set(F.struct("size", "tok")).alias("toks"))
+    index = index.where(f"size(toks) >= {similar.sql_shared(similar.sql_smallest('n'))}").withColumn("home", F.expr("array_max(toks).tok"))
+    index = scratch.write(index, "index")
+
+    # pairs of homes: natively from small buckets, from blocks of large ones
+    each = index.select("gid", "n", "home", F.explode("toks").alias("t"))
+    small = each.where(F.col("t.size") <= SMALL_BUCKET).select("t.tok", "gid", "n", "home")
+    other = small.select("tok", F.col("gid").alias("gid2"), F.col("n").alias("n2"), F.col("home").alias("home2"))
+    fit = F.expr(f"least(n, n2) >= {similar.sql_smallest('greatest(n, n2)')} and (gid < gid2 or gid = gid2 and n < n2)")
+    few = small.join(other, "tok").where(fit).groupBy("gid", "n", "home", "gid2", "n2", "home2").agg(F.count("*").alias("k"))
+    few = few.where(f"k >= least({similar.sql_shared('n')}, {similar.sql_shared('n2')})").select(F.col("home").alias("a"), F.col("home2").alias("b"))
     # 31 bits of each shared shingle: equal ones stay equal, and a clash only lets a pair through to be verified
-    short = F.expr("collect_list(cast(tok & 2147483647 as int))").alias("set")
-    shared_sets = buckets.join(large.select("gid", "n").distinct(), ["gid", "n"], "left_semi").groupBy("gid", "n").agg(short)
-    large = large.join(shared_sets, ["gid", "n"])
-    large = _paired_blocks(large, "tok", "gid", F.col("size"))
-    many = large.groupBy("tok", "i", "j").applyInPandas(_large_bucket(similar), "u long, v long")
-    groups = members.where("rep <> gid").select(F.col("rep").alias("u"), F.col("gid").alias("v"))
-    pairs = scratch.write(few.unionByName(many).distinct(), "candidates")
-    scratch.drop(shared, buckets, aside)
-    clusters = scratch.write(components(pairs.unionByName(groups), scratch), "clusters")
-
-    # members of a cluster with their whole sets, verified block by block
-    lengths = members.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("_n"))
-    size = F.greatest(F.count("*"), F.ceil(F.sum("_n") * F.lit(BLOCK / BLOCK_SHINGLES))).alias("size")
-    sized = clusters.join(clusters.join(lengths, "node").groupBy("root").agg(size), "root")
-    sized = sized.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), "size")
-    member_texts = maybe_among(docs, "doc_id", clusters.select("node")).join(sized, "doc_id").select("text", "doc_id", "cluster", "size")
-    sets = map_batches(member_texts, _member_sets(words), "set binary, rep long, cluster long, size long")
-    sets = sets.withColumn("n", F.expr("octet_length(set) div 8"))
-    weight = classes.select("rep", "n", "copies").groupBy("rep", "n").agg(F.max("copies").alias("copies"))
-    sets = sets.join(weight, ["rep", "n"])
-    checked = _paired_blocks(sets, "cluster", "rep", F.col("size")).groupBy("cluster", "i", "j").applyInPandas(_verify(similar), "u long, v long, links long")
-    checked = scratch.write(checked, "links")
-    roots = components(checked.select("u", "v"), scratch).select(F.col("node").alias("rep"), "root")
-    links = checked.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-
-    verdict = classes.join(roots, "rep", "left").join(links, "rep", "left")
+    masked = F.expr("transform(toks, x -> cast(x.tok & 2147483647 as int))").alias("set")
+    large = index.select("gid", "n", "home", masked, F.explode(F.expr(f"filter(toks, x -> x.size > {SMALL_BUCKET})")).alias("t"))
+    large = large.select("t.tok", "t.size", "gid", "n", "home", "set")
+    many = map_groups(_dealt(large, "gid", F.col("size")), ["tok", "i", "j"], _home_pairs(similar), "a long, b long")
+    at_home = members.join(index.select("gid", "n", "home").hint("merge"), ["gid", "n"], "left").withColumn("home", F.coalesce("home", F.xxhash64("gid", "n")))
+    at_home = scratch.write(at_home.select("rep", "n", "s1", "s2", "copies", "gid", "home"), "at_home")
+    within = at_home.groupBy("gid", "n", "home").agg(F.count("*").alias("k")).where("k > 1").select(F.col("home").alias("a"), F.col("home").alias("b"))
+    pairs = few.unionByName(many).unionByName(within)
+    pairs = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    scratch.drop(sizes, aside, members)
+
+    # homes cut into blocks, and the tasks: pairs of blocks of paired homes
+    used = pairs.select(F.explode(F.array("a", "b")).alias("home")).distinct()
+    placed = scratch.write(at_home.join(used.hint("merge"), "home", "left_semi"), "placed")
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
+    cut = placed.groupBy("home").agg(blocks.alias("blocks"))
+    tasks = pairs.join(cut.select(F.col("home").alias("a"), F.col("blocks").alias("na")), "a").join(cut.select(F.col("home").alias("b"), F.col("blocks").alias("nb")), "b")
+    tasks = tasks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("j", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.col("i")).otherwise(0), F.col("nb") - 1)))
+    sides = F.array_distinct(F.array(F.struct(F.col("a").alias("home"), F.col("i").alias("block")), F.struct(F.col("b").alias("home"), F.col("j").alias("block"))))
+    tasks = tasks.select("a", "i", "b", "j", F.explode(sides).alias("side")).groupBy("side.home", "side.block").agg(F.collect_list(F.struct("a", "i", "b", "j")).alias("tasks"))
+    moved = placed.join(cut, "home").withColumn("block", F.pmod(F.xxhash64("rep", "s1"), F.col("blocks")).cast("int"))
+    moved = moved.join(tasks, ["home", "block"]).select(F.col("rep").alias("doc_id"), "n", "s1", "s2", "copies", "home", "block", "tasks")
+
+    # whole sets, verified block by block
+    wide = maybe_among(docs, "doc_id", placed.select("rep"), total).join(moved, "doc_id")
+    wide = wide.select("text", F.col("doc_id").alias("rep"), "n", "s1", "s2", "copies", "home", "block", "tasks")
+    task = "array<struct<a: long, i: int, b: long, j: int>>"
+    sets = map_batches(wide, _member_sets(words), f"set binary, rep long, n long, s1 long, s2 long, copies long, home long, block int, tasks {task}")
+    sets = sets.withColumn("t", F.explode("tasks")).select("set", "rep", "n", "s1", "s2", "copies", "home", "block", "t.*")
+    checked = scratch.write(map_groups(sets, ["a", "i", "b", "j"], _verify(similar), "u long, n long, s1 long, s2 long, v long, links long"), "links")
+    scratch.drop(index, pairs, placed)
+
+    # texts of one id belong together
+    several = known.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2")).alias("x"), F.max(F.struct("n", "s1", "s2")).alias("y")).where("x <> y").select("doc_id")
+    ties = known.join(several, "doc_id", "left_semi").join(at_home.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    roots = components(checked.select("u", "v").unionByName(ties), scratch).select(F.col("node").alias("rep"), "root")
+    links = checked.groupBy("n", "s1", "s2").agg(F.sum("links").alias("links"))
+
+    verdict = at_home.join(roots, "rep", "left").join(links, ["n", "s1", "s2"], "left")
     verdict = verdict.select("n", "s1", "s2", F.coalesce("root", "rep").alias("_root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"))
     out = nodes.join(verdict, ["n", "s1", "s2"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("_root", "doc_id")).otherwise(F.col("doc_id"))
@@ -383,7 +428,7 @@ def similar_components(
             "doc_id",
             F.col("n").alias("n_shingles"),
             F.when(F.col("doc_id").isNotNull(), own).alias("component_id"),
-            F.when(F.col("n") > 0, F.coalesce("_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+            F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
         ),
         "result",
     )
@@ -391,33 +436,39 @@ def similar_components(
     return result
 
 
-def _told_apart(docs: DataFrame) -> DataFrame:
-    """One row of each id and text, the first by its columns as JSON, with `_id`: the id, or for further texts of one id a number above all ids.
+def _told_apart(docs: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """One row of each id and text, the first by its columns as JSON, with `key`: the id, or for all but the first text of an id a number above all ids.
 
-    The order of `_id` depends on the rows only. Rows with a null id all stay.
+    The order of the numbers depends on the rows only. Rows with a null id all stay.
     """
-    named = docs.where("doc_id is not null").withColumn("_all", F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
-    same, texts = Window.partitionBy("doc_id", "text").orderBy("_all"), Window.partitionBy("doc_id").orderBy("text")
-    once = named.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").withColumn("_nth", F.row_number().over(texts)).drop("_all")
-    once, most = Scratch(docs.sparkSession).write(once, "once"), docs.agg(F.max("doc_id").alias("m")).first().m
-    own = F.col("doc_id").cast("long")
-    extra = once.where("_nth > 1").orderBy("doc_id", "_nth").withColumn("_id", F.lit(int(most) + 1) + F.monotonically_increasing_id())
-    extra = Scratch(docs.sparkSession).write(extra, "extra")
-    out = once.where("_nth = 1").withColumn("_id", own).unionByName(extra).drop("_nth")
-    return out.unionByName(docs.where("doc_id is null").withColumn("_id", own))
+    line, nth, first, own = spare([*docs.columns, key], "line", "nth", "first", "own")
+    wide = docs.where("doc_id is not null").withColumn(line, F.to_json(F.struct(*named(docs))))
+    w = Window.partitionBy("doc_id", "text").orderBy(line)
+    once = scratch.write(wide.withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1).drop(line, nth), "once")
+    # a struct, so that a null text comes first
+    least = once.groupBy(F.col("doc_id").alias(own)).agg(F.min(F.struct("text")).alias(first))
+    told = scratch.write(once.join(least.hint("merge"), F.col("doc_id") == F.col(own)).withColumn(first, F.col(f"{first}.text").eqNullSafe(F.col("text"))), "told")
+    most = told.agg(F.max(own).alias("m")).first().m
+    extra = told.where(~F.col(first)).orderBy("doc_id", "text").withColumn(key, F.lit(int(most) + 1) + F.monotonically_increasing_id())
+    extra = scratch.write(extra.drop(first, own), "extra")
+    same = F.col("doc_id").cast("long")
+    out = told.where(F.col(first)).drop(first, own).withColumn(key, same).unionByName(extra)
+    return out.unionByName(docs.where("doc_id is null").withColumn(key, same))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs, with all their columns, that stay: of each component the row of the smallest id, and all rows with a null id.
 
     Rows with one id and one text are one row; different texts with one id are
-    documents of their own, removed by similarity only.
+    documents of their own, removed by similarity only. Extra columns may have any name.
     """
-    columns = docs.columns
+    columns, scratch = named(docs), Scratch(docs.sparkSession)
+    key, gone_key = spare(docs.columns, "key", "gone")
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    docs = _told_apart(docs) if repeated else docs.withColumn("_id", F.col("doc_id").cast("long"))
-    found = similar_components(docs, words, num, den, "_id")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    docs = _told_apart(docs, key, scratch) if repeated else docs.withColumn(key, F.col("doc_id").cast("long"))
+    found = similar_components(docs, words, num, den, key)
+    gone = scratch.write(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_key)).distinct(), "gone")
+    rows = gone.count()
     # only rows that may go are moved to be compared exactly
-    kept = maybe_among(docs, "_id", gone, among=False).unionByName(maybe_among(docs, "_id", gone).join(gone, "_id", "left_anti"))
-    return kept.select(columns)
+    unsure = maybe_among(docs, key, gone, rows).join(gone, F.col(key) == F.col(gone_key), "left_anti")
+    return maybe_among(docs, key, gone, rows, among=False).unionByName(unsure).select(columns)

@@ -6,8 +6,9 @@ logistic loss of each bit, weighted by how well that bit's classifier does on
 the language (loss-weighted decoding); the nearest codeword wins. A text whose
 two nearest codewords are almost equally near is flagged ambiguous.
 
-The fit takes about `per_language` texts of each language, chosen by hash of their
-id, without those of more than `fit_chars` characters; all texts are scored whole.
+The fit takes `per_language` texts of each language at most, and `fit_rows` in
+all, chosen by hash of their id, without those of more than `fit_chars`
+characters; all texts are scored whole.
 
 Defined results: a null text, or one without a letter, is `und` with score 0;
 without any learnable row every text is `und`; repeated rows give repeated
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, map_batches
+from .common import first_of_each, hash_share, map_batches
 
 BITS = 12  # of a feature's number
 SCHEMA = "doc_id long, lang_pred string, score double, ambiguous boolean, margin double"
@@ -73,7 +74,8 @@ class Codes:
         target = code[y]
         share = 1 / np.bincount(y)[y]
         share = (share / share.sum())[:, None]
-        w, b = np.zeros((x.shape[1], code.shape[1])), np.zeros(code.shape[1])
+        x, target, share = x.astype(np.float32), target.astype(np.float32), share.astype(np.float32)
+        w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
         vw, vb = np.zeros_like(w), np.zeros_like(b)
         for _ in range(steps):
             g = -target * share / (1 + np.exp(np.clip(target * (x @ w + b), -30, 30)))
@@ -101,17 +103,23 @@ def _featured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_languages(
-    train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, fit_chars: int = 20_000
+    train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, fit_rows: int = 20_000, fit_chars: int = 20_000
 ) -> Codes | None:
-    """Codes from about per_language texts of each language, chosen by hash of their id."""
+    """Codes from at most per_language texts of each language and fit_rows in all; of more than fit_rows languages, the most common."""
     rows = train.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull())
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(fit_rows).collect()
+    counts = {r.lang: r.n for r in found}
     if not counts:
         return None
+    each = min(per_language, fit_rows // len(counts))
     n = F.create_map(*(F.lit(v) for pair in sorted(counts.items()) for v in pair))[F.col("lang")]
-    chosen = rows.where(hash_share("doc_id", per_language, n)).where(F.col("text").rlike(r"\p{L}") & (F.length("text") <= fit_chars))
+    chosen = rows.where(hash_share("doc_id", each, n)).where(F.col("text").rlike(r"\p{L}") & (F.length("text") <= fit_chars))
+    # at most `each` of a language, also where one id has many rows
+    chosen = first_of_each(chosen.withColumn("h", F.xxhash64(F.lit(11), "doc_id")), "lang", ["h", "text"], each)
     got = sorted(map_batches(chosen.select("lang", "text"), _featured, "lang string, x binary").collect(), key=lambda r: (r.lang, bytes(r.x)))
-    x = np.array([np.frombuffer(r.x, np.float16) for r in got], np.float64).reshape(len(got), -1)
+    if not got:
+        return None
+    x = np.array([np.frombuffer(r.x, np.float16) for r in got], np.float32).reshape(len(got), -1)
     return Codes.fit(x, [r.lang for r in got])
 
 

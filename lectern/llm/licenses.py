@@ -13,7 +13,9 @@ count. Memory is bounded by one Arrow batch.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -153,11 +155,14 @@ class Scanner:
         words = raw.translate(_WORDS).split()
         line = f" {b' '.join(words).decode('utf-8', 'replace')} "
         base, labels, starts, score = set(), set(), [], 0.0
+        at: list[int] = []
         for end, phrase in self.phrases.iter(line):
             key = phrase[1:-1]
             if key in BASE_PHRASES:
                 base.add(BASE_PHRASES[key])
-                starts.append(line.count(" ", 0, end - len(phrase) + 2) - 1)
+                # where each word starts in the line, found once: places are then looked up
+                at = at or list(accumulate((len(w) + 1 for w in line.split(" ")[1:]), initial=1))
+                starts.append(bisect_left(at, end - len(phrase) + 2))
                 score = max(score, 0.9)
             else:
                 labels.add(MORE_PHRASES[key])

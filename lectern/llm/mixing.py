@@ -12,15 +12,17 @@ sources. A source that has run out takes no more slots; the others' blocks keep
 to their windows. The driver works the slots out one block after another and
 holds one entry for each source and one piece of the schedule; the pieces are
 written to a shared folder and joined to the ranges of rows, not broadcast.
-Rows get their number within the source from counts by hash range, so a source
-that holds a third of all rows is dealt over as many tasks as its ranges.
+Rows get their number within the source from counts by hash range, summed up over
+a thousand ranges at a time, so a source that holds a third of all rows is dealt
+over as many tasks as its ranges.
 
 Every row is kept: slots for which no block is released stay empty, and the
 rest goes on in order; `mix_row` numbers the rows of a block without gaps. Defined results: a null source counts as the source "";
 sources without a target weight share what `weights` leaves over in proportion
 to their rows, or, where nothing (less than 1e-9) is left over, come after all
-others in proportion to their rows; repeated rows are rows of their own; an empty
-table gives an empty result; columns named like the new ones are replaced.
+others in proportion to their rows; repeated rows are rows of their own; rows
+with a null id go by a hash of all their columns; an empty table gives an empty
+result; columns named like the new ones are replaced, others may have any name.
 """
 
 from __future__ import annotations
@@ -35,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, named, spare
 
+#: Hash ranges whose rows are summed up together.
+RANGES = 1000
 #: Slots of a schedule that repeats (`parts_of`, `pfair`); `mix` has none.
 PERIOD = 1000
 #: Blocks of the schedule that the driver holds at once.
-PIECE = 500_000
+PIECE = 100_000
 
 
 def parts_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -128,7 +132,7 @@ def _slots(counts: dict[str, int], weights: dict[str, float] | None, alpha: floa
 def _written(spark, slots: Iterator[tuple[str, int, int]]) -> DataFrame:
     """The schedule as a table of the shared folder, written piece by piece."""
     scratch, out = Scratch(spark), None
-    names = ["_source", "_k", "_slot"]
+    names = ["of", "k", "slot"]
     types = [pa.string(), pa.int64(), pa.int64()]
     while piece := list(islice(slots, PIECE)):
         columns = [pa.array(c, t) for c, t in zip(zip(*piece, strict=True), types, strict=True)]
@@ -144,7 +148,7 @@ def mix(
     id_col: str = "doc_id",
     alpha: float = 0.5,
     block_rows: int = 8,
-    range_rows: int = 2000,
+    range_rows: int = 500,
     seed: int = 1,
 ) -> DataFrame:
     """All rows with mix_block (the block's slot) and mix_row (the row's place within the block).
@@ -155,27 +159,33 @@ def mix(
     """
     spark = docs.sparkSession
     slots = 1 << 40
-    named = docs.drop("mix_block", "mix_row").withColumn("_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    named = named.withColumn("_h", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(slots)))
-    counts = {r._source: r.n for r in named.groupBy("_source").agg(F.count("*").alias("n")).collect()}
+    new = ("mix_block", "mix_row")
+    docs = docs.drop(*new)
+    kept = named(docs)
+    of, h, part, i, before, held, key, key_part = spare([*docs.columns, *new], "of", "h", "part", "i", "before", "held", "key", "key_part")
+    rows = docs.withColumn(of, F.coalesce(F.col(source_col).cast("string"), F.lit("")))
+    found = rows.groupBy(of).agg(F.count("*").alias("n"), F.count(id_col).alias("with_id")).collect()
+    counts = {r[of]: r.n for r in found}
     if not counts:
-        return docs.drop("mix_block", "mix_row").selectExpr("*", "cast(null as long) mix_block", "cast(null as int) mix_row")
+        return docs.select(*kept, F.lit(None).cast("long").alias("mix_block"), F.lit(None).cast("int").alias("mix_row"))
+    mixed = F.xxhash64(F.lit(seed), F.col(id_col))
+    if any(r.n > r.with_id for r in found):  # else null ids would all meet in one range
+        mixed = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(seed), *kept)).otherwise(mixed)
     taken = _written(spark, _slots(dict(sorted(counts.items())), weights, alpha, block_rows))
     ranges = max(1, -(-sum(counts.values()) // range_rows))
-    named = named.withColumn("_range", F.floor(F.col("_h") / F.lit(-(-slots // ranges))).cast("int"))
-    sizes = named.groupBy("_source", "_range").agg(F.count("*").alias("_n"))
-    running = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("_source", "_range", "_n", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
+    rows = rows.withColumn(h, F.pmod(mixed, F.lit(slots))).withColumn(part, F.floor(F.col(h) / F.lit(-(-slots // ranges))).cast("int"))
+    # running counts of the ranges: within a thousand of them, on top of those of the thousands before
+    sizes = rows.groupBy(F.col(of).alias("of"), F.col(part).alias("part")).agg(F.count("*").alias("n")).withColumn("many", F.expr(f"part div {RANGES}"))
+    running = lambda order, *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.groupBy("of", "many").agg(F.sum("n").alias("n")).select("of", "many", F.coalesce(F.sum("n").over(running("many", "of")), F.lit(0)).alias("base"))
+    inner = sizes.withColumn("inner", F.coalesce(F.sum("n").over(running("part", "of", "many")), F.lit(0))).join(base, ["of", "many"])
+    inner = inner.select("of", "part", "n", (F.col("base") + F.col("inner")).alias("before"))
     # the slots of each range's blocks, in order: a range holds about range_rows / block_rows of them
-    first = F.expr(f"_before div {block_rows}")
-    ks = before.select("_source", "_range", "_before", F.explode(F.sequence(first, F.expr(f"(_before + _n - 1) div {block_rows}"))).alias("_k"))
-    held = F.transform(F.array_sort(F.collect_list(F.struct("_k", "_slot"))), lambda x: x["_slot"])
-    places = ks.join(taken.hint("merge"), ["_source", "_k"]).groupBy("_source", "_range").agg(F.first("_before").alias("_before"), held.alias("_slots"))
-    within = Window.partitionBy("_source", "_range").orderBy("_h", id_col)
-    out = named.withColumn("_i", F.row_number().over(within) - 1).join(places.hint("merge"), ["_source", "_range"])
-    at = F.expr(f"_slots[cast((_before + _i) div {block_rows} - _before div {block_rows} as int)]")
-    return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("mix_block", "mix_row")],
-        at.alias("mix_block"),
-        F.expr(f"cast((_before + _i) % {block_rows} as int)").alias("mix_row"),
-    )
+    ks = inner.select("of", "part", "before", F.explode(F.sequence(F.expr(f"before div {block_rows}"), F.expr(f"(before + n - 1) div {block_rows}"))).alias("k"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("k", "slot"))), lambda x: x["slot"])
+    places = ks.join(taken.hint("merge"), ["of", "k"]).groupBy("of", "part").agg(F.first("before").alias("before"), in_order.alias("held"))
+    places = places.select(F.col("of").alias(key), F.col("part").alias(key_part), F.col("before").alias(before), F.col("held").alias(held))
+    within = Window.partitionBy(of, part).orderBy(h, id_col)
+    out = rows.withColumn(i, F.row_number().over(within) - 1).join(places.hint("merge"), (F.col(of) == F.col(key)) & (F.col(part) == F.col(key_part)))
+    at = F.expr(f"`{held}`[cast((`{before}` + `{i}`) div {block_rows} - `{before}` div {block_rows} as int)]")
+    return out.select(*kept, at.alias("mix_block"), F.expr(f"cast((`{before}` + `{i}`) % {block_rows} as int)").alias("mix_row"))

@@ -46,7 +46,7 @@ HAVING count(*) >= round(0.8 * n_item, 6)
 
 OP7 = r"""
 WITH said AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place, coalesce(role, 'user') AS role, coalesce(text, '') AS text
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place, coalesce(role, 'user') AS role, coalesce(text, '') AS text
   FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)
 ), whole AS (
   SELECT conv_id, count(*) AS n, list(md5(concat(place, chr(1), role, chr(1), text)) ORDER BY place) AS h FROM said GROUP BY conv_id
@@ -64,10 +64,10 @@ FROM kept k JOIN said s USING (conv_id) GROUP BY ALL
 
 OP9 = """
 WITH p AS (
-  SELECT page_id, sha256(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, '')))::BIGINT AS n FROM pages WHERE page_id IS NOT NULL
+  SELECT page_id, sha256(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, '')))::BIGINT AS n FROM pages
 ), f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
 SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
-       CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+       CASE WHEN n >= 100 AND first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND first IS DISTINCT FROM page_id THEN first END AS refers_to
 FROM p LEFT JOIN f ON p.d = f.d
 """

@@ -1,29 +1,37 @@
 """Personal data by a skip-chain conditional random field over rule matches.
 
-Rules find the base spans. The entity-like tokens of a document (runs without
-white space that hold a digit or an at sign, and plain tokens that equal a part
-of a base span) are the nodes of a field with labels none, email, ip, card and
-phone; all other tokens are fixed to none. Neighbouring nodes share a
-transition potential; nodes with the same key (text, digits, mail name) share a
-skip potential. Where an occurrence lies inside a base span, all others of that
-key are linked to the first that does: each is one link from the match however
-many there are, and repetitions that look odd don't outvote it among themselves.
-Other keys link each occurrence to the next. Links stay linear in the length.
-Loopy sum-product messages, run until they settle, then carry the labels of base spans to their
-repetitions that the rules miss: bare mail names, numbers run together with
-others, parts of a phone number. A node that skip links connect with a base span, and
-whose most probable label isn't none, becomes a further span; one that overlaps
-a base span doesn't.
+Rules find the base spans (email, ip, card, phone); a fifth rule finds what is
+assigned to a word like "token" or "password" (secret). The nodes of a
+document's field are those matches as wholes, with labels that are known, and
+the other entity-like stretches outside them: tokens with a digit or an at sign,
+tokens that equal a part of a match, and runs of tokens whose digits together
+are those of a match. Labels are none and the five kinds. Three sorts of
+potentials tell them:
+
+- of a node's shape (digits, signs, check sums, the word before it), by a softmax
+  regression on the rules' labels;
+- of neighbouring nodes, by smoothed counts of neighbouring labels;
+- of nodes linked by a skip: with the same key (text, digits, mail name), with
+  keys one edit apart, or where one key is the other without its first digits
+  (a number without its country code). Each sort of link has a weight, the log
+  odds that such nodes agree, from counts among rule matches on top of a prior.
+
+Loopy sum-product messages run until they settle; a node whose most probable
+label isn't none becomes a further span. So a number that the rules miss by its
+check sum alone is refused by its shape, and added where the same number, or
+nearly, is a rule's match elsewhere in the document. Nodes are linked to the
+first match that has their key, or where none has it to its first node; links one
+edit apart or by ending go to one match each. So links are linear in a text's
+length, and messages have a short way.
 
 Potentials are fitted on a bounded sample (the first `fit_texts` by hash of the
-texts with a digit or an at sign among `fit_rows` documents): a softmax regression on token shapes against the
-rules' labels, smoothed counts of neighbouring labels, and the log odds that
-nodes with one key agree.
+texts with a digit or an at sign among about `fit_rows` documents), and on a
+near miss of each rule match, which no rule accepts.
 
 Defined results: null or empty texts have no spans; repeated rows give repeated
 results; extra columns are ignored by `find_pii` and kept by `redact`; an empty
-table gives an empty result and no fit. One Arrow batch and one document's
-nodes bound the memory; every rule works in linear time.
+table gives an empty result and a fit of the near misses alone. One Arrow batch
+and one document's nodes bound the memory.
 """
 
 from __future__ import annotations
@@ -40,9 +48,9 @@ from pyspark.sql import functions as F
 
 from .common import hash_share, map_batches
 
-KINDS = ("email", "ip", "card", "phone")
-_ORDER = {k: i for i, k in enumerate(KINDS)}
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+#: The first four are the base; the method adds spans of these and of the last.
+KINDS = ("email", "ip", "card", "phone", "secret")
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -104,152 +112,214 @@ def spans_text(spans: list[Span]) -> str:
 
 # --- the field
 
+#: Words that what they are assigned is a secret, and the least length of one.
+CUES = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "credential", "bearer")
+SECRET_CHARS = 16
+_CUE = re.compile(r"(?:" + "|".join(CUES) + r")[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?", re.IGNORECASE)
+_SECRET = re.compile(r"[A-Za-z0-9_/+-]++")
 
-def _keys(token: str, label: int) -> set[str]:
-    """What nodes are linked by. Short or common forms are no keys."""
-    low = token.lower()
-    keys = {"t" + low} if len(low) >= 5 else set()
-    digits = "".join(c for c in token if "0" <= c <= "9")
-    if len(digits) >= 7:
-        keys.add("d" + digits)
-    if "@" in low and len(name := low.partition("@")[0]) >= 5:
-        keys.add("t" + name)
-    return keys
+
+def secret_spans(text: str) -> list[Span]:
+    """What is assigned to a cue word, if it is long and has letters and digits."""
+    out, done = [], 0
+    for cue in _CUE.finditer(text):
+        m = _SECRET.match(text, cue.end())
+        if m and m.start() >= done and len(m[0]) >= SECRET_CHARS and _DIGIT.search(m[0]) and any(map(str.isalpha, m[0])):
+            out.append((m.start(), 4, m.end()))
+            done = m.end()
+    return out
+
+
+def _digits(token: str) -> str:
+    return "".join(c for c in token if "0" <= c <= "9")
+
+
+def _keys(token: str) -> list[str]:
+    """What nodes are linked by: the text, its digits, its mail name. Short forms are no keys."""
+    low, digits = token.lower(), _digits(token)
+    name = low.partition("@")[0]
+    return [*(["t" + low] if len(low) >= 5 else []), *(["d" + digits] if len(digits) >= 7 else []), *(["t" + name] if name != low and len(name) >= 5 else [])]
+
+
+def _one_edit(key: str) -> list[str]:
+    """The key without each of its characters in turn: two keys of one length that share one differ in one place at most. Long or short keys have none."""
+    return [f"{i} {key[:i]}{key[i + 1 :]}" for i in range(1, len(key))] if 8 <= len(key) <= 40 else []
+
+
+def _mixed(token: str) -> bool:
+    return len(token) >= SECRET_CHARS and _DIGIT.search(token) is not None and any(map(str.isalpha, token))
+
+
+def _valid_ip(token: str) -> bool:
+    parts = token.split(".")
+    return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
 
 
 def _shape(token: str) -> tuple[int, ...]:
-    digits = sum("0" <= c <= "9" for c in token)
-    letters = sum(c.isalpha() for c in token)
+    digits = _digits(token)
+    name, at, host = token.partition("@")
     return (
         0,
-        1 + min(digits, 20),
-        22 + ("@" in token),
-        24 + min(token.count("."), 4),
-        29 + (token[:1] == "+"),
-        31 + (letters > 0),
-        33 + ("-" in token),
+        1 + min(len(digits), 20),
+        22 + (0 if not at else 1 if name and "." in host.strip(".") else 2),
+        25 + min(token.count("."), 4),
+        30 + (token[:1] == "+"),
+        32 + (any(map(str.isalpha, token))),
+        34 + ("-" in token),
+        36 + (14 <= len(digits) <= 19 and luhn(digits)),
+        38 + _valid_ip(token),
+        40 + _mixed(token),
     )
 
 
-N_FEATURES, N_LABELS = 35, 5
+N_FEATURES, N_LABELS = 42, 1 + len(KINDS)
+#: Sorts of skip links, and before any is seen: how many agreed, how many didn't.
+LINKS = ("same", "one edit", "ending")
+PRIOR = ((20.0, 0.1), (6.0, 0.5), (20.0, 0.2))
 
 
 class Nodes:
     """The nodes, links and rule labels of one document."""
 
-    def __init__(self, text: str, base: list[Span]):
-        found = sorted((s, e, k + 1) for s, k, e in base)
-        starts, ends = [s for s, _, _ in found], sorted(e for _, e, _ in found)
-        parts = set()
-        for s, e, _ in found:
-            parts |= {k for x in _SPACE_RUN.findall(text[s:e]) for k in _keys(_EDGE.sub("", x), 1)}
-        self.at: list[tuple[int, int]] = []
-        self.label: list[int] = []
-        self.keys: list[set[str]] = []
-        self.shape: list[tuple[int, ...]] = []
-        self.chain: list[tuple[int, int]] = []
-        previous = -2
+    def __init__(self, text: str, base: list[Span], secrets: list[Span] | None = None):
+        known = sorted([*base, *(x for x in secrets or [] if not any(x[0] < e and s < x[2] for s, _, e in base))]) if secrets else base
+        self.at: list[tuple[int, int]] = [(s, e) for s, _, e in known]
+        self.label: list[int] = [k + 1 for _, k, _ in known]
+        said = [text[s:e] for s, e in self.at]
+        parts, whole = set(), set()
+        for x in said:
+            parts |= {k for word in _SPACE_RUN.findall(x) for k in _keys(_EDGE.sub("", word)) if k[0] == "t"}
+            if len(d := _digits(x)) >= 7:
+                whole |= {d[i:] for i in range(min(4, len(d) - 6))}
+        starts, ends = [s for s, _ in self.at], sorted(e for _, e in self.at)
+        # tokens outside of matches: (place among all tokens, start, end)
+        free: list[tuple[int, int, int]] = []
         for i, m in enumerate(_SPACE_RUN.finditer(text)):
             raw = m[0]
-            if not _DIGIT.search(raw) and "@" not in raw and "t" + _EDGE.sub("", raw).lower() not in parts:
-                continue
             token = _EDGE.sub("", raw)
-            if not token:
+            if not token or not _DIGIT.search(raw) and "@" not in raw and "t" + token.lower() not in parts:
                 continue
             s = m.start() + raw.find(token)
-            e = s + len(token)
-            label = 0
-            if bisect_left(starts, e) > bisect_right(ends, s):  # overlaps a base span
-                label = next((k for a, b, k in found[max(0, bisect_left(starts, s) - 4) :] if a < e and b > s), 0) or 1
-            if previous == i - 1:
-                self.chain.append((len(self.at) - 1, len(self.at)))
-            previous = i
+            if bisect_left(starts, s + len(token)) <= bisect_right(ends, s):  # overlaps no match
+                free.append((i, s, s + len(token)))
+        chain = []
+        at, previous = 0, -2
+        while at < len(free):
+            took = 1
+            # a few tokens in a row whose digits together are a match's
+            digits = _digits(text[free[at][1] : free[at][2]]) if whole else ""
+            for n in range(2, 7):
+                if not whole or at + n > len(free) or free[at + n - 1][0] != free[at][0] + n - 1 or len(digits) > 19:
+                    break
+                digits += _digits(text[free[at + n - 1][1] : free[at + n - 1][2]])
+                if digits in whole and not any(map(str.isalpha, text[free[at][1] : free[at + n - 1][2]])):
+                    took = n
+            s, e = free[at][1], free[at + took - 1][2]
+            if previous == free[at][0] - 1:
+                chain.append((len(self.at) - 1, len(self.at)))
+            previous = free[at + took - 1][0]
             self.at.append((s, e))
-            self.label.append(label)
-            self.keys.append(_keys(token, label))
-            self.shape.append(_shape(token))
-        members: dict[str, list[int]] = {}
-        for i, keys in enumerate(self.keys):
-            for k in keys:
-                members.setdefault(k, []).append(i)
-        skip = set()
-        for held in members.values():
-            first = next((i for i in held if self.label[i]), None)
-            skip |= set(zip(held, held[1:])) if first is None else {(min(first, i), max(first, i)) for i in held if i != first}
-        self.skip = sorted(skip)
-
-    def linked_to_base(self) -> list[int]:
-        """Nodes outside base spans that skip links connect with one inside."""
-        root = list(range(len(self.at)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i, j in self.skip:
-            root[find(i)] = find(j)
-        seen = {find(i) for i, k in enumerate(self.label) if k}
-        return [i for i, k in enumerate(self.label) if not k and find(i) in seen]
-
-    def hops(self) -> int:
-        """Skip links between a base span and the farthest node that they connect with one."""
-        near: dict[int, list[int]] = {}
-        for i, j in self.skip:
-            near.setdefault(i, []).append(j)
-            near.setdefault(j, []).append(i)
-        away = {i: 0 for i, k in enumerate(self.label) if k}
-        queue = list(away)
-        for i in queue:
-            for j in near.get(i, ()):
-                if j not in away:
-                    away[j] = away[i] + 1
-                    queue.append(j)
-        return max(away.values(), default=0)
+            self.label.append(0)
+            said.append(text[s:e])
+            at += took
+        self.chain = chain
+        self.shape = [_shape(x) for x in said]
+        self.skip: list[tuple[int, int, int]] = self._links([_keys(x) for x in said])
+
+    def _links(self, keys: list[list[str]]) -> list[tuple[int, int, int]]:
+        """(node, node, sort) of all skip links; at most one for each key and sort of a node."""
+        first: dict[str, int] = {}
+        near: dict[str, int] = {}
+        ending: dict[str, int] = {}
+        out: set[tuple[int, int, int]] = set()
+        matches = [i for i, k in enumerate(self.label) if k]
+        for i in matches:
+            for k in keys[i]:
+                if k in first:
+                    out.add((first[k], i, 0))
+                    continue
+                for x in _one_edit(k):
+                    if x in near:
+                        out.add((near[x], i, 1))
+                        break
+                first[k] = i
+                for x in _one_edit(k):
+                    near.setdefault(x, i)
+                if k[0] == "d":
+                    if k in ending:
+                        out.add((ending[k], i, 2))
+                    for n in range(1, min(4, len(k) - 7)):
+                        ending.setdefault("d" + k[1 + n :], i)
+        other: dict[str, int] = {}
+        for i in range(len(matches), len(keys)):
+            for k in keys[i]:
+                if k in first:
+                    out.add((first[k], i, 0))
+                    continue
+                if k in other:
+                    out.add((other[k], i, 0))
+                other.setdefault(k, i)
+                if (j := next((near[x] for x in _one_edit(k) if x in near), None)) is not None:
+                    out.add((j, i, 1))
+                if k[0] == "d":
+                    if (j := ending.get(k)) is None:
+                        j = next((first[x] for n in range(1, min(4, len(k) - 7)) if (x := "d" + k[1 + n :]) in first), None)
+                    if j is not None:
+                        out.add((j, i, 2))
+        return sorted(out)
+
+
+def _near_miss(span: str, kind: int) -> str:
+    """A text much like a match that its rule doesn't accept."""
+    if kind == 0:
+        return span.replace("@", " at ", 1).split()[-1]
+    if kind == 1:
+        return ".".join(["999", *span.split(".")[1:]])
+    if kind == 2:
+        return span[:-1] + str((int(span[-1]) + 1) % 10)
+    return span.lstrip("+")
 
 
 class Field:
     """Potentials of the field."""
 
-    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: float):
-        self.unary, self.chain, self.skip = unary, chain, skip
+    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray):
+        self.unary, self.chain, self.skip = unary, chain, np.asarray(skip, float)
 
     @classmethod
-    def fit(cls, documents: list[str], steps: int = 200) -> Field:
+    def fit(cls, documents: list[str], steps: int = 300) -> Field:
         """Softmax regression on shapes, smoothed label pairs, and agreement of linked nodes that rules label."""
-        shapes, labels, pairs, agree, linked = [], [], np.ones((N_LABELS, N_LABELS)), 1.0, 2.0
-        for text in documents:
+        shapes, pairs, seen = [], np.ones((N_LABELS, N_LABELS)), np.array(PRIOR)
+        for text in [*documents, "ab@cd.example 10.0.0.1 4587121519400672 +1 555 555 0100 token = a1b2c3d4e5f6a7b8c9 version 2.0 of 1999"]:
             base = base_spans(text)
-            if not base and not _DIGIT.search(text):
-                continue
-            n = Nodes(text, base)
-            shapes += n.shape
-            labels += n.label
+            n = Nodes(text, base, secret_spans(text))
+            shapes += [(*f, k, k) for f, k in zip(n.shape, n.label, strict=True)]
+            shapes += [(*_shape(_near_miss(text[s:e], k)), 0, N_LABELS + k) for s, k, e in base]
+            # a secret's shape alone, without the word before it, is no secret more often than not
+            shapes += [(*f, 0, 2 * N_LABELS) for f, k in zip(n.shape, n.label, strict=True) if k == 5]
             for i, j in n.chain:
                 pairs[n.label[i], n.label[j]] += 1
-            for i, j in n.skip:
+            for i, j, sort in n.skip:
                 if n.label[i] and n.label[j]:
-                    linked += 1
-                    agree += n.label[i] == n.label[j]
+                    seen[sort, int(n.label[i] != n.label[j])] += 1
         unary = np.zeros((N_FEATURES, N_LABELS))
-        if labels:
-            x = np.zeros((len(labels), N_FEATURES))
-            for i, f in enumerate(shapes):
-                x[i, list(f)] = 1
-            y = np.eye(N_LABELS)[labels]
-            for _ in range(steps):
-                z = x @ unary
-                p = np.exp(z - z.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                unary -= 2.0 * (x.T @ (p - y) / len(y) + 1e-3 * unary)
+        # equal shapes count once, with their number; every label weighs alike, and its near misses as much (a
+        # secret's twice): how common a label is says nothing about a node that is linked to a match
+        x, n = np.unique(np.array(shapes), axis=0, return_counts=True)
+        group = x[:, -1]
+        n = n / np.bincount(group, n, 2 * N_LABELS + 1)[group] * np.where(group == 2 * N_LABELS, 2, 1)
+        y, share, design = np.eye(N_LABELS)[x[:, -2]], (n / n.sum())[:, None], np.zeros((len(x), N_FEATURES))
+        np.put_along_axis(design, x[:, :-2], 1, axis=1)
+        for _ in range(steps):
+            z = design @ unary
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            unary -= 2.0 * (design.T @ ((p - y) * share) + 1e-3 * unary)
         rows = np.log(pairs / pairs.sum(1, keepdims=True))
-        share = np.log(pairs.sum(0) / pairs.sum())
-        rate = min(agree / linked, 0.999)
-        # at least so much that one link to a rule match outweighs an odd shape
-        return cls(unary, np.clip(rows - share, -2, 2), float(max(7.0, np.log(rate / (1 - rate) * (N_LABELS - 1)))))
+        against = np.log(pairs.sum(0) / pairs.sum())
+        return cls(unary, np.clip(rows - against, -2, 2), np.log(seen[:, 0] / seen[:, 1] * (N_LABELS - 1)))
 
-    def marginals(self, n: Nodes, rounds: int = 1000, settled: float = 1e-7) -> np.ndarray:
+    def marginals(self, n: Nodes, rounds: int = 1000, settled: float = 1e-4) -> np.ndarray:
         """Loopy sum-product messages in the log domain, all at once in each round, damped by half.
 
         They run until none changes by more than `settled`; `rounds` only ends those that never do.
@@ -257,10 +327,9 @@ class Field:
         node = np.array([self.unary[list(f)].sum(0) for f in n.shape])
         node -= node.max(1, keepdims=True)
         fixed = np.array(n.label)
-        edges = n.chain + n.skip
+        edges = [*n.chain, *((i, j) for i, j, _ in n.skip)]
         if edges:
-            agree = np.eye(N_LABELS) * self.skip
-            potential = np.stack([self.chain] * len(n.chain) + [agree] * len(n.skip))
+            potential = np.concatenate([np.stack([self.chain] * len(n.chain)) if n.chain else np.zeros((0, N_LABELS, N_LABELS)), np.eye(N_LABELS)[None] * self.skip[[k for _, _, k in n.skip]][:, None, None]])
             a, b = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
             # what a rule labels is known: it tells its neighbours once, and nothing outvotes it
             for x, y, table in ((a, b, potential), (b, a, potential.transpose(0, 2, 1))):
@@ -291,15 +360,14 @@ class Field:
         return _normal(total)
 
     def further(self, text: str, base: list[Span]) -> list[Span]:
-        """Spans beyond the base: nodes linked to a base span whose best label isn't none."""
-        if not base:  # only a rule's match gives the links something to carry
+        """Spans beyond the base: secrets that their rule finds, and nodes whose best label isn't none."""
+        if not _DIGIT.search(text) and "@" not in text:
             return []
-        n = Nodes(text, base)
-        linked = n.linked_to_base()
-        if not linked:
+        n = Nodes(text, base, secret_spans(text))
+        if len(n.label) == len(base):
             return []
-        best = self.marginals(n, 1000 + 4 * n.hops()).argmax(1)
-        return [(n.at[i][0], int(best[i]) - 1, n.at[i][1]) for i in linked if best[i]]
+        best = self.marginals(n).argmax(1)
+        return [(s, int(k) - 1, e) for (s, e), k, known in zip(n.at, best, n.label, strict=True) if k and (not known or known == 5)]
 
 
 def _logsum(x: np.ndarray) -> np.ndarray:
@@ -339,9 +407,9 @@ def spans_of(text: str, field: Field) -> tuple[list[Span], list[Span]]:
 def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, digest and list of the base spans and the further spans of every whole text.
 
-    n_email to n_phone count base spans, n_added further ones; places are code points, ends exclusive.
+    n_email to n_phone count base spans, n_added further ones, n_spans all; places are code points, ends exclusive.
     """
-    kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+    kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +418,7 @@ def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
             for text in b.column(1).to_pylist():
                 base, full = spans_of(text or "", field)
                 n = [sum(x[1] == k for x in base) for k in range(4)]
-                rows.append((*n, hashlib.sha256(spans_text(base).encode()).hexdigest(), spans_text(full), len(full) - len(base)))
+                rows.append((*n, hashlib.sha256(spans_text(base).encode()).hexdigest(), spans_text(full), len(full) - len(base), len(full)))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names)
 
     return map_batches(docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text"), batches, SCHEMA)

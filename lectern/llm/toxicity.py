@@ -3,17 +3,19 @@
 A unit (a word) is the mean of the embeddings of its hashed character 3- to
 5-grams, word ends included, so a misspelt word shares most vectors with the
 word it comes from. The mean goes into a softmax over {clean, toxic}. A text is
-scored by its most toxic unit, so one word tells in a text of any length.
+scored by its most toxic unit, so one word tells in a text of any length (the
+README compares this with one mean over the whole text).
 
 Labels are known for whole texts only, so the fit alternates: pick the unit
 that speaks most for each toxic text, then step embeddings and softmax together
 over those units against units of clean texts. Toxic texts in which nothing
-speaks for toxicity are left out of a round, as are labels that are noise.
+speaks for toxicity are left out of a round, as are labels that are noise. Last,
+a logistic on the texts' highest units sets scale and offset of the softmax.
 
 The softmax is linear in the mean, so each hashed n-gram has one number when
 scoring, and a text takes a few array operations over its characters.
 
-The fit takes about `fit_rows` labelled rows of each label, chosen by hash of
+The fit takes `fit_rows` labelled rows of each label at most, chosen by hash of
 their id, without texts of more than `fit_chars` characters.
 
 Defined results: a null or empty text, or one without letters or digits, has
@@ -24,7 +26,6 @@ result. One Arrow batch bounds the memory.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, map_batches
+from .common import first_of_each, hash_share, map_batches
 
 BITS, DIM, GRAMS = 17, 16, (3, 4, 5)
 SCHEMA = "doc_id long, score double, predicted int"
@@ -91,52 +92,103 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(mean.max() + self.offset, -30, 30)))) if len(mean) else 0.0
 
 
-def _bag(word: str) -> np.ndarray:
-    return np.concatenate([x.astype(np.int64) for x in _gram_ids(np.frombuffer(f" {word} ".encode("utf-32-le"), np.uint32))])
+def _words(text: str) -> list[str]:
+    return _codes(text).tobytes().decode("utf-32-le").split()
 
 
-def _words(text: str) -> list[str]:
-    return _codes(text).tobytes().decode("utf-32-le").split(" ")
+class Bags:
+    """Hashed n-grams of many words, one after another, numbered among those that occur."""
+
+    def __init__(self, words: list[str]):
+        self.codes = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32)
+        start, end = _units(self.codes)
+        lo = np.concatenate([start - 1 for _ in GRAMS])
+        hi = np.concatenate([np.maximum(end - n + 2, start - 1) for n in GRAMS])
+        sizes = [len(self.codes) - n + 1 for n in GRAMS]
+        ids = np.concatenate(_gram_ids(self.codes))
+        base = np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), len(words))
+        # by word, then n
+        order = np.argsort(np.tile(np.arange(len(words)), len(GRAMS)), kind="stable")
+        flat = ids[_ranges((lo + base)[order], (hi - lo)[order])]
+        self.sizes = (hi - lo).reshape(len(GRAMS), -1).sum(0)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.buckets, self.flat = np.unique(flat, return_inverse=True)
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        return self.flat[_ranges(self.starts[words], self.sizes[words])]
+
+    def means(self, value: np.ndarray) -> np.ndarray:
+        """Each word's mean of what its n-grams are worth."""
+        return np.add.reduceat(value[self.flat], self.starts) / self.sizes
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... n times, for each pair."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+
+def _calibrated(top: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Scale and offset of the logistic that tells texts' labels from their highest units, by Newton's steps."""
+    scale, offset, x = 1.0, 0.0, np.stack([top, np.ones(len(top))], 1)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ [scale, offset], -30, 30)))
+        g = x.T @ (p - y) + 1e-3 * np.array([scale, offset])
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, g)
+        step /= max(1.0, np.abs(step).max())
+        scale, offset = scale - step[0], offset - step[1]
+    return float(scale), float(offset)
 
 
 def fit_model(toxic: list[str], clean: list[str], rounds: int = 3, epochs: int = 5, negatives: int = 40_000, seed: int = 5) -> Model | None:
-    """Joint fit of embeddings and softmax over the units picked from whole texts; see the module."""
+    """Joint fit of embeddings and softmax over the units picked from whole texts, then of scale and offset on the texts; see the module."""
     toxic, clean = sorted(set(toxic)), sorted(set(clean))
-    if not toxic or not clean:
+    texts = [t for t in (sorted(set(_words(t))) for t in toxic + clean) if t]
+    n_toxic = sum(1 for t in toxic if _words(t))
+    if not n_toxic or n_toxic == len(texts):
         return None
     rng = np.random.default_rng(seed)
-    texts = [sorted(set(_words(t)) - {""}) for t in toxic]
-    found, against = Counter(w for t in texts for w in t), Counter(w for t in clean for w in set(_words(t)) - {""})
-    least = next((n for n in (3, 2) if any(found[w] >= n and not against[w] for w in found)), 1)
-    odds = {w: np.log((n + 0.5) / len(toxic)) - np.log((against[w] + 0.5) / len(clean)) for w, n in found.items() if n >= least}
-    witness = [max((w for w in t if w in odds), key=lambda w: (odds[w] * min(found[w], 10), w), default=None) for t in texts]
-    witness = [w if w is not None and odds[w] > 1.5 else None for w in witness]
-    others = sorted(against)
+    vocabulary = sorted({w for t in texts for w in t})
+    number = {w: i for i, w in enumerate(vocabulary)}
+    sizes = np.array([len(t) for t in texts])
+    held = np.array([number[w] for t in texts for w in t])  # the words of all texts, one after another
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    found = np.bincount(held[: cuts[n_toxic]], minlength=len(vocabulary))
+    against = np.bincount(held[cuts[n_toxic] :], minlength=len(vocabulary))
+    bags = Bags(vocabulary)
+    least = next((n for n in (3, 2) if ((found >= n) & (against == 0)).any()), 1)
+    odds = np.log((found + 0.5) / n_toxic) - np.log((against + 0.5) / (len(texts) - n_toxic))
+    first = np.where((found >= least) & (odds > 1.5), odds * np.minimum(found, 10), 0.0)
+
+    def witnesses(worth: np.ndarray) -> np.ndarray:
+        """The word of each toxic text that speaks most for toxicity, if one does."""
+        picked = [t[np.argmax(worth[t])] for t in np.split(held[: cuts[n_toxic]], cuts[1:n_toxic])]
+        return np.array([w for w in picked if worth[w] > 0], np.int64)
+
+    witness = witnesses(first)
+    others = np.flatnonzero(against)
     if len(others) > negatives:
-        weight = np.sqrt([against[w] for w in others])
-        others = [others[i] for i in sorted(rng.choice(len(others), negatives, replace=False, p=weight / weight.sum()))]
-    bags = {w: _bag(w) for w in {*others, *found}}
-    emb = rng.normal(0, 0.1, (1 << BITS, DIM))
+        weight = np.sqrt(against[others])
+        others = np.sort(rng.choice(others, negatives, replace=False, p=weight / weight.sum()))
+    emb = rng.normal(0, 0.1, (len(bags.buckets), DIM))
     soft, bias = rng.normal(0, 0.1, (DIM, 2)), np.array([1.0, -1.0])
-    ge, gs, gb = np.full(1 << BITS, 1e-4), np.full(soft.shape, 1e-4), np.full(2, 1e-4)
+    ge, gs, gb = np.full(len(emb), 1e-4), np.full(soft.shape, 1e-4), np.full(2, 1e-4)
     for _ in range(rounds):
-        good = [w for w in witness if w is not None]
-        if not good:
+        if not len(witness):
             return None
-        units = [(w, 1, 0.5 / len(good)) for w in good] + [(w, 0, 0.5 / len(others)) for w in others]
-        mean_weight = 1 / len(units)
+        words = np.concatenate([witness, others])
+        label = np.repeat([1, 0], [len(witness), len(others)])
+        weight = np.repeat([0.5 / len(witness), 0.5 / max(1, len(others))], [len(witness), len(others)]) * len(words)
         for _ in range(epochs):
-            order = rng.permutation(len(units))
+            order = rng.permutation(len(words))
             for at in range(0, len(order), 2048):
-                part = [units[i] for i in order[at : at + 2048]]
-                ids = np.concatenate([bags[w] for w, _, _ in part])
-                n = np.array([len(bags[w]) for w, _, _ in part])
-                cuts = np.concatenate([[0], np.cumsum(n)[:-1]])
-                mean = np.add.reduceat(emb[ids], cuts) / n[:, None]
+                part = order[at : at + 2048]
+                ids, n = bags.of(words[part]), bags.sizes[words[part]]
+                mean = np.add.reduceat(emb[ids], np.concatenate([[0], np.cumsum(n)[:-1]])) / n[:, None]
                 z = mean @ soft + bias
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
-                d = (p - np.eye(2)[[y for _, y, _ in part]]) * np.array([v for _, _, v in part])[:, None] / mean_weight
+                d = (p - np.eye(2)[label[part]]) * weight[part][:, None]
                 dm = (d @ soft.T) / n[:, None]
                 gsoft, gbias = mean.T @ d / len(part), d.mean(0)
                 gs += gsoft**2
@@ -144,39 +196,34 @@ def fit_model(toxic: list[str], clean: list[str], rounds: int = 3, epochs: int =
                 # gradient of each n-gram's embedding: sum over the units that hold it
                 owner = np.repeat(np.arange(len(part)), n)
                 by = np.argsort(ids, kind="stable")
-                rows, first = np.unique(ids[by], return_index=True)
-                g = np.add.reduceat(dm[owner[by]], first)
+                rows, start = np.unique(ids[by], return_index=True)
+                g = np.add.reduceat(dm[owner[by]], start)
                 ge[rows] += (g**2).mean(1)
                 emb[rows] -= 0.5 * g / np.sqrt(ge[rows])[:, None]
                 soft -= 0.1 * gsoft / np.sqrt(gs)
                 bias -= 0.1 * gbias / np.sqrt(gb)
-        value = emb @ (soft[:, 1] - soft[:, 0])
-        offset = bias[1] - bias[0]
-        worth = {w: value[b].mean() + offset for w, b in bags.items()}
-        witness = []
-        for t in texts:
-            w = max(t, key=lambda w: (worth[w], w), default=None)
-            witness.append(w if w is not None and worth[w] > 0 and found[w] >= min(2, least) else None)
-    # the clean texts' own highest units set the offset, so that few of them pass one half
-    top = np.sort([max((value[b].mean() if (b := bags.get(w)) is not None else value[_bag(w)].mean() for w in set(_words(t)) - {""}), default=-9.0) for t in clean])
-    hit = np.sort([value[bags[w]].mean() for w in witness if w is not None])
-    if len(hit):
-        low, high = top[int(0.99 * (len(top) - 1))], hit[int(0.05 * (len(hit) - 1))]
-        bias = np.array([0.0, -(low + high) / 2 if high > low else -low])
-    return Model(emb, soft, bias)
+        worth = bags.means(emb @ (soft[:, 1] - soft[:, 0])) + bias[1] - bias[0]
+        witness = witnesses(np.where(found >= min(2, least), worth, -np.inf))
+    scale, offset = _calibrated(np.maximum.reduceat(worth[held], cuts[:-1]), np.arange(len(texts)) < n_toxic)
+    if scale <= 0:
+        return None
+    table = np.zeros((1 << BITS, DIM))
+    table[bags.buckets] = emb
+    return Model(table, soft * scale, np.array([0.0, (bias[1] - bias[0]) * scale + offset]))
 
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 2500, fit_chars: int = 6_000
 ) -> Model | None:
-    """A model from about fit_rows labelled rows of each label; rows with a null label or id take no part."""
+    """A model from fit_rows labelled rows of each label at most; rows with a null label or id take no part."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n = F.when(F.col("y") == 1, F.lit(counts.get(1, 0))).otherwise(F.lit(counts.get(0, 0)))
-    chosen = known.where(hash_share("doc_id", fit_rows, n)).dropDuplicates()
-    # at most twice fit_rows ids go to every task
+    h = F.xxhash64(F.lit(11), "doc_id")
+    chosen = first_of_each(known.where(hash_share("doc_id", fit_rows, n)).distinct().withColumn("h", h), "y", ["h", "doc_id"], fit_rows)
+    # at most twice fit_rows ids go to every task, and as many texts come back, also where an id has many
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") <= fit_chars)
-    got = rows.join(F.broadcast(chosen), "doc_id").select("y", "text").collect()
+    got = first_of_each(rows.join(F.broadcast(chosen), "doc_id"), "y", ["h", "text"], fit_rows).select("y", "text").collect()
     return fit_model([r.text for r in got if r.y == 1], [r.text for r in got if r.y == 0])
 
 

@@ -17,7 +17,9 @@ no payload; it names the payload's digest and length and the response's id.
 
 Defined results: a null payload is empty; null addresses are left out; line ends
 in an address become spaces; ids that repeat are told apart by their payload
-only (equal ids never revisit each other); extra columns are ignored; an empty
+only (equal ids never revisit each other); a page without an id gets a record
+whose id is random, and is null when read back; it revisits the smallest id of
+its payload, or is a response where none has one; extra columns are ignored; an empty
 table gives an empty result.
 """
 
@@ -50,14 +52,14 @@ def _open(uri: str, how: str):
     return fs.open_input_file(path)
 
 
-def record(page_id: int, url: str | None, digest: str, payload: bytes | None, length: int, refers_to: int | None) -> bytes:
-    """A WARC/1.1 record: a response with its payload, or a revisit of refers_to."""
+def record(page_id: int | None, url: str | None, digest: str, payload: bytes | None, length: int, refers_to: int | None) -> bytes:
+    """A WARC/1.1 record: a response with its payload, or a revisit of refers_to; without a page id it gets a random id."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     body = http + (payload or b"" if refers_to is None else b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>" if page_id is None else f"WARC-Record-ID: <urn:page:{page_id}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -99,18 +101,21 @@ class Records:
 
 
 def _inflated(stream) -> Iterator[bytes]:
-    """Pieces of a gzip file of one member or several."""
-    z = zlib.decompressobj(31)
+    """Pieces of a gzip file of one member or several; one that is cut off is an error, wherever the cut lies."""
+    z, open_member = zlib.decompressobj(31), False
     while piece := stream.read(PIECE):
         while piece:
+            open_member = True
             yield z.decompress(piece, PIECE)
             while z.unconsumed_tail and not z.eof:
                 yield z.decompress(z.unconsumed_tail, PIECE)
             piece = z.unused_data
             if z.eof:
-                z = zlib.decompressobj(31)
+                z, open_member = zlib.decompressobj(31), False
     if rest := z.flush():
         yield rest
+    if open_member and not z.eof:
+        raise ValueError("the gzip stream is cut off")
 
 
 def write_monolithic(folder: str):
@@ -124,7 +129,8 @@ def write_monolithic(folder: str):
                     name, held, records = f"{folder}/mono/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out, z = _open(name, "w"), zlib.compressobj(6, zlib.DEFLATED, 31)
                 refers = None if row.refers_to is None else int(row.refers_to)
-                data = record(int(row.page_id), row.url, row.payload_digest, row.html, int(row.payload_bytes), refers)
+                page_id = None if row.page_id is None else int(row.page_id)
+                data = record(page_id, row.url, row.payload_digest, row.html, int(row.payload_bytes), refers)
                 out.write(z.compress(data))
                 held += len(data)
                 records += 1
@@ -191,7 +197,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if row.file != opened:
                 stream, opened = _open(row.file, "r"), row.file
             head, payload = read_record(stream, int(row.offset), int(row.length))
-            number = lambda k: int(head[k].strip("<>").rpartition(":")[2]) if k in head else None
+            number = lambda k: int(head[k][10:-1]) if head.get(k, "").startswith("<urn:page:") else None
             digest, size = head["warc-payload-digest"].removeprefix("sha256:"), int(head["x-payload-length"])
             if head["warc-type"] == "response":
                 if (hashlib.sha256(payload).hexdigest(), len(payload)) != (digest, size):
@@ -210,24 +216,29 @@ def with_revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
     # only ids and digests are grouped; a payload that a third of all pages share is one row here for each task
     first = named.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     out = named.join(first.drop("_n"), "payload_digest", "left")
-    revisits = F.when((F.col("payload_bytes") >= least_bytes) & (F.col("_first") != F.col("page_id")), F.col("_first"))
+    other = F.col("page_id").isNull() | (F.col("_first") != F.col("page_id"))
+    revisits = F.when((F.col("payload_bytes") >= least_bytes) & other, F.col("_first"))
     return out.select("page_id", "url", F.when(revisits.isNull(), F.col("html")).alias("html"), "payload_digest", "payload_bytes", revisits.alias("refers_to"))
 
 
 def archive(pages: DataFrame, least_bytes: int = 100) -> tuple[DataFrame, Scratch]:
     """Writes pages (page_id, url, html) to archives and normalises them: the sidecar index, one row for each record.
 
-    Pages whose id is null take no part. The folder of the archives is the
+    As many records must be found as were written. The folder of the archives is the
     scratch folder's; it goes when the process ends, or by `delete`.
     """
     spark = pages.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark)
-    named = with_revisits(pages.where(F.col("page_id").isNotNull()), least_bytes)
-    named = named.withColumn("refers_to", F.col("refers_to").cast("string"))  # pandas has no null among integers
+    named = with_revisits(pages, least_bytes)
+    # pandas has no null among integers
+    named = named.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     mono = scratch.write(named.mapInPandas(write_monolithic(scratch.folder), "file string, records long"), "manifest")
-    files = mono.select("file").repartition(max(1, min(mono.count(), 10_000)), "file")
+    made = mono.agg(F.count("*").alias("files"), F.sum("records").alias("records")).first()
+    files = mono.select("file").repartition(max(1, min(made.files, 10_000)), "file")
     index = scratch.write(files.mapInPandas(_normalise(scratch.folder), INDEX), "index")
+    if (found := index.count()) != (made.records or 0):
+        raise RuntimeError(f"{made.records} records were written, {found} found")
     delete(spark, f"{scratch.folder}/mono")  # the members hold all of it now
     return index, scratch
 

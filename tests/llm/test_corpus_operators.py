@@ -277,7 +277,7 @@ def test_archives_round_trip(spark, monkeypatch):
     d = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, offset int").coalesce(1)
     index, scratch = warc.archive(d)
     got = {r.page_id: r for r in warc.read_archive(index).collect()}
-    assert set(got) == {r[0] for r in rows if r[0] is not None}
+    assert set(got) == {r[0] for r in rows} and (got[None].record_type, got[None].payload_bytes) == ("response", 1)
     assert [(got[i].record_type, got[i].refers_to) for i in (2, 5, 2**60 + 1)] == [("response", None), ("revisit", 2), ("revisit", 2)]
     assert {got[i].payload_bytes for i in (2, 5, 2**60 + 1)} == {len(big.encode())} and got[3].payload_bytes == got[4].payload_bytes == 0
     assert got[6].record_type == got[7].record_type == "response"
@@ -291,7 +291,7 @@ def test_archives_round_trip(spark, monkeypatch):
             for r in sorted((r for r in index.collect() if r.file == f.file), key=lambda r: r.offset):
                 assert r.offset == at
                 head, payload = warc.read_record(s, r.offset, r.length)
-                assert head["warc-record-id"].strip("<>") == r.record_id
+                assert head["warc-record-id"].strip("<>") == r.record_id and head["warc-type"] == r.record_type
                 if head["warc-type"] == "response":
                     assert len(payload) == int(head["x-payload-length"])
                 at += r.length
@@ -306,11 +306,25 @@ def test_streams_of_several_members_and_torn_ones(tmp_path):
     (tmp_path / "a.gz").write_bytes(gz(one) + gz(two + one))
     rows = list(warc.normalise_file(f"file://{tmp_path}/a.gz", f"file://{tmp_path}/b.gz"))
     assert [r[4] for r in rows] == ["response", "revisit", "response"]
-    (tmp_path / "c.gz").write_bytes(gz(one[:-10]))
+    for torn in (gz(one[:-10]), gz(one)[:-8], gz(two) + gz(one)[:-8], gz(two) + gz(one)[:4]):
+        (tmp_path / "c.gz").write_bytes(torn)
+        with pytest.raises(ValueError):
+            list(warc.normalise_file(f"file://{tmp_path}/c.gz", f"file://{tmp_path}/d.gz"))
+    # cut at the end of a record, within the stream
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    (tmp_path / "c.gz").write_bytes(z.compress(one) + z.flush(zlib.Z_SYNC_FLUSH))
     with pytest.raises(ValueError):
         list(warc.normalise_file(f"file://{tmp_path}/c.gz", f"file://{tmp_path}/d.gz"))
 
 
+def test_pages_without_an_id_are_kept(spark):
+    big = "x" * 200
+    rows = [(None, "u", big), (4, "u", big), (9, "u", big), (None, "u", big * 2), (None, "v", big * 2)]
+    index, _ = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in warc.read_archive(index).collect())
+    assert got == [("4", 200, "response", "None"), ("9", 200, "revisit", "4"), ("None", 200, "revisit", "4"), ("None", 400, "response", "None"), ("None", 400, "response", "None")]
+
+
 # --- pipeline
 
 
@@ -335,3 +349,147 @@ def test_pipeline_against_brute_force(spark):
     assert all("@" not in r.text or "." not in r.text.split("@", 1)[1][:30] for r in safe.collect())
     mixed = corpus_pipeline.source_mix(spark, safe, SF)
     assert mixed.columns == [*docs.columns, "mix_block", "mix_row"] and mixed.count() == safe.count()
+
+
+# --- cases of repeated ids, chains, ties, clashing names
+
+
+def test_texts_of_one_id_share_a_component(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in ("a", "b"))
+    rows = [(3, one), (4, two), (5, one), (5, two), (5, two), (6, two + " end"), (7, "else")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.n_links) for r in jaccard_join.similar_components(d, 3, 90, 100).collect()}
+    assert got == {(3, 38): (3, 1), (4, 38): (3, 2), (5, 38): got[5, 38], (6, 39): (3, 2), (7, 1): (7, 0)} and got[5, 38][0] == 3
+    rng = random.Random(11)
+    base = [[f"{k}w{rng.randrange(300)}" for _ in range(60)] for k in range(12)]
+    rows = [(rng.randrange(60), edited(rng, rng.choice(base), rng.randint(0, 2))) for _ in range(150)]
+    got = jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, 100).collect()
+    sets = defaultdict(list)
+    for i, t in rows:
+        sets[i].append(set(jaccard_join.shingle_hashes(t.encode(), 3).tolist()))
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if any(100 * len(a & b) >= 80 * len(a | b) for a in sets[i] for b in sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, find(i)) for i in sets} and len(got) == len(rows)
+
+
+def chain(n, words=60, seed=1):
+    """Texts each of which replaces one word of the one before."""
+    rng, now, out = random.Random(seed), [f"s{i}" for i in range(words)], []
+    for i in range(n):
+        now[rng.randrange(words)] = f"n{i}"
+        out.append((i, " ".join(now)))
+    return out
+
+
+def test_work_on_a_chain_grows_with_its_length(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL_BUCKET", 8)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+    made = {}
+    real = jaccard_join.Scratch.write
+
+    def write(self, df, name):
+        out = real(self, df, name)
+        if name in ("pairs", "placed", "links"):
+            made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join.Scratch, "write", write)
+    for n in (5000, 20_000):
+        rows = chain(n)
+        got = jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+        sets = [set(jaccard_join.shingle_hashes(t.encode(), 3).tolist()) for _, t in rows]
+        alike = lambda i, j: 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])
+        links = Counter(x for i in range(n) for j in range(i + 1, min(i + 8, n)) if alike(i, j) for x in (i, j))
+        first = list(range(n))
+        for i in range(1, n):
+            first[i] = next((first[j] for j in range(i - 1, max(-1, i - 8), -1) if alike(i, j)), i)
+        assert {r.doc_id: (r.component_id, r.n_links) for r in got} == {i: (first[i], links[i]) for i in range(n)}
+    assert all(large < 5 * small for small, large in made.values())  # four times the documents
+
+
+def test_turns_of_one_number_go_by_role_and_text(spark):
+    rows = [(1, 0, "user", t) for t in "hgfedcba"] + [(1, 0, None, "z"), (1, 0, "a", "y"), (1, 0, "user", None), (1, 0, "user", "")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = chat.render_chats(d).collect()
+    said = [x.split("\n", 1) for x in got[0].chat.replace("<|im_start|>", "").split("<|im_end|>\n")[:-1]]
+    assert said == [["user", "z"], ["a", "y"], ["user", ""], ["user", ""], *[["user", t] for t in "abcdefgh"]]
+
+
+def test_snapshots_match_brute_force(spark):
+    rng = random.Random(6)
+    turns = []
+    for c in range(120):
+        n, seed = rng.randint(1, 6), rng.randrange(6)
+        for t in range(n):
+            turns.append((c, t, "user" if t % 2 == 0 else None, f"{seed}-{t}" if t < 4 or rng.random() < 0.5 else f"x{c}"))
+    whole = defaultdict(list)
+    for c, _, role, text in turns:
+        whole[c].append((role or "user", text))
+    first = {}
+    for c in sorted(whole):
+        first.setdefault(tuple(whole[c]), c)
+    kept = {c: k for k, c in first.items() if not any(len(o) > len(k) and o[: len(k)] == k for o in first)}
+    got = {r.conv_id: r for r in chat.render_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4)).collect()}
+    assert set(got) == set(kept) and 0 < len(kept) < len(first)
+    assert all(got[c].n_turns == len(k) and got[c].n_copies == sum(tuple(v) == k for v in whole.values()) for c, k in kept.items())
+
+
+def test_vectors_of_any_finite_size(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1.0, 1.0]), (2, [1e200, 0.0]), (3, [1e-200, 0.0]), (4, [-1e-300, -1e-300])]
+    got = [(r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id = 0").orderBy("rank").collect()]
+    assert [i for i, _ in got] == [1, 2, 3, 4] and np.allclose([s for _, s in got], [1, 0.5**0.5, 0.5**0.5, -1], atol=1e-15)
+
+
+@pytest.mark.parametrize("n", [3, 700])
+def test_a_query_finds_as_many_rows_as_there_are(spark, n):
+    rng = np.random.default_rng(5)
+    rows = [(i, (np.eye(8)[i % 8] + rng.normal(0, 0.01, 8)).tolist()) for i in range(n)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter(r.query_id for r in ann.nearest(d, "vec_id % 50 = 0", k=120, recall=0.01).collect())
+    assert got == {i: min(120, n - 1) for i in range(0, n, 50)}
+
+
+def test_extra_columns_may_have_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    names = "_key key gone part held at hit _bit _w _m _id line nth first own _source _h _range _i _k _parts _place _before _slot _slots row PART".split()
+    names = [n for i, n in enumerate(names) if n.lower() not in [x.lower() for x in names[:i]]]
+    rows = [(3, text, "s"), (1, text, "s"), (1, text, "s"), (2, "other words", "t"), (2, "more", "t"), (None, text, None)]
+    d = spark.createDataFrame([(*r, *[f"{r[0]}{n}" for n in names]) for r in rows], ", ".join(["doc_id long, text string, source string", *[f"{n} string" for n in names]]))
+    b = spark.createDataFrame([(1, text)], "item_id long, text string")
+    kept = jaccard_join.one_of_each(d)
+    clean = decontaminate.decontaminate(d, b)
+    mixed = mixing.mix(d)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "2", "None"] and sorted(str(r.doc_id) for r in clean.collect()) == ["2", "2", "None"]
+    for out in (kept, clean, mixed):
+        assert out.columns[: len(d.columns)] == d.columns
+        assert all(r[n] == f"{r.doc_id}{n}" for r in out.collect() for n in names)
+    assert mixed.count() == 6
+
+
+def test_shared_folders_are_needed_off_one_machine(spark, monkeypatch):
+    from lectern.llm import common
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        common.shared_folder(Session())
