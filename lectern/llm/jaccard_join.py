@@ -14,13 +14,13 @@
    and prefix collapse into one group.
 4. Shingles that several prefixes hold form buckets; groups with fewer of them
    than any partner would need are filtered out. A group's home is its largest
-   bucket, so similar groups mostly have the same home. Group pairs are filtered
-   by size and by the number of shared prefix shingles: natively in small
-   buckets, by matrix products within blocks of a bucket in large ones. What
-   goes on are the pairs of homes that hold a pair of groups that passes, so no
-   bucket emits its pairs.
+   bucket, so similar groups mostly have the same home, and a bucket holds few
+   homes, however many groups. Pairs of homes are filtered by the sizes of their
+   groups and by the number of buckets they share: natively from buckets of few
+   homes; in those of many, by matrix products within blocks of their groups. So
+   no bucket emits the pairs of its groups.
 5. Homes are expanded to their groups' members and cut into blocks; whole sets of
-   members are verified exactly in every pair of blocks whose homes are paired,
+   members are verified exactly in every pair of blocks of one home or of paired ones,
    from which a forest and each member's number of links go on. A chain of
    documents, each similar to the next few, has few pairs of homes, so its work
    grows with its length; a family of n texts that are all similar has n^2 / 2
@@ -59,7 +59,7 @@ FREQUENT = 1 << 18
 COUNTED_BELOW = np.uint64(1 << 60)
 #: Shingles of a chunk; of those outside the counted part, the ones that occur CHUNK_LEAST times in it are counted.
 CHUNK, CHUNK_LEAST = 1 << 20, 4
-#: Members of a bucket up to which pairs are formed natively; members of a block above.
+#: Homes of a bucket up to which their pairs are formed natively; members of a block.
 SMALL_BUCKET, BLOCK = 24, 800
 #: Shingles of a block of members, on average: long texts make smaller blocks.
 BLOCK_SHINGLES = 1 << 20
@@ -251,14 +251,14 @@ def _dealt(rows: DataFrame, member: str, size) -> DataFrame:
 
 
 def _home_pairs(similar: Similarity):
-    """The pairs of homes that hold a pair of groups that passes, of one pair of blocks of a bucket."""
+    """The pairs of different homes that hold a pair of groups that passes, of one pair of blocks of a bucket."""
 
     def go(rows: pa.Table) -> pa.RecordBatch | None:
-        tok, i, j = (rows[c][0].as_py() for c in ("tok", "i", "j"))
+        i, j = (rows[c][0].as_py() for c in ("i", "j"))
         block, home, n = (rows[c].to_numpy() for c in ("block", "home", "n"))
         homes, of = np.unique(home, return_inverse=True)
-        if len(homes) == 1 and homes[0] != tok:
-            return None  # pairs with one home are found in its own bucket
+        if len(homes) == 1:
+            return None  # members of one home are compared anyway
         lists = rows["set"].combine_chunks()
         lengths = np.diff(lists.offsets.to_numpy())
         flat = lists.flatten().to_numpy()
@@ -266,20 +266,17 @@ def _home_pairs(similar: Similarity):
         once = np.unique(np.stack([row, flat]), axis=1)
         distinct = np.bincount(once[0], minlength=len(lengths))
         lost = int((lengths - distinct).max())  # shingles of one group that clash
-        # the most common home is compared with the others only, unless this is its own bucket
-        most = np.bincount(of).argmax()
+        most = np.bincount(of).argmax()  # the most common home is compared with the others only
         if i == j:
-            a, b = np.flatnonzero((of != most) | (home == tok)), np.arange(len(n))
+            a, b = np.flatnonzero(of != most), np.arange(len(n))
         else:
             a, b = np.flatnonzero(block == i), np.flatnonzero(block != i)
-            if homes[most] != tok and not (of[a] != most).any() and not (of[b] != most).any():
-                return None
         if not len(a) or not len(b):
             return None
         common = common_counts((once[1], distinct), a, b)
         x, y = n[a][:, None], n[b][None]
         passes = (common + lost >= np.minimum(similar.shared(x), similar.shared(y))) & (np.minimum(x, y) >= similar.smallest(np.maximum(x, y)))
-        passes &= a[:, None] != b[None]
+        passes &= of[a][:, None] != of[b][None]
         x, y = np.nonzero(passes)
         pair = np.unique(np.sort(np.stack([of[a[x]], of[b[y]]]), axis=0), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(homes[pair[0]]), pa.array(homes[pair[1]])], ["a", "b"])
@@ -373,24 +370,28 @@ def similar_components(
     index = index.where(f"size(toks) >= {similar.sql_shared(similar.sql_smallest('n'))}").withColumn("home", F.expr("array_max(toks).tok"))
     index = scratch.write(index, "index")
 
-    # pairs of homes: natively from small buckets, from blocks of large ones
-    each = index.select("gid", "n", "home", F.explode("toks").alias("t"))
-    small = each.where(F.col("t.size") <= SMALL_BUCKET).select("t.tok", "gid", "n", "home")
-    other = small.select("tok", F.col("gid").alias("gid2"), F.col("n").alias("n2"), F.col("home").alias("home2"))
-    fit = F.expr(f"least(n, n2) >= {similar.sql_smallest('greatest(n, n2)')} and (gid < gid2 or gid = gid2 and n < n2)")
-    few = small.join(other, "tok").where(fit).groupBy("gid", "n", "home", "gid2", "n2", "home2").agg(F.count("*").alias("k"))
-    few = few.where(f"k >= least({similar.sql_shared('n')}, {similar.sql_shared('n2')})").select(F.col("home").alias("a"), F.col("home2").alias("b"))
+    # pairs of homes. A bucket holds few homes, as its members' homes are at least as large: their pairs are formed natively,
+    # and those go on that share enough buckets for some pair of their groups. Buckets of many homes go by blocks of groups
+    each = index.select("gid", "n", "home", F.explode("toks.tok").alias("tok"))
+    held = scratch.write(each.groupBy("tok", "home").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "held")
+    homes = held.groupBy("tok").agg(F.count("*").alias("homes")).where("homes > 1")
+    one = held.join(homes.where(F.col("homes") <= SMALL_BUCKET), "tok").select("tok", "home", "lo", "hi")
+    other = one.select("tok", *[F.col(c).alias(f"{c}2") for c in ("home", "lo", "hi")])
+    few = one.join(other, "tok").where("home < home2").groupBy("home", "home2")
+    few = few.agg(F.count("*").alias("k"), *[f(c).alias(c) for c, f in (("lo", F.min), ("lo2", F.min), ("hi", F.max), ("hi2", F.max))])
+    fit = f"hi >= {similar.sql_smallest('lo2')} and hi2 >= {similar.sql_smallest('lo')} and k >= least({similar.sql_shared('lo')}, {similar.sql_shared('lo2')})"
+    few = few.where(fit).select(F.col("home").alias("a"), F.col("home2").alias("b"))
+    many_homes = homes.where(F.col("homes") > SMALL_BUCKET).select("tok")
     # 31 bits of each shared shingle: equal ones stay equal, and a clash only lets a pair through to be verified
     masked = F.expr("transform(toks, x -> cast(x.tok & 2147483647 as int))").alias("set")
-    large = index.select("gid", "n", "home", masked, F.explode(F.expr(f"filter(toks, x -> x.size > {SMALL_BUCKET})")).alias("t"))
-    large = large.select("t.tok", "t.size", "gid", "n", "home", "set")
+    large = each.join(many_homes, "tok", "left_semi").join(sizes, "tok").join(index.select("gid", "n", masked), ["gid", "n"])
     many = map_groups(_dealt(large, "gid", F.col("size")), ["tok", "i", "j"], _home_pairs(similar), "a long, b long")
     at_home = members.join(index.select("gid", "n", "home").hint("merge"), ["gid", "n"], "left").withColumn("home", F.coalesce("home", F.xxhash64("gid", "n")))
     at_home = scratch.write(at_home.select("rep", "n", "s1", "s2", "copies", "gid", "home"), "at_home")
-    within = at_home.groupBy("gid", "n", "home").agg(F.count("*").alias("k")).where("k > 1").select(F.col("home").alias("a"), F.col("home").alias("b"))
+    within = at_home.groupBy("home").agg(F.count("*").alias("k")).where("k > 1").select(F.col("home").alias("a"), F.col("home").alias("b"))
     pairs = few.unionByName(many).unionByName(within)
     pairs = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    scratch.drop(sizes, aside, members)
+    scratch.drop(sizes, aside, members, held)
 
     # homes cut into blocks, and the tasks: pairs of blocks of paired homes
     used = pairs.select(F.explode(F.array("a", "b")).alias("home")).distinct()
