@@ -29,17 +29,17 @@ STOP = ["the", "and", "of", "to", "in", "de", "la", "que", "der", "die", "und",
 
 POSTS_SQL = """posts AS (SELECT doc_id AS rid, split_part(text, chr(10), 1) AS title, text AS doc, source AS ch, lang,
   CASE lang WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'es' THEN 3 WHEN 'fr' THEN 4 END AS section FROM documents)"""
-TOKENS_SQL = POSTS_SQL + r""", tokens AS (SELECT rid, section, unnest(regexp_extract_all(lower(coalesce(doc, '')), '[\p{L}\p{N}_]{2,}')) AS keyword FROM posts)"""
+TOKENS_SQL = POSTS_SQL + r""", tokens AS MATERIALIZED (SELECT rid, section, unnest(regexp_extract_all(lower(coalesce(doc, '')), '[\p{L}\p{N}_]{2,}')) AS keyword FROM posts)"""
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOP) + ")"
-COUNTS_SQL = TOKENS_SQL + ", counts AS (SELECT section, keyword, count(*) AS n FROM tokens GROUP BY ALL)"
+COUNTS_SQL = TOKENS_SQL + ", counts AS MATERIALIZED (SELECT section, keyword, count(*) AS n FROM tokens GROUP BY ALL)"
 #: Weights of the sections as four documents, and of every post.
 SECTION_WEIGHTS_SQL = COUNTS_SQL + """, dfs AS (SELECT keyword, count(*) AS df FROM counts GROUP BY keyword), total AS (SELECT count(DISTINCT section) AS d FROM counts),
 raw AS (SELECT section, keyword, n * (ln((1 + d) / (1 + df)) + 1) AS w FROM counts JOIN dfs USING (keyword), total),
-weights AS (SELECT section, keyword, w / sqrt(sum(w * w) OVER (PARTITION BY section)) AS tfidf FROM raw)"""
-POST_WEIGHTS_SQL = TOKENS_SQL + """, tf AS (SELECT rid, keyword, count(*) AS n FROM tokens GROUP BY ALL), dfs AS (SELECT keyword, count(*) AS df FROM tf GROUP BY keyword),
+weights AS MATERIALIZED (SELECT section, keyword, w / sqrt(sum(w * w) OVER (PARTITION BY section)) AS tfidf FROM raw)"""
+POST_WEIGHTS_SQL = TOKENS_SQL + """, tf AS MATERIALIZED (SELECT rid, keyword, count(*) AS n FROM tokens GROUP BY ALL), dfs AS (SELECT keyword, count(*) AS df FROM tf GROUP BY keyword),
 total AS (SELECT count(DISTINCT rid) AS d FROM tf),
 raw AS (SELECT rid, keyword, n * (ln((1 + d) / (1 + df)) + 1) AS w FROM tf JOIN dfs USING (keyword), total),
-weights AS (SELECT rid, keyword, w / sqrt(sum(w * w) OVER (PARTITION BY rid)) AS tfidf FROM raw)"""
+weights AS MATERIALIZED (SELECT rid, keyword, w / sqrt(sum(w * w) OVER (PARTITION BY rid)) AS tfidf FROM raw)"""
 
 
 def query(name: str, sql: str | None = None):
@@ -94,11 +94,11 @@ def clean_strict(spark, sf):
     return posts(spark, sf).select("rid", text.clean_strict(F.col("doc")).alias("cleaned"))
 
 
-@query("clean_steps", rf"""WITH {POSTS_SQL} SELECT rid, regexp_replace(title, 'ㅋ{{2,}}|ㅎ{{2,}}', ' ', 'g') AS laughs, regexp_replace(title, '[\x{{2600}}-\x{{26FF}}]+', ' ', 'g') AS emoji,
-  regexp_replace(title, '[^가-힣a-zA-Z0-9\s]', ' ', 'g') AS allowed, trim(regexp_replace(title, '\s+', ' ', 'g')) AS spaced,
-  regexp_replace(title, '<[^>]+>', ' ', 'g') AS untagged, regexp_replace(title, '(https?://[^\s]+|www\.[^\s]+)', ' ', 'g') AS unlinked FROM posts""")
+@query("clean_steps", rf"""WITH {POSTS_SQL} SELECT rid, regexp_replace(doc, 'ㅋ{{2,}}|ㅎ{{2,}}', ' ', 'g') AS laughs, regexp_replace(doc, '[\x{{2600}}-\x{{26FF}}]+', ' ', 'g') AS emoji,
+  regexp_replace(doc, '[^가-힣a-zA-Z0-9\s]', ' ', 'g') AS allowed, trim(regexp_replace(doc, '\s+', ' ', 'g')) AS spaced,
+  regexp_replace(doc, '<[^>]+>', ' ', 'g') AS untagged, regexp_replace(doc, '(https?://[^\s]+|www\.[^\s]+)', ' ', 'g') AS unlinked FROM posts""")
 def clean_steps(spark, sf):
-    t = F.col("title")
+    t = F.col("doc")
     return posts(spark, sf).select(
         "rid", text.remove_repeated_laughs(t).alias("laughs"), text.remove_emoji(t).alias("emoji"), text.keep_allowed(t).alias("allowed"),
         text.normalize_text(t).alias("spaced"), text.strip_tags(t).alias("untagged"), text.strip_urls(t).alias("unlinked"),
@@ -140,10 +140,10 @@ def channel_map(spark, sf):
     return table(spark, sf, "documents").select("doc_id", values.map_channel(raw).alias("ch"), values.label(F.col("lang"), {"de": "German", "en": "English"}).alias("name"))
 
 
-@query("json_props", """SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value, len(json_keys(props))::BIGINT AS n FROM events""")
+@query("json_props", """SELECT event_id, 1::BIGINT AS n, CAST(json(props) AS VARCHAR) AS first FROM events""")
 def json_props(spark, sf):
-    m = F.from_json("props", "map<string,string>")
-    return table(spark, sf, "events").select("event_id", F.element_at(F.map_values(m), 1).alias("first_value"), F.size(m).cast("bigint").alias("n"))
+    listed = nested.parse_json_array(F.concat(F.lit(" ["), "props", F.lit("]")), "array<string>")
+    return table(spark, sf, "events").select("event_id", F.size(listed).cast("bigint").alias("n"), listed[0].alias("first"))
 
 
 @query("numbers_and_lengths", """SELECT event_id, CAST(trunc(value) AS INT) AS whole, length(props)::BIGINT AS chars, strftime(make_timestamp(epoch_us(ts)), '%Y%m%d') AS day FROM events""")
@@ -195,11 +195,10 @@ def comment_build_delimited(spark, sf):
     return c.select("conv_id", F.size("c").cast("bigint").alias("n"), F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + x["comment_like"]).alias("likes"))
 
 
-@query("comment_explode", f"SELECT conv_id, place::INT AS comment_idx, role, length(text)::INT AS chars FROM ({COMMENT_SQL})")
+@query("comment_explode", f"SELECT conv_id AS rid, role AS comment_content, length(text)::INT AS chars FROM ({COMMENT_SQL})")
 def comment_explode(spark, sf):
-    c = conversation_lists(spark, sf)
-    both = F.arrays_zip(F.transform("said", lambda x: x["role"]).alias("role"), F.transform("said", lambda x: F.length(x["text"])).alias("chars"))
-    return c.select("conv_id", F.posexplode(both).alias("comment_idx", "c")).select("conv_id", "comment_idx", "c.role", "c.chars")
+    c = conversation_lists(spark, sf).select(F.col("conv_id").alias("rid"), F.transform("said", lambda x: F.struct(x["role"].alias("comment_content"), F.length(x["text"]).alias("chars"))).alias("comment_list"))
+    return tokens.explode_comments(c)
 
 
 @query("comment_clean", rf"""SELECT conv_id, string_agg(cleaned, '|' ORDER BY place) AS cleaned, count(*) FILTER (cleaned <> '')::BIGINT AS kept FROM (SELECT *, trim(regexp_replace(regexp_replace(text, '[^가-힣a-zA-Z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS cleaned FROM ({COMMENT_SQL})) GROUP BY conv_id""")
@@ -259,10 +258,10 @@ def min_len(spark, sf):
     return filters.min_length(filters.with_text(posts(spark, sf)), "doc", 500).select("rid", F.length("doc").alias("n"))
 
 
-@query("changed_rows", rf"""WITH {POSTS_SQL} SELECT rid FROM posts WHERE trim(regexp_replace(title, '\s+', ' ', 'g')) IS DISTINCT FROM title""")
+@query("changed_rows", rf"""WITH {POSTS_SQL} SELECT rid FROM posts WHERE trim(regexp_replace(doc, '\s+', ' ', 'g')) IS DISTINCT FROM doc""")
 def changed_rows(spark, sf):
-    p = posts(spark, sf).withColumn("title_new", text.normalize_text(F.col("title")))
-    return p.where(filters.changed(["title"], ["title_new"])).select("rid")
+    p = posts(spark, sf).withColumn("doc_new", text.normalize_text(F.col("doc")))
+    return p.where(filters.changed(["doc"], ["doc_new"])).select("rid")
 
 
 URL_SQL = "'https://m.blog.naver.com/b' || (page_id % 40) || '/' || (page_id % 100)"
@@ -320,9 +319,10 @@ def snapshots_largest(spark, sf):
     return relate.snapshots_largest(e, ["event_type"]).select("event_type", F.size("links").alias("n"))
 
 
-@query("resume_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("resume_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def resume_anti(spark, sf):
-    return relate.unseen(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").withColumnRenamed("o_custkey", "c_custkey")
+    return relate.unseen(table(spark, sf, "customer").select("c_custkey"), urgent, "c_custkey")
 
 
 @query("keyword_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
@@ -473,7 +473,7 @@ def auto_stopwords(spark, sf):
     return tokens.automatic_stopwords(post_words(spark, sf), stop_words(spark))
 
 
-@query("stopword_final", f"""WITH {AUTO_SQL} SELECT section, keyword, n::BIGINT AS count FROM counts c WHERE keyword NOT IN {STOP_SQL} AND keyword NOT IN (FROM every)
+@query("stopword_final", f"""WITH {AUTO_SQL} SELECT section, keyword, n::BIGINT AS count FROM counts c WHERE keyword NOT IN {STOP_SQL} AND NOT EXISTS (SELECT 1 FROM every e WHERE e.keyword = c.keyword)
   AND NOT EXISTS (SELECT 1 FROM own o WHERE o.section = c.section AND o.keyword = c.keyword)""")
 def stopword_final(spark, sf):
     t, base = post_words(spark, sf), stop_words(spark)
@@ -493,7 +493,7 @@ def sticky_score(spark, sf):
     return tokens.sticky_scores(post_words(spark, sf)).withColumn("sticky_score", r("sticky_score"))
 
 
-@query("tokenize_pos")
+@query("tokenize_pos", rf"""WITH {POSTS_SQL} SELECT rid, len(regexp_extract_all(doc, '[\p{{L}}\p{{N}}_]+'))::INT AS n_tokens, len(list_filter(regexp_extract_all(doc, '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 2))::INT AS n_nouns FROM posts""")
 def tokenize_pos(spark, sf):
     tag = tokens.tagged(tokens.regex_analyser)
     p = posts(spark, sf).select("rid", tag(F.col("doc")).alias("t"))
@@ -511,10 +511,10 @@ def comment_rows(spark, sf):
     return tokens.explode_comments(c)
 
 
-@query("section_nouns", f"WITH {POSTS_SQL}, w AS (SELECT rid, section, regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM posts) SELECT section, md5(coalesce(string_agg(array_to_string(t, ' '), ' ' ORDER BY rid) FILTER (len(t) > 0), '')) AS h FROM w GROUP BY section")
+@query("section_nouns", f"WITH {POSTS_SQL}, w AS (SELECT rid, section, regexp_extract_all(lower(doc), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM posts) SELECT section, (rid // 1000)::BIGINT AS part, md5(coalesce(string_agg(array_to_string(t, ' '), ' ' ORDER BY rid) FILTER (len(t) > 0), '')) AS h FROM w GROUP BY ALL")
 def section_nouns(spark, sf):
-    p = posts(spark, sf).select("rid", "section", text.words(F.col("title")).alias("tokens"))
-    return tokens.section_text(p).select("section", F.md5("section_doc").alias("h"))
+    p = posts(spark, sf).select("rid", "section", text.words(F.col("doc")).alias("tokens"))
+    return tokens.section_text(p).select("section", "part", F.md5("section_doc").alias("h"))
 
 
 # --- weights
@@ -697,11 +697,6 @@ def kmeans_assign(spark, sf):
 
 @query("kmeans_elbow")
 def kmeans_elbow(spark, sf):
-    return ml.elbow(ml.dense(table(spark, sf, "embeddings"), "embedding"), range(2, 5))
-
-
-@query("kmeans_elbow_all")
-def kmeans_elbow_all(spark, sf):
     return ml.elbow(ml.dense(table(spark, sf, "embeddings"), "embedding"))
 
 

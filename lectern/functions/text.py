@@ -31,8 +31,12 @@ def _unescape(values: pd.Series) -> pd.Series:
 
 
 def unescape(c: Column) -> Column:
-    """HTML entities to characters. The one Python function of the cleaners: Spark has no built-in for it."""
-    return _unescape(c)
+    """HTML entities to characters. The one Python function of the cleaners: Spark has no built-in for it.
+
+    Only texts with an ampersand are sent to Python.
+    """
+    some = c.contains("&")
+    return F.when(some, _unescape(F.when(some, c))).otherwise(c)
 
 
 def text_or_empty(c: Column) -> Column:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip, text_or_empty
+from .text import strip, text_or_empty, unescape
 
-# Host, page names that are no posts, and the search form.
+# Host, page names that are no posts, the search form, and where addresses stand in a page.
 HOST = "blog.naver.com"
 SYSTEM_PAGES = ("postview.naver", "postlist.naver", "myblog.naver")
 SEARCH = "https://search.naver.com/search.naver"
 LINK_ATTRIBUTES = ("href", "data-url", "data-href", "titleHref", "contentHref")
+ANYWHERE = r"https?://(?:m\.)?{host}/[A-Za-z0-9_.%-]+/\d+"
+IN_SCRIPT = r"\"(?:titleHref|contentHref|keepTriggerUrl)\"\s*:\s*\"(https?://(?:m\.)?{host}/[^\"]+/\d+)\""
 
 
 def canonical_post_url(c: Column, host: str = HOST) -> Column:
@@ -43,11 +45,10 @@ def build_search_url(keyword: Column, day: Column, sort: Column, base: str = SEA
 
 
 def extract_post_links(page: Column, host: str = HOST) -> Column:
-    """Distinct canonical addresses of posts in a page's mark-up, in order: attributes first, then addresses anywhere."""
-    t = F.replace(F.replace(text_or_empty(page), F.lit("&amp;"), F.lit("&")), F.lit("\\/"), F.lit("/"))
+    """Distinct canonical addresses of posts in a page's mark-up, all entities decoded, in order: attributes first, then addresses anywhere."""
+    t = F.replace(unescape(text_or_empty(page)), F.lit("\\/"), F.lit("/"))
     h = host.replace(".", r"\.")
     attribute = rf"(?i)\b(?:{'|'.join(LINK_ATTRIBUTES)})\s*=\s*[\"']?([^\"'\s>]*{h}[^\"'\s>]*)"
-    anywhere = rf"https?://(?:m\.)?{h}/[A-Za-z0-9_.%-]+/\d+"
-    in_script = rf"\"(?:titleHref|contentHref|keepTriggerUrl)\"\s*:\s*\"(https?://(?:m\.)?{h}/[^\"]+/\d+)\""
+    anywhere, in_script = ANYWHERE.replace("{host}", h), IN_SCRIPT.replace("{host}", h)
     found = F.concat(F.regexp_extract_all(t, F.lit(attribute), F.lit(1)), F.regexp_extract_all(t, F.lit(anywhere), F.lit(0)), F.regexp_extract_all(t, F.lit(in_script), F.lit(1)))
     return F.array_distinct(F.filter(F.transform(found, lambda x: canonical_post_url(x, host)), lambda x: x.isNotNull()))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..session_scratch import materialised
 from .filters import with_url
 
 #: Most rows of one title that are compared in one task; larger titles are cut into pairs of blocks.
-BLOCK = 500
+BLOCK = 64
 
 
 def dedupe_urls(df: DataFrame, order: str = "rid") -> DataFrame:
@@ -36,27 +37,73 @@ def ratio(a: str, b: str, autojunk: bool = True) -> float:
     return SequenceMatcher(None, a, b, autojunk=autojunk).ratio()
 
 
-def _reaches(a: str, b: str, least: float, autojunk: bool) -> float | None:
-    """The ratio if it is at least `least`; cheap upper bounds first."""
-    if a == b:
-        return 1.0
-    if not a or not b or 2 * min(len(a), len(b)) / (len(a) + len(b)) < least:
-        return None
-    m = SequenceMatcher(None, a, b, autojunk=autojunk)
-    if m.quick_ratio() < least:
+class _Text:
+    """What bounds the ratio of a text with others, found once: its characters, and hashes of its n-grams, with their counts."""
+
+    GRAMS = (3, 4, 6)
+
+    def __init__(self, text: str):
+        self.text = text
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.chars = np.unique(c, return_counts=True)
+        # the characters that the matcher's heuristic leaves alone in a second text of 200 or more
+        rare = self.chars[1] <= len(text) // 100 + 1
+        self.rare = self.chars[0][rare], self.chars[1][rare]
+        self.grams = {}
+        h = np.zeros(len(c), np.uint64)
+        for n in range(1, max(self.GRAMS) + 1):
+            if len(c) >= n:
+                h = h[: len(c) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + c[n - 1 :] + np.uint64(1)
+            if n in self.GRAMS:
+                self.grams[n] = np.unique(h if len(c) >= n else h[:0], return_counts=True)
+
+
+def _common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """Size of the intersection of two multisets."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    return int(np.minimum(a[1][i], b[1][j]).sum())
+
+
+def _most(a: _Text, b: _Text, autojunk: bool) -> float:
+    """An upper bound of the ratio of a and b.
+
+    Matching blocks hold no more than the common characters. With the matcher's
+    heuristic, each block but those at the corner between two others holds a
+    rare character of b, so there are 2 r + 1 at most for r common ones; a block
+    of s characters has s - n + 1 common n-grams.
+    """
+    total = len(a.text) + len(b.text)
+    most = _common(a.chars, b.chars)
+    if autojunk and len(b.text) >= 200:
+        blocks = 2 * _common(a.chars, b.rare) + 1
+        for n in _Text.GRAMS:
+            if (n - 1) * blocks < most:
+                most = min(most, (n - 1) * blocks + _common(a.grams[n], b.grams[n]))
+    return 2 * most / total
+
+
+def _reaches(a: _Text, b: _Text, least: float, autojunk: bool) -> float | None:
+    """The ratio if it is at least `least`; cheap upper bounds first. a and b differ."""
+    if not a.text or not b.text or 2 * min(len(a.text), len(b.text)) / (len(a.text) + len(b.text)) < least or _most(a, b, autojunk) < least:
         return None
-    r = m.ratio()
+    r = ratio(a.text, b.text, autojunk)
     return r if r >= least else None
 
 
+def first_copies(df: DataFrame) -> DataFrame:
+    """rid and first, the first row with the same title (null being one) and text (null being empty)."""
+    keyed = df.select("rid", "title", F.sha2(F.coalesce("doc", F.lit("")), 256).alias("h"))
+    first = keyed.groupBy(F.col("title").alias("_t"), F.col("h").alias("_h")).agg(F.min("rid").alias("first"))
+    return keyed.join(first, (F.col("h") == F.col("_h")) & F.col("title").eqNullSafe(F.col("_t"))).select("rid", "first")
+
+
 def similar_pairs(df: DataFrame, least: float = 0.8, kept_second: bool = True, autojunk: bool = True) -> DataFrame:
-    """(first, second, similarity) of rows with the same title (null being one) and a ratio of at least `least`.
+    """(first, second, similarity) of rows with the same title (null being one), different texts and a ratio of at least `least`.
 
     Titles that occur once are left out natively. A title of n rows is cut by
     hash into n / BLOCK blocks, and pairs of blocks are compared in tasks of
-    their own, so a very common title is spread. Copies of the same title and
-    text are compared once. kept_second: the ratio of (later, earlier), else of
-    (earlier, later).
+    their own, so a very common title is spread. Equal texts must be collapsed
+    before. kept_second: the ratio of (later, earlier), else of (earlier, later).
     """
     slim = df.select("rid", F.col("title"), F.coalesce("doc", F.lit("")).alias("doc"))
     sized = slim.join(slim.groupBy("title").agg(F.count("*").alias("_n")).where("_n > 1").withColumnRenamed("title", "_t"), F.col("title").eqNullSafe(F.col("_t")))
@@ -65,57 +112,61 @@ def similar_pairs(df: DataFrame, least: float = 0.8, kept_second: bool = True, a
     cut = cut.select("title", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "rid", "doc")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        out, known, within = [], {}, rows.i.iloc[0] == rows.j.iloc[0]
-        items = sorted(zip(rows.rid, rows.doc, rows.block, strict=True))
+        out, within = [], rows.i.iloc[0] == rows.j.iloc[0]
+        items = sorted(zip(rows.rid, map(_Text, rows.doc), rows.block, strict=True), key=lambda x: x[0])
         for k, (b, right, block) in enumerate(items):
             for a, left, other in items[:k]:
                 if within or block != other:
                     pair = (right, left) if kept_second else (left, right)
-                    if pair not in known:
-                        known[pair] = _reaches(*pair, least, autojunk)
-                    if known[pair] is not None:
-                        out.append((a, b, known[pair]))
+                    if (found := _reaches(*pair, least, autojunk)) is not None:
+                        out.append((a, b, found))
         return pd.DataFrame(out, columns=["first", "second", "similarity"])
 
     return cut.groupBy("title", "i", "j").applyInPandas(compare, "first long, second long, similarity double")
 
 
-def drop_similar(df: DataFrame, least: float = 0.8, autojunk: bool = True, most_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def drop_similar(df: DataFrame, least: float = 0.8, autojunk: bool = True) -> tuple[DataFrame, DataFrame]:
     """Greedy by row: a row goes if it is like an earlier row of its title that stayed; (kept rows, log).
 
-    The log names the first such row. Rows are settled in rounds: a row whose
-    earlier similar rows all went stays; one with a similar row that stays goes.
-    Kept rows carry group_rid, the first row of their title: order by
-    (group_rid, rid) for groups in order of appearance.
+    The log names the first such row. Copies of an earlier row always go, and
+    say nothing that their first doesn't, so only first copies are compared.
+    They are settled in rounds: a row whose earlier similar rows all went stays;
+    one with a similar row that stays goes. Every round settles the first open
+    row of each title at least. Kept rows carry group_rid, the first row of their
+    title: order by (group_rid, rid) for groups in order of appearance.
     """
-    pairs = materialised(similar_pairs(df, least, True, autojunk))
+    copies = materialised(first_copies(df))
+    ones = df.join(copies.where("rid = first").select("rid"), "rid", "left_semi")
+    pairs = materialised(similar_pairs(ones, least, True, autojunk))
     fate = materialised(pairs.groupBy(F.col("second").alias("rid")).agg(F.min("first")).select("rid", F.lit(None).cast("boolean").alias("gone")))
-    for _ in range(most_rounds):
+    while fate.where("gone is null").limit(1).count():
         known = pairs.join(fate.select(F.col("rid").alias("first"), "gone", F.lit(True).alias("_open")), "first", "left")
         # an earlier row without an entry never had a similar one: it stays
         state = F.when(F.col("_open").isNull(), F.lit(False)).otherwise(F.col("gone"))
         told = known.select(F.col("second").alias("rid"), state.alias("s")).groupBy("rid").agg(F.count(F.when(F.col("s") == F.lit(False), 1)).alias("stay"), F.count(F.when(F.col("s").isNull(), 1)).alias("open"))
         verdict = F.when(F.col("stay") > 0, True).when(F.col("open") == 0, False)
         fate = materialised(told.select("rid", verdict.alias("gone")))
-        if not fate.where("gone is null").limit(1).count():
-            break
     gone = fate.where("gone").select("rid")
-    kept = df.join(gone, "rid", "left_anti")
+    kept = ones.join(gone, "rid", "left_anti")
     group = df.groupBy(F.col("title").alias("_t")).agg(F.min("rid").alias("group_rid"))
     kept = kept.join(group, F.col("title").eqNullSafe(F.col("_t"))).drop("_t")
     by = pairs.join(gone.withColumnRenamed("rid", "second"), "second").join(gone.withColumnRenamed("rid", "first"), "first", "left_anti")
-    by = by.groupBy("second").agg(F.min(F.struct("first", "similarity")).alias("m"))
-    rows = df.select(F.col("rid").alias("second"), "title", "date", "section")
-    log = by.join(rows, "second").select(
-        F.col("second").alias("removed_index"), F.col("m.first").alias("kept_index"), "title", F.round("m.similarity", 4).alias("similarity"), "date", "section"
-    )
+    by = by.groupBy(F.col("second").alias("first")).agg(F.min(F.struct("first", "similarity")).alias("m"))
+    # a copy of a kept row went by that one, a copy of one that went by the same as it
+    gone_by = copies.join(by, "first", "left").where("rid <> first or m is not null")
+    gone_by = gone_by.select("rid", F.coalesce("m.first", "first").alias("kept_index"), F.coalesce("m.similarity", F.lit(1.0)).alias("similarity"))
+    rows = df.select("rid", "title", "date", "section")
+    log = gone_by.join(rows, "rid").select(F.col("rid").alias("removed_index"), "kept_index", "title", F.round("similarity", 4).alias("similarity"), "date", "section")
     return kept, log
 
 
 def drop_any_similar(df: DataFrame, least: float = 0.8, autojunk: bool = True) -> DataFrame:
     """Without rows that are like any earlier row of their title, even one that goes itself; rows without a title stay."""
-    pairs = similar_pairs(df.where(F.col("title").isNotNull()), least, False, autojunk)
-    return df.join(pairs.select(F.col("second").alias("rid")).distinct(), "rid", "left_anti")
+    titled = df.where(F.col("title").isNotNull())
+    copies = materialised(first_copies(titled))
+    pairs = similar_pairs(titled.join(copies.where("rid = first").select("rid"), "rid", "left_semi"), least, False, autojunk)
+    gone = copies.where("rid <> first").select("rid").unionByName(pairs.select(F.col("second").alias("rid")))
+    return df.join(gone.distinct(), "rid", "left_anti")
 
 
 def dedupe_rows(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -55,12 +55,9 @@ def kmeans(df: DataFrame, k: int = 3, n_init: int = 20, seed: int = 42, iteratio
 
 
 def elbow(df: DataFrame, ks=range(2, 8), n_init: int = 20, seed: int = 42) -> DataFrame:
-    """(k, sse); the features are computed once."""
-    rows = df.select("features").persist()
-    try:
-        found = [(k, float(kmeans(rows, k, n_init, seed)[1])) for k in ks]
-    finally:
-        rows.unpersist()
+    """(k, sse); the features are computed once, and written where lost executors don't matter."""
+    rows = materialised(df.select("features"))
+    found = [(k, float(kmeans(rows, k, n_init, seed)[1])) for k in ks]
     return df.sparkSession.createDataFrame(found, "k int, sse double")
 
 
@@ -70,6 +67,28 @@ def elbow_by_section(df: DataFrame, sections: list, ks=range(2, 9), n_init: int
     return reduce(DataFrame.unionByName, [elbow(df.where(F.col("section") == s), ks, n_init, seed).select(F.lit(s).alias("section"), "k", "sse") for s in sections])
 
 
+def cluster_terms_by_section(df: DataFrame, sections: list, k: int = 3, n: int = 15, min_df: int = 5, max_df: float = 0.85, n_init: int = 20, seed: int = 42) -> DataFrame:
+    """section, cluster, cluster_size, rank, keyword and weight of the clusters of each section alone (rows: rid, section, tokens).
+
+    Terms and weights are those of the section's own documents; a section of fewer documents than clusters, or without terms, has none.
+    """
+    from functools import reduce
+
+    out = []
+    for s in sections:
+        rows = materialised(df.where(F.col("section") == s))
+        vocab = vocabulary(rows.select("rid", F.explode("tokens").alias("keyword")), "rid", min_df, max_df)
+        if not vocab or rows.limit(k).count() < k:
+            continue
+        weighted = materialised(vectors(rows, vocab).select("rid", "features"))
+        model, _ = kmeans(weighted, k, n_init, seed)
+        sizes = model.transform(weighted).groupBy("cluster").agg(F.count("*").alias("cluster_size"))
+        terms = matrix_terms(df.sparkSession, np.array(model.clusterCenters()), vocab, "cluster", n)
+        out.append(terms.join(F.broadcast(sizes), "cluster").select(F.lit(s).alias("section"), "cluster", "cluster_size", "rank", "keyword", "weight"))  # k rows
+    ddl = "section int, cluster int, cluster_size bigint, rank int, keyword string, weight double"
+    return reduce(DataFrame.unionByName, out) if out else df.sparkSession.createDataFrame([], ddl)
+
+
 def _ranked(df: DataFrame, by: str, n: int) -> DataFrame:
     w = Window.partitionBy(by).orderBy(F.desc("weight"), "keyword")
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session_scratch import materialised
+
 
 def share_table(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """doc_count of each value in each section, the section's total, and the share."""
@@ -29,27 +31,65 @@ def distinct_with_null(df: DataFrame, column: str) -> DataFrame:
     return df.agg((F.countDistinct(column) + F.max(F.when(F.col(column).isNull(), 1).otherwise(0))).alias("n"))
 
 
-def describe(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
-    """count, mean, deviation, least, quartiles and largest of each column, exactly."""
+#: Accuracy of the sketches that say where a quantile lies: a few parts in this of the rows are then ranked exactly.
+ACCURACY = 10_000
 
-    def one(c: str) -> DataFrame:
-        q = lambda p: F.round(F.percentile(c, F.lit(p)), digits)
-        return df.agg(
-            F.lit(c).alias("column"), F.count(c).alias("count"), F.round(F.avg(c), digits).alias("mean"), F.round(F.stddev_samp(c), digits).alias("std"),
-            F.round(F.min(c).cast("double"), digits).alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.round(F.max(c).cast("double"), digits).alias("max"),
-        )
 
-    return reduce(DataFrame.unionByName, [one(c) for c in columns])
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str]) -> DataFrame:
+    """Exact quantiles with linear interpolation of each group, one column for each share; groups without a value have none.
+
+    A sketch of each group bounds every quantile from both sides; what lies
+    below is counted, and only the different values between the bounds are
+    ranked. So no task holds a group's values, however large it is.
+    """
+    names, points = list(shares), list(shares.values())
+    rows = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(f"g{i}") for i, c in enumerate(by)], F.col(value).cast("double").alias("v"))
+    groups = [f"g{i}" for i in range(len(by))]
+    edge = 4 / ACCURACY
+    asked = [min(1.0, max(0.0, p + d)) for p in points for d in (-edge, edge)]
+    sketch = rows.groupBy(*groups).agg(F.percentile_approx("v", asked, ACCURACY).alias("e"), F.min("v").alias("least"), F.max("v").alias("most"), F.count("*").alias("n"))
+    # bounds at the ends of the range are the least and the largest value, and so are those of groups of few rows
+    few = F.col("n") <= ACCURACY
+    ends = [
+        F.struct(
+            F.lit(i).alias("k"), (F.lit(float(p)) * (F.col("n") - 1)).alias("at"),
+            F.when(few | F.lit(p <= edge), F.col("least")).otherwise(F.col("e")[2 * i]).alias("lo"),
+            F.when(few | F.lit(p >= 1 - edge), F.col("most")).otherwise(F.col("e")[2 * i + 1]).alias("hi"),
+        )
+        for i, p in enumerate(points)
+    ]
+    bounds = materialised(sketch.select(*[F.col(g).alias(f"b{g}") for g in groups], F.explode(F.array(*ends)).alias("b")).select(*[f"b{g}" for g in groups], "b.*"))
+    same = [F.col(g).eqNullSafe(F.col(f"b{g}")) for g in groups] or [F.lit(True)]
+    # a row for each group and share: few next to the rows
+    met = rows.join(bounds, reduce(lambda x, y: x & y, same)).where("v <= hi")
+    key = [f"b{g}" for g in groups] + ["k", "at"]
+    counts = met.groupBy(*key, F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    up_to = F.sum("c").over(Window.partitionBy(*key).orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.withColumn("end", up_to).where("v is not null")
+    here = lambda at: F.min(F.when(F.col("end") > at, F.col("v")))
+    low = placed.groupBy(*key).agg(here(F.floor("at")).alias("x"), here(F.ceil("at")).alias("y"))
+    exact = low.withColumn("q", F.col("x") + (F.col("y") - F.col("x")) * (F.col("at") - F.floor("at")))
+    one = [F.max(F.when(F.col("k") == i, F.col("q"))).alias(name) for i, name in enumerate(names)]
+    return exact.groupBy(*[F.col(f"b{g}").alias(c) for g, c in zip(groups, by, strict=True)]).agg(*one)
+
+
+def describe(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
+    """count, mean, deviation, least, quartiles and largest of each column, exactly."""
+    pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
+    long = df.selectExpr(f"stack({len(columns)}, {pairs}) as (column, v)")
+    whole = long.groupBy("column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    out = whole.join(quantiles(long, "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["column"]), "column", "left")
+    return out.select("column", "count", *[F.round(c, digits).alias(c) for c in ("mean", "std", "min", "q1", "median", "q3", "max")])
 
 
 def plot_cap(df: DataFrame, column: str, share: float = 0.99, least: float = 1.0) -> DataFrame:
-    return df.agg(F.greatest(F.percentile(column, F.lit(share)), F.lit(least)).alias("cap"))
+    """A quantile of all rows, or `least` if that is more; `least` where there are none."""
+    return quantiles(df, column, {"q": share}, []).agg(F.greatest(F.max("q"), F.lit(least)).alias("cap"))
 
 
 def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles, whiskers (the furthest values within 1.5 boxes) and number of outliers of each group."""
-    q = df.groupBy(by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(by, *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    q = materialised(quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [by]))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     rows = df.select(by, value).join(q, by).withColumn("_in", F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
     return rows.groupBy(by, "q1", "median", "q3").agg(

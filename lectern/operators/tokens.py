@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..functions.values import period_label
+from ..session_scratch import materialised
 
 TOKEN = "array<struct<form:string,tag:string>>"
 NOUNS, VERBS, ADJECTIVES = ["NNG", "NNP"], ["VV"], ["VA"]
@@ -118,10 +119,11 @@ def noun_table(df: DataFrame) -> DataFrame:
     )
 
 
-def section_text(df: DataFrame, tokens_: str = "tokens") -> DataFrame:
-    """All tokens of a section as one text, for export of small corpora only: a section is one row."""
+def section_text(df: DataFrame, tokens_: str = "tokens", posts: int = 1000) -> DataFrame:
+    """All tokens of a section as text, a row for each run of `posts` row numbers: put together by part, they are the section's text."""
+    part = F.floor(F.col("rid") / F.lit(posts)).alias("part")
     rows = F.array_sort(F.collect_list(F.struct("rid", tokens_)))
-    return df.groupBy("section").agg(F.array_join(F.flatten(F.transform(rows, lambda x: x[tokens_])), " ").alias("section_doc"))
+    return df.groupBy("section", part).agg(F.array_join(F.flatten(F.transform(rows, lambda x: x[tokens_])), " ").alias("section_doc"))
 
 
 # --- stop-words
@@ -167,12 +169,12 @@ def finally_without(tokens: DataFrame, base: DataFrame, automatic: DataFrame) ->
 
 def sticky_scores(tokens: DataFrame) -> DataFrame:
     """doc_freq / (1 + 1000 * largest mean tf-idf of any section): high for words that are everywhere and tell nothing."""
-    from .tfidf import mean_by, tfidf
+    from .tfidf import mean_by, term_counts, tfidf
 
-    weights = tfidf(tokens, ["rid"])
-    n = tokens.select("rid", "section").distinct()
-    means = mean_by(weights.join(n, "rid"), n, "section").groupBy("keyword").agg(F.max("mean_tfidf").alias("top"))
-    df = tokens.select("rid", "keyword").distinct().groupBy("keyword").agg(F.count("*").alias("doc_freq"))
+    counts = materialised(term_counts(tokens, ["rid", "section"]))  # the texts are read and cut into words once
+    n = counts.select("rid", "section").distinct()
+    means = mean_by(tfidf(tokens, ["rid", "section"], counts), n, "section").groupBy("keyword").agg(F.max("mean_tfidf").alias("top"))
+    df = counts.groupBy("keyword").agg(F.count("*").alias("doc_freq"))
     return df.join(means, "keyword").select("keyword", "doc_freq", (F.col("doc_freq") / (1 + 1000 * F.col("top"))).alias("sticky_score"))
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _set_folder(sc) -> None:
-    """A checkpoint folder of our own, only where none is configured (single-machine tests)."""
+    """A checkpoint folder of our own, only where none is configured and all runs on one machine (tests)."""
     if not (sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))

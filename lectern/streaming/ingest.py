@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from ..operators.filters import accepted, to_reparse, with_url
 from ..operators.pages import Profile, parse_pages
 from ..operators.relate import unseen, update_columns
 from ..schemas import REPARSED
+from ..session_scratch import materialised
 from ..sources.tabular import exists, front_columns
 from ..sources.words import calendar
 
@@ -52,24 +55,62 @@ def posts_of(pages: DataFrame, o: Options) -> DataFrame:
 
 
 def collect(spark: SparkSession, arriving: str, posts: str, checkpoint: str, o: Options = Options(), schema: str = "url string, html string"):
-    """Reads all pages that have arrived (Parquet) since the last run and appends the posts that are new.
+    """Reads all pages that have arrived (Parquet) since the last run and appends the posts that are new, until there are `o.target`.
 
-    Addresses seen within the stream are kept as state; each micro-batch leaves
-    out what the table has already and is written under its number, so a batch
-    that is run again after a failure replaces its own files.
+    Each micro-batch takes one page of each address (the first by its mark-up)
+    and leaves out the addresses that the table has already, of which it reads
+    that column only; no state grows with the stream. It is written under its
+    number, so a batch that is run again after a failure replaces its own files.
+    Of a batch that would pass the target, the first addresses in order are taken.
     """
     stream = spark.readStream.schema(schema).parquet(arriving)
-    keyed = with_url(stream.withColumn("canonical_url", canonical_post_url(F.col("url")))).dropDuplicates(["canonical_url"])
+    keyed = with_url(stream.withColumn("canonical_url", canonical_post_url(F.col("url"))))
 
     def batch(rows: DataFrame, number: int) -> None:
-        done = spark.read.parquet(posts).where(F.col("batch") != number) if exists(spark, posts) else None
-        new = posts_of(rows.drop("canonical_url"), o)
-        new = unseen(new, done) if done is not None else new
+        done = spark.read.parquet(posts).where(F.col("batch") != number).select("canonical_url") if exists(spark, posts) else None
+        left = o.target - (done.count() if done is not None else 0)
+        if left <= 0:
+            return
+        fresh = unseen(rows, done) if done is not None else rows
+        one = fresh.groupBy("canonical_url").agg(F.min(F.struct("html", "url")).alias("p")).select("p.url", "p.html")
+        new = materialised(posts_of(one, o))
+        if new.count() > left:
+            new = new.orderBy("canonical_url").limit(left)
         new.write.mode("overwrite").parquet(f"{posts}/batch={number}")
 
     return keyed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def save_links(links: DataFrame, path: str, day: str, most: int | None = None) -> int:
+    """Adds one day's links that the table lacks, one row for each address, and returns how many links there are now.
+
+    A day's links lie in a folder of their own, so a day that is run again
+    replaces its own; of a day that would pass `most`, the first addresses in order are taken.
+    """
+    spark = links.sparkSession
+    done = spark.read.parquet(path).where(F.col("day") != day).select("canonical_url") if exists(spark, path) else None
+    before = done.count() if done is not None else 0
+    rest = [c for c in links.columns if c != "canonical_url"]
+    one = with_url(links).groupBy("canonical_url").agg(F.min(F.struct(*rest)).alias("r")).select("canonical_url", "r.*") if rest else with_url(links).distinct()
+    new = materialised(unseen(one, done) if done is not None else one)
+    n = new.count()
+    if most is not None and before + n > most:
+        n = max(0, most - before)
+        new = new.orderBy("canonical_url").limit(n)
+    new.write.mode("overwrite").parquet(f"{path}/day={day}")
+    return before + n
+
+
+def collect_links(days: Iterable[tuple[str, DataFrame]], path: str, o: Options = Options()) -> int:
+    """Saves the links of one day after another, until there are as many as the target asks for; returns their number."""
+    wanted, n = math.ceil(o.target * o.link_multiplier), 0
+    for day, links in days:
+        n = save_links(links, path, day, wanted)
+        if n >= wanted:
+            break
+    return n
+
+
 def refresh(old: DataFrame, pages: DataFrame, o: Options = Options(), most: int | None = None) -> DataFrame:
     """Posts with the comment columns of rows that lack them taken from a new parse of their pages."""
     wanted = to_reparse(old, o.complete_only, o.most_comments, most, "canonical_url")

@@ -1,12 +1,16 @@
 """Operators against brute force on small frames."""
 
+import contextlib
+import io
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import urls
 from lectern.operators import dedupe, filters, ml, normalize, pages, relate, stats, tfidf, tokens
-from lectern.plans import analysis, preprocess
+from lectern.plans import analysis, charts, preprocess, progress
 from lectern.sources import tabular, words
 from lectern.streaming import ingest
 
@@ -47,6 +51,51 @@ def test_near_duplicates_match_the_sequential_rules(spark, monkeypatch, seed, bl
     assert sorted(r.rid for r in dedupe.drop_any_similar(df, 0.75).collect()) == [r[0] for r in rows if r[0] not in gone]
 
 
+def test_bounds_never_fall_below_the_ratio():
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.choice([5, 60, 199, 200, 250, 900])
+        letters = "abcdefgh      " + "".join(map(chr, range(0x4E00, 0x4E00 + rng.choice([1, 40]))))
+        a = "".join(rng.choice(letters) for _ in range(n))
+        b = list(a)
+        for _ in range(rng.choice([0, 3, 40, 300])):
+            k = rng.randrange(len(b))
+            b[k : k + rng.randint(0, 2)] = rng.choice(letters) * rng.randint(0, 3)
+            b = b or ["x"]
+        b = "".join(b)
+        for autojunk in (True, False):
+            assert dedupe._most(dedupe._Text(a), dedupe._Text(b), autojunk) >= dedupe.ratio(a, b, autojunk) - 1e-12
+
+
+def test_copies_of_a_title_make_no_pairs(spark, monkeypatch):
+    made = []
+    real = dedupe.similar_pairs
+    monkeypatch.setattr(dedupe, "similar_pairs", lambda *a: made.append(real(*a)) or made[-1])
+    text = "one two three four " * 20
+    rows = [(i, "t" if i % 2 else None, text if i % 5 else text + "five", "", 1) for i in range(2000)]
+    df = spark.createDataFrame(rows, "rid long, title string, doc string, date string, section int")
+    kept, log = dedupe.drop_similar(df, 0.8)
+    assert sorted(r.rid for r in kept.collect()) == [0, 1] and made[0].count() == 2
+    assert {(r.removed_index % 2, r.kept_index) for r in log.collect()} == {(0, 0), (1, 1)} and log.count() == 1998
+    assert dedupe.drop_any_similar(df, 0.8).count() == 1000 + 1
+
+
+def test_quantiles_match_exact_ones(spark):
+    rng = random.Random(9)
+    values = [("a", rng.choice([rng.random(), 0.5, float(rng.randint(0, 3))])) for _ in range(30_000)] + [("b", 1.0), ("b", 3.0), ("c", None), (None, 2.0)]
+    df = spark.createDataFrame(values, "g string, v double").repartition(5)
+    shares = {"low": 0.0, "x": 0.013, "q1": 0.25, "m": 0.5, "top": 0.999, "most": 1.0}
+    got = {r.g: r for r in stats.quantiles(df, "v", shares, ["g"]).collect()}
+    assert set(got) == {"a", "b", None}
+    for g in got:
+        exact = np.quantile([v for h, v in values if h == g and v is not None], list(shares.values()))
+        assert [got[g][k] for k in shares] == pytest.approx(exact.tolist())
+    assert stats.plot_cap(df.limit(0), "v").first().cap == 1.0
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        stats.box_stats(df, "v", "g").explain()
+    assert "percentile(" not in plan.getvalue()
+
+
 def test_ratio_cases():
     assert (dedupe.ratio("", ""), dedupe.ratio("", "a"), dedupe.ratio("abc", "abc")) == (1.0, 0.0, 1.0)
     long = "x".join(str(i) for i in range(150))
@@ -110,6 +159,22 @@ def test_posts_out_of_pages(spark):
     assert pages.parse_pages(spark.createDataFrame([("u", POST), ("v", None)], "url string, html string")).count() == 2
 
 
+def test_encoding_is_told_from_whole_files(spark, tmp_path):
+    rows = "".join(f"{i},plain\n" for i in range(200_000))  # two megabytes before the first letter that tells
+    (tmp_path / "late.csv").write_bytes(("n,title\n" + rows + "7,제목\n").encode("cp949"))
+    late = tabular.read_csv(spark, f"file://{tmp_path}/late.csv")
+    assert late.count() == 200_001 and late.where("title = '제목'").count() == 1
+    folder = tmp_path / "folder"
+    folder.mkdir()
+    for i, encoding in enumerate(("utf-8-sig", "cp949", "ascii")):
+        (folder / f"{i}.csv").write_bytes(("n,title\n" + f"{i},{'plain' if encoding == 'ascii' else '제목'}\n").encode(encoding))
+    got = {r.n: r.title for r in tabular.read_csv(spark, f"file://{folder}").collect()}
+    assert got == {"0": "제목", "1": "제목", "2": "plain"}
+    (tmp_path / "none.csv").write_bytes(b"a,b\n\xff\xff\xff,1\n")
+    with pytest.raises(ValueError):
+        tabular.read_csv(spark, f"file://{tmp_path}/none.csv")
+
+
 def test_csv_round_trip_in_all_encodings(spark, tmp_path):
     body = 'title,content\n"제목 ""하나""","줄\n둘 \\\\ 끝"\n'
     for name, encoding in (("a", "utf-8-sig"), ("b", "utf-8"), ("c", "cp949"), ("d", "euc-kr")):
@@ -202,3 +267,67 @@ def test_schema_evolution_and_filters(spark):
     assert relate.union_sets(k, k).count() == 4
     top = spark.createDataFrame([(1, 0.5), (2, 0.5)], "rid long, ratio double")
     assert stats.max_per(top, "ratio", "rid", "m").first().m == 2
+
+
+def test_collecting_stops_at_the_target(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    page = lambda i: (f"https://blog.naver.com/b/{i % 30}", f'<meta property="og:title" content="t{i}"><div class="se-main-container">text {i}</div>')
+    for part in range(3):
+        spark.createDataFrame([page(10 * part + i) for i in range(20)], "url string, html string").write.mode("append").parquet(f"{base}/in")
+        ingest.collect(spark, f"{base}/in", f"{base}/posts", f"{base}/state", ingest.Options(target=25)).awaitTermination()
+        got = [r.canonical_url for r in spark.read.parquet(f"{base}/posts").collect()]
+        assert len(got) == len(set(got)) == min(25, 20 + 10 * part)
+
+
+def test_links_are_saved_after_each_day_up_to_the_target(spark, tmp_path):
+    path = f"file://{tmp_path}/links"
+    day = lambda d: (f"2024010{d}", spark.createDataFrame([(f"https://blog.naver.com/b/{d * 4 + i}", f"k{i}") for i in (0, 1, 2, 3, 4, 4)], "canonical_url string, keyword string"))
+    assert ingest.save_links(day(1)[1], path, "20240101") == 5
+    assert ingest.save_links(day(1)[1], path, "20240101") == 5  # a day that is run again
+    seen = []
+    days = ((seen.append(d), day(d))[1] for d in range(1, 9))
+    assert ingest.collect_links(days, path, ingest.Options(target=6, link_multiplier=2.0)) == 12 and seen == [1, 2, 3]
+    links = spark.read.parquet(path)
+    assert links.count() == links.select("canonical_url").distinct().count() == 12
+
+
+def test_links_with_entities_are_found(spark):
+    html = '<a href="https:&#x2F;&#x2F;blog.naver.com&#47;abc&#x2F;77">x</a> "https:\\/\\/blog.naver.com\\/d\\/8"'
+    got = spark.createDataFrame([(html,)], "h string").select(urls.extract_post_links(F.col("h")).alias("l")).first().l
+    assert got == ["https://blog.naver.com/abc/77", "https://blog.naver.com/d/8"]
+
+
+def test_tokens_of_a_recorded_analysis(spark):
+    """Forms and tags as an analyser gives them: nouns of two letters or more, verbs and adjectives are told apart."""
+    recorded = {
+        "의사가 병원에 갔다": [("의사", "NNG"), ("가", "JKS"), ("병원", "NNG"), ("에", "JKB"), ("가", "VV"), ("었", "EP"), ("다", "EF")],
+        "서울은 크고 물이 맑다": [("서울", "NNP"), ("은", "JX"), ("크", "VA"), ("고", "EC"), ("물", "NNG"), ("이", "JKS"), ("맑", "VA"), ("다", "EF")],
+    }
+    one, two = recorded
+    df = spark.createDataFrame([(1, 2, 0, 2, one, two, [(one,), (None,)]), (2, 2, 0, 0, None, " ", [])], "rid long, section int, like int, comment_cnt int, title string, doc string, comment_list array<struct<comment_content:string>>")
+    made = tokens.tokenised(df, lambda: lambda t: recorded[t])
+    rows = {r.rid: r for r in made.collect()}
+    assert (rows[1].title_token_noun, rows[1].title_token_verb, rows[1].title_token_adj) == (["의사", "병원"], ["가"], [])
+    assert (rows[1].doc_token_noun, rows[1].doc_token_verb, rows[1].doc_token_adj) == (["서울"], [], ["크", "맑"])
+    assert rows[1].comment_token_noun == [["의사", "병원"], []] and rows[2].doc_token_list == rows[2].title_token_noun == []
+    assert [(r.comment_idx, r.comment_token_verb) for r in tokens.comment_rows(made).collect()] == [(0, ["가"]), (1, [])]
+    assert [tuple(r) for r in tokens.noun_table(made).where("rid = 1").collect()] == [(1, 2, 0, 2, ["의사", "병원"], ["서울"], ["의사", "병원"])]
+
+
+def test_exports_of_any_length_begin_with_a_mark(spark, tmp_path):
+    df = spark.range(25_000).selectExpr("id", "concat('값, ', id) v", "array(id) a")
+    tabular.export_csv_utf8(df, str(tmp_path / "one.csv"), rows_at_once=7000)
+    lines = (tmp_path / "one.csv").read_text(encoding="utf-8-sig").splitlines()
+    assert lines[0] == "id,v,a" and len(lines) == 25_001 and lines[-1] == '24999,"값, 24999",[24999]'
+    tabular.write_csv(df, f"file://{tmp_path}/many")
+    assert all(p.read_bytes().startswith(b"\xef\xbb\xbfid,") for p in (tmp_path / "many").glob("part-*"))
+    assert tabular.read_csv(spark, f"file://{tmp_path}/many").columns == ["id", "v", "a"]
+
+
+def test_chart_tables_and_progress(spark):
+    box = spark.createDataFrame([("a", 1.0, 2.0, 3.0, 4.0, 5.0, 6)], "g string, q1 double, median double, q3 double, whisker_low double, whisker_high double, outliers long")
+    assert {(r.chart, r.series, r.x, r.y) for r in charts.boxes("box", box, "g").collect()} >= {("box", "q1", "a", 1.0), ("box", "outliers", "a", 6.0)}
+    sets = spark.createDataFrame([(1, 2, 3)], "only_a long, only_b long, both long")
+    assert {(r.x, r.y) for r in charts.venn("venn", sets).collect()} == {("only_a", 1.0), ("only_b", 2.0), ("both", 3.0)}
+    seen = progress.Counted(spark.range(1234), "rows")
+    assert seen.df.selectExpr("sum(id)").first()[0] == 1233 * 617 and seen.rows == 1234
