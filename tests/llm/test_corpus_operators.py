@@ -493,3 +493,48 @@ def test_shared_folders_are_needed_off_one_machine(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         common.shared_folder(Session())
+
+
+WORDS = {"en": "the cat sat on a mat and saw this dog with that bird", "de": "der hund und die katze sind nicht im haus mit dem vogel"}
+
+
+def small_corpus(spark, folder):
+    """Documents with nulls, empty and long texts, copies, leaks, personal data and repeated rows."""
+    rng = random.Random(8)
+    item = " ".join(f"w{i}x" for i in range(30))
+    said = lambda lang, n: " ".join(rng.choice(WORDS[lang].split()) + rng.choice(["", "s", "er"]) for _ in range(n))
+    rows = [(i, said(lang, rng.randint(20, 60)), lang, f"src{i % 3}", 0) for i in range(80) for lang in ("en" if i % 2 else "de",)]
+    rows += [(100, None, "en", "src0", 0), (101, "", "en", None, 0), (102, "12 34", None, "src1", 0), (103, rows[5][1] + " end", "en", "src2", 0), (104, rows[5][1], "en", "src2", 0)]
+    rows += [(105, said("en", 20) + f" {item} " + said("en", 20), "en", "src0", 0), (106, said("en", 30) + " mail jo.doe@ab.example.com or +1 555 555 0100 now", "en", "src0", 0)]
+    rows += [(107, said("de", 20_000), "de", "src1", 0), (3, rows[3][1], "en", "src0", 0), (None, said("en", 40), "en", "src1", 0)]
+    d = spark.createDataFrame([(*r, "keep me") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, `_key` string")
+    d.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_the_whole_pipeline_on_a_small_corpus(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    small_corpus(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = corpus_pipeline.run(spark, folder).collect()
+    ids = [r.doc_id for r in rows]
+    gone = {100, 101, 102, 103, 104, 105}
+    assert sorted(i for i in ids if i is not None) == sorted({r.doc_id for r in docs.collect() if r.doc_id is not None} - gone) and ids.count(None) == 1
+    assert rows[0].asDict().keys() == {*docs.columns, "mix_block", "mix_row"} and {r["_key"] for r in rows} == {"keep me"}
+    text = next(r.text for r in rows if r.doc_id == 106)
+    assert "<EMAIL>" in text and "<PHONE>" in text and "@" not in text
+    assert all(r.n_chars == len(r.text) for r in rows) and len({(r.mix_block, r.mix_row) for r in rows}) == len(rows)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_empty_tables_and_odd_rows(spark, tmp_path, name):
+    folder = f"file://{tmp_path}"
+    small_corpus(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)[name]
+    empty = stage(spark, docs.limit(0), folder)
+    assert empty.count() == 0 and set(docs.columns) <= set(empty.columns)
+    out = stage(spark, docs, folder).collect()
+    assert {r["_key"] for r in out} == {"keep me"}
+    lost = Counter(r.doc_id for r in docs.collect()) - Counter(r.doc_id for r in out)
+    assert lost == {"language": {100: 1, 101: 1, 102: 1}, "near_duplicates": {103: 1, 104: 1, 3: 1}, "benchmark_leaks": {105: 1}}.get(name, {})
