@@ -3,8 +3,10 @@
 Every language gets a codeword; one binary logistic classifier per bit, on hashed
 character 1- to 3-grams of the whole text, predicts that bit. Decoding adds the
 logistic loss of each bit, weighted by how well that bit's classifier does on
-the language (loss-weighted decoding); the nearest codeword wins. A text whose
-two nearest codewords are almost equally near is flagged ambiguous.
+the language (loss-weighted decoding); the nearest codeword wins. Scores come
+from the losses by a factor that tells the sample's texts best from mixtures of
+two of them, half and half; a text is flagged ambiguous where the second
+language's score is near the first one's.
 
 The fit takes `per_language` texts of each language at most, and `fit_rows` in
 all, chosen by hash of their id, without those of more than `fit_chars`
@@ -61,8 +63,10 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
 class Codes:
     """Fitted bit classifiers and the code."""
 
-    def __init__(self, languages: list[str], code: np.ndarray, weights: np.ndarray, bias: np.ndarray, trust: np.ndarray):
-        self.languages, self.code, self.weights, self.bias, self.trust = languages, code, weights, bias, trust
+    FACTORS = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0)
+
+    def __init__(self, languages: list[str], code: np.ndarray, weights: np.ndarray, bias: np.ndarray, trust: np.ndarray, factor: float = 1.0):
+        self.languages, self.code, self.weights, self.bias, self.trust, self.factor = languages, code, weights, bias, trust, factor
 
     @classmethod
     def fit(cls, x: np.ndarray, langs: list[str], steps: int = 300, rate: float = 8.0) -> Codes | None:
@@ -83,13 +87,37 @@ class Codes:
             w, b = w + vw, b + vb
         right = (target * (x @ w + b)) > 0
         trust = np.array([(right[y == k].sum(0) + 1) / ((y == k).sum() + 2) for k in range(len(languages))])
-        return cls(languages, code, w.astype(np.float32), b, trust / trust.sum(1, keepdims=True))
+        codes = cls(languages, code, w.astype(np.float32), b, trust / trust.sum(1, keepdims=True))
+        codes.factor = codes._best_factor(x, y)
+        return codes
+
+    def _best_factor(self, x: np.ndarray, y: np.ndarray, mixtures: int = 500, seed: int = 3) -> float:
+        """The factor with the least log loss on texts and on mixtures of two texts of different languages."""
+        i, j = np.random.default_rng(seed).integers(0, len(y), (2, mixtures))
+        i, j = i[y[i] != y[j]], j[y[i] != y[j]]
+        # features are roots of shares, so the squares mix
+        losses = np.concatenate([self.losses(x), self.losses(np.sqrt((x[i] ** 2 + x[j] ** 2) / 2))])
+        first, second = np.concatenate([y, y[i]]), np.concatenate([y, y[j]])
+        weight = np.repeat([1 / len(y), 1 / max(1, len(i))], [len(y), len(i)])
+        row = np.arange(len(losses))
+
+        def log_loss(factor: float) -> float:
+            z = -factor * losses
+            z -= z.max(1, keepdims=True)
+            log_p = z - np.log(np.exp(z).sum(1, keepdims=True))
+            return -(weight * (log_p[row, first] + log_p[row, second]) / 2).sum()
+
+        return min(self.FACTORS, key=log_loss)
+
+    def losses(self, x: np.ndarray) -> np.ndarray:
+        """Loss of every codeword."""
+        margin = np.clip(x.astype(np.float32) @ self.weights + self.bias, -8, 8)
+        return (np.log1p(np.exp(-self.code[None] * margin[:, None])) * self.trust[None]).sum(2)
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place of the nearest codeword, its score of 0 to 1, and its lead over the next in score."""
-        margin = np.clip(x.astype(np.float32) @ self.weights + self.bias, -8, 8)
-        loss = (np.log1p(np.exp(-self.code[None] * margin[:, None])) * self.trust[None]).sum(2)
-        p = np.exp(-4 * (loss - loss.min(1, keepdims=True)))
+        loss = self.losses(x)
+        p = np.exp(-self.factor * (loss - loss.min(1, keepdims=True)))
         p /= p.sum(1, keepdims=True)
         best = loss.argmin(1)
         ranked = np.sort(p, 1)
@@ -136,8 +164,8 @@ def _decide(said: list[str | None], codes: Codes | None) -> tuple[list[str], np.
     return lang, score, lead
 
 
-def identify(docs: DataFrame, codes: Codes | None, id_col: str = "doc_id", text_col: str = "text", ambiguous_below: float = 0.05) -> DataFrame:
-    """Language of every whole text, its score, and whether the second language is within ambiguous_below."""
+def identify(docs: DataFrame, codes: Codes | None, id_col: str = "doc_id", text_col: str = "text", ambiguous_below: float = 0.5) -> DataFrame:
+    """Language of every whole text, its score, and whether the second language's is within ambiguous_below of it."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +177,11 @@ def identify(docs: DataFrame, codes: Codes | None, id_col: str = "doc_id", text_
     return map_batches(docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text"), batches, SCHEMA)
 
 
-def keep_identified(docs: DataFrame, codes: Codes | None, text_col: str = "text", ambiguous_below: float = 0.05) -> DataFrame:
-    """The rows, with all their columns, whose language can be told: neither `und` nor ambiguous."""
+def keep_identified(docs: DataFrame, codes: Codes | None, text_col: str = "text", ambiguous_below: float = 0.01) -> DataFrame:
+    """The rows, with all their columns, whose language can be told: not `und`, and no second one within ambiguous_below.
+
+    That is narrower than the flag of `identify`: what goes is lost, so only texts on the very border go.
+    """
     place = docs.columns.index(text_col)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

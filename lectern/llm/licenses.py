@@ -2,7 +2,9 @@
 
 Every text becomes a line of lower-cased words, over which one automaton finds
 all notice phrases in a single pass. A second automaton finds identifier tags in
-the raw text; what follows a tag is parsed as an and/or/with expression.
+the raw text; what follows a tag is parsed as an and/or/with expression. So is
+what follows words such as "licensed under": names of licences there, as prose
+writes them, become identifiers first.
 
 Defined results: a null or empty text has no words, no labels and score 0; a row
 that occurs twice is scanned twice; extra columns are ignored; an empty table
@@ -58,6 +60,24 @@ IDENTIFIERS = {
     "agpl-3": ("agpl-3", False),
     "mpl-2": ("mpl-2", False),
 }
+#: Words that a licence's name, or an expression of several, follows in prose; names as words, longest first; words passed over.
+PROSE = ("licensed under", "released under", "distributed under", "available under")
+NAMES = {
+    ("gnu", "lesser", "general", "public"): "lgpl",
+    ("gnu", "affero", "general", "public"): "agpl-3",
+    ("gnu", "general", "public"): "gpl",
+    ("mozilla", "public"): "mpl-2",
+    ("cc", "by", "nc"): "cc-by-nc",
+    ("cc", "by", "sa"): "cc-by-sa",
+    ("cc", "by"): "cc-by",
+    ("apache",): "apache-2",
+    ("mit",): "mit",
+    ("bsd",): "bsd",
+    ("isc",): "isc",
+    ("cc0",): "cc0",
+    ("unlicense",): "unlicense",
+}
+FILLERS = {"the", "a", "an", "either", "both", "terms", "of", "license", "licence", "licenses", "version", "v", "clause", *"0123456789"}
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, "
     "labels string, score double, expression string, permissive boolean"
@@ -136,6 +156,36 @@ def parse_expression(text: str, at: int = 0) -> tuple[str, dict] | None:
     return text[start:pending_end].strip(), values[-1]
 
 
+def prose_expression(line: str, at: int) -> str | None:
+    """What stands from a place of a line of words on, as an expression of identifiers, up to the first word that is none of a licence's."""
+    out: list[str] = []
+    ahead: list[str] = []  # words read but not taken
+
+    def word(i: int) -> str:
+        nonlocal at
+        while len(ahead) <= i:
+            end = line.find(" ", at)
+            ahead.append(line[at:end] if end > at else "")
+            at = end + 1 if end > at else len(line)
+        return ahead[i]
+
+    while word(0):
+        name = next((n for n in NAMES if all(word(i) == x for i, x in enumerate(n))), None)
+        if name:
+            del ahead[: len(name)]
+            told = NAMES[name]
+            if told == "gpl":  # its version follows, or it is the later one
+                told = "gpl-2" if "2" in (follows := [word(i) for i in range(3)]) and "3" not in follows else "gpl-3"
+            out.append(told)
+        elif word(0) in _RANK and out:
+            out.append(ahead.pop(0))
+        elif word(0) in FILLERS:
+            ahead.pop(0)
+        else:
+            break
+    return " ".join(out) or None
+
+
 def _automaton(phrases) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for x in phrases:
@@ -148,7 +198,7 @@ class Scanner:
     """Scans one text at a time; made once for each task."""
 
     def __init__(self):
-        self.phrases = _automaton(f" {x} " for x in [*BASE_PHRASES, *MORE_PHRASES])
+        self.phrases = _automaton(f" {x} " for x in [*BASE_PHRASES, *MORE_PHRASES, *PROSE])
         self.tags = _automaton(TAGS)
 
     def scan(self, raw: bytes) -> tuple:
@@ -156,9 +206,17 @@ class Scanner:
         line = f" {b' '.join(words).decode('utf-8', 'replace')} "
         base, labels, starts, score = set(), set(), [], 0.0
         at: list[int] = []
+        expressions, verdicts = [], []
         for end, phrase in self.phrases.iter(line):
             key = phrase[1:-1]
-            if key in BASE_PHRASES:
+            if key in PROSE:
+                after = prose_expression(line, end + 1)
+                if after and (found := parse_expression(after)):
+                    expressions.append(found[0])
+                    verdicts.append(found[1]["permissive"])
+                    labels |= found[1]["labels"]
+                    score = 1.0
+            elif key in BASE_PHRASES:
                 base.add(BASE_PHRASES[key])
                 # where each word starts in the line, found once: places are then looked up
                 at = at or list(accumulate((len(w) + 1 for w in line.split(" ")[1:]), initial=1))
@@ -167,7 +225,6 @@ class Scanner:
             else:
                 labels.add(MORE_PHRASES[key])
                 score = max(score, 0.8)
-        expressions, verdicts = [], []
         lowered = raw.lower()
         if b"license-" in lowered:
             text = lowered.decode("utf-8", "replace")

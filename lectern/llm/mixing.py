@@ -41,31 +41,10 @@ from .common import Scratch, named, spare
 
 #: Hash ranges whose rows are summed up together.
 RANGES = 1000
-#: Slots of a schedule that repeats (`parts_of`, `pfair`); `mix` has none.
-PERIOD = 1000
 #: Blocks of the schedule that the driver holds at once.
 PIECE = 100_000
 
 
-def parts_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole parts of a period, each at least one, by largest remainder."""
-    total = sum(weights.values())
-    if not weights or total <= 0:
-        raise ValueError("weights must have a positive sum")
-    if len(weights) > period:
-        raise ValueError(f"{len(weights)} sources don't fit into {period} slots")
-    exact = {k: v / total * period for k, v in weights.items()}
-    parts = {k: max(1, math.floor(x)) for k, x in exact.items()}
-    order = sorted(exact, key=lambda k: (parts[k] - exact[k], k))
-    for k in order:
-        if sum(parts.values()) < period:
-            parts[k] += 1
-    while sum(parts.values()) > period:
-        k = max((k for k in parts if parts[k] > 1), key=lambda k: (parts[k] - exact[k], parts[k], k))
-        parts[k] -= 1
-    return parts
-
-
 def schedule(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int]]:
     """(source, block from 0, slot) of all blocks by slot: the earliest deadline among released blocks, by exact weights."""
     exact = {k: Fraction(v) for k, v in weights.items()}
@@ -97,14 +76,6 @@ def schedule(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tupl
         slot += 1
 
 
-def pfair(parts: dict[str, int], period: int = PERIOD) -> list[str | None]:
-    """The source of each slot of a period, by earliest deadline among released blocks."""
-    out: list[str | None] = [None] * period
-    for name, _, slot in schedule(parts, parts):
-        out[slot] = name
-    return out
-
-
 def target_weights(counts: dict[str, int], weights: dict[str, float] | None) -> tuple[dict[str, float], dict[str, float]]:
     """Weights of the sources that are mixed, and of those that come after them: see the module."""
     held = {k: w for k, w in (weights or {}).items() if w > 0 and k in counts}

@@ -24,16 +24,27 @@ def test_queries_match_their_sql(spark, name):
 # --- mixing
 
 
-def test_pfair_stays_within_one_block_of_the_share():
+def plain_schedule(weights, blocks):
+    """Slot by slot: of all released blocks the earliest deadline, then as the operator breaks ties."""
+    total = sum(weights.values())
+    share = {k: Fraction(w) / total for k, w in weights.items()}
+    done, out, slot = dict.fromkeys(weights, 0), [], 0
+    while any(done[k] < blocks[k] for k in weights):
+        free = [k for k in weights if done[k] < blocks[k] and math.floor(done[k] / share[k]) <= slot]
+        if free:
+            k = min(free, key=lambda k: (math.ceil((done[k] + 1) / share[k]), ((done[k] + 1) / share[k]).denominator == 1, -share[k], k))
+            out.append((k, done[k], slot))
+            done[k] += 1
+        slot += 1
+    return out
+
+
+def test_schedule_matches_a_plain_one():
     rng = random.Random(1)
-    for _ in range(30):
-        parts = mixing.parts_of({f"s{i}": rng.random() ** 3 + 1e-6 for i in range(rng.randint(1, 40))})
-        slots = mixing.pfair(parts)
-        assert sum(parts.values()) == mixing.PERIOD and None not in slots
-        done = Counter()
-        for t, name in enumerate(slots, 1):
-            done[name] += 1
-            assert all(abs(done[s] * mixing.PERIOD - p * t) < mixing.PERIOD for s, p in parts.items())
+    for _ in range(40):
+        weights = {f"s{i}": Fraction(rng.randint(1, 30), 7) for i in range(rng.randint(1, 8))}
+        blocks = {k: rng.randint(0, 40) for k in weights}
+        assert list(mixing.schedule(weights, blocks)) == plain_schedule(weights, blocks)
 
 
 def test_mix_keeps_all_rows_and_the_targets(spark):
@@ -80,11 +91,6 @@ def test_mix_holds_more_than_1000_sources_to_their_targets(spark):
     assert len(after) == 24_000 and after[after.source == "big"].mix_block.max() == 2999 == after[after.source != "big"].mix_block.min() - 1
 
 
-def test_too_many_sources_are_refused():
-    with pytest.raises(ValueError):
-        mixing.parts_of(dict.fromkeys(range(1001), 1.0))
-
-
 # --- join
 
 

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import language_id, licenses, pii, queries, toxicity
 
@@ -212,6 +213,16 @@ def test_language_query_accuracy(spark):
     assert got.held_out.tolist() == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]
 
 
+def test_mixed_texts_are_flagged(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null and length(text) > 200")
+    codes = language_id.fit_languages(d.where("crc32(cast(doc_id as string)) % 4 <> 2"))
+    held = d.where("crc32(cast(doc_id as string)) % 4 = 2").select("doc_id", "lang", F.substring("text", 1, 400).alias("text"))
+    a, b = held.where("lang = 'en'"), held.where("lang = 'es'").select(F.col("text").alias("other"), F.monotonically_increasing_id().alias("doc_id"))
+    mixed = a.select(F.monotonically_increasing_id().alias("doc_id"), "text").join(b, "doc_id").select("doc_id", F.concat_ws(" ", "text", "other").alias("text"))
+    flagged = lambda x: language_id.identify(x, codes).agg(F.avg(F.col("ambiguous").cast("int"))).first()[0]
+    assert flagged(held) < 0.02 and flagged(mixed) > 10 * max(flagged(held), 0.01)
+
+
 def test_language_cases(spark):
     train = spark.createDataFrame([(i, "the cat sat on the mat", "en") if i % 2 else (i, "der hund und die katze", "de") for i in range(40)] + [(99, None, "en"), (98, "x", None)], "doc_id long, text string, lang string")
     codes = language_id.fit_languages(train)
@@ -286,3 +297,22 @@ def test_places_of_many_phrases_take_linear_time():
         got = scanner.scan(b"cc by nc " * n + b"under the mit license")
         assert got[:6] == (3 * n + 4, n + 1, 0, 3 * n, "cc-by-nc,mit", "cc-by-nc,mit"), n
     assert time.perf_counter() - began < 20
+
+
+def test_expressions_in_prose(spark):
+    cases = {
+        "Released under the MIT License. Or not": ("mit", True, "mit"),
+        "Dual licensed under the MIT License or the Apache License, Version 2.0.": ("mit or apache-2", True, "apache-2,mit"),
+        "licensed under the GNU General Public License version 2 and CC BY-NC 4.0": ("gpl-2 and cc-by-nc", False, "cc-by-nc,gpl-2"),
+        "distributed under GNU Lesser General Public License, or something": ("lgpl", False, "lgpl"),
+        "licensed under a strange rule": (None, None, ""),
+        "under the mit license": (None, None, "mit"),
+    }
+    got = licenses.scan_licenses(docs(spark, list(cases))).orderBy("doc_id").collect()
+    assert [(r.expression, r.permissive, r.labels) for r in got] == list(cases.values())
+
+
+def test_licences_of_the_whole_table_are_parsed(spark):
+    got = queries.op10_licenses(spark, SF).toPandas()
+    licensed = got[got.labels != ""]
+    assert len(licensed) and licensed.expression.notna().mean() > 0.5
