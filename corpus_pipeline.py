@@ -24,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     language to learn from, nothing stays. Other columns may have any name.
     """
     learn = docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    return language_id.keep_identified(docs, language_id.fit_languages(learn), ambiguous_below=0.01)
+    return language_id.keep_identified(docs, language_id.fit_languages(learn))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

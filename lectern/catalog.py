@@ -414,6 +414,11 @@ def dedupe_exact_first(spark, sf):
     return dedupe.ordered_distinct(posts(spark, sf), "doc", "rid").select("rid", F.md5("doc").alias("h"))
 
 
+@query("copies_of_posts", f"WITH {POSTS_SQL} SELECT rid, min(rid) OVER (PARTITION BY title, coalesce(doc, '')) AS first FROM posts")
+def copies_of_posts(spark, sf):
+    return dedupe.first_copies(posts(spark, sf))
+
+
 @query("neardup_v1")
 def neardup_v1(spark, sf):
     kept, _ = dedupe.drop_similar(posts(spark, sf).withColumn("date", F.lit("")))
