@@ -20,8 +20,8 @@
    homes; in those of many, by matrix products within blocks of their groups. So
    no bucket emits the pairs of its groups.
 5. Homes are expanded to their groups' members and cut into blocks; whole sets of
-   members are verified exactly in every pair of blocks of one home or of paired ones,
-   from which a forest and each member's number of links go on. A chain of
+   members are verified exactly in every pair of blocks of one home, and between
+   a home's blocks and the smaller homes paired with it, from which a forest and each member's number of links go on. A chain of
    documents, each similar to the next few, has few pairs of homes, so its work
    grows with its length; a family of n texts that are all similar has n^2 / 2
    links to count, in blocks.
@@ -285,19 +285,19 @@ def _home_pairs(similar: Similarity):
 
 
 def _verify(similar: Similarity):
-    """A forest of the links in one pair of blocks, and each member's number of links in it."""
+    """A forest of the links of one task, and each member's number of links in it: block i of home a with its block j, or with guests g."""
 
     def go(rows: pa.Table) -> pa.RecordBatch | None:
         key = np.stack([rows[c].to_numpy() for c in ("rep", "n", "s1", "s2")])
         _, first = np.unique(key, axis=1, return_index=True)  # rows that occur twice
         rows, key = rows.take(pa.array(first)), key[:, first]
-        a, i, b, j, home, block = (rows[c].to_numpy() for c in ("a", "i", "b", "j", "home", "block"))
+        a, i, j, g = (rows[c][0].as_py() for c in ("a", "i", "j", "g"))
         rep, n, copies = key[0], key[1], rows["copies"].to_numpy()
         flat = np.frombuffer(b"".join(rows["set"].to_pylist()), np.uint64)
         linked = np.zeros((len(n), len(n)), bool)
-        one = (home == a) & (block == i)
-        same = bool(a[0] == b[0] and i[0] == j[0])
-        x, y = (np.arange(len(n)),) * 2 if same else (np.flatnonzero(one), np.flatnonzero(~one))
+        first_block = (rows["home"].to_numpy() == a) & (rows["block"].to_numpy() == i)
+        # the block's own pairs are counted along with its first guests
+        x, y = np.flatnonzero(first_block), np.arange(len(n)) if i == j and g == 0 else np.flatnonzero(~first_block)
         if len(x) and len(y):
             common = common_counts((flat, n), x, y)
             part = common * (similar.den + similar.num) >= similar.num * (n[x][:, None] + n[y][None])
@@ -395,24 +395,37 @@ def similar_components(
 
     # homes cut into blocks, and the tasks: pairs of blocks of paired homes
     used = pairs.select(F.explode(F.array("a", "b")).alias("home")).distinct()
-    placed = scratch.write(at_home.join(used.hint("merge"), "home", "left_semi"), "placed")
-    blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
-    cut = placed.groupBy("home").agg(blocks.alias("blocks"))
-    tasks = pairs.join(cut.select(F.col("home").alias("a"), F.col("blocks").alias("na")), "a").join(cut.select(F.col("home").alias("b"), F.col("blocks").alias("nb")), "b")
-    tasks = tasks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("j", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.col("i")).otherwise(0), F.col("nb") - 1)))
-    sides = F.array_distinct(F.array(F.struct(F.col("a").alias("home"), F.col("i").alias("block")), F.struct(F.col("b").alias("home"), F.col("j").alias("block"))))
-    tasks = tasks.select("a", "i", "b", "j", F.explode(sides).alias("side")).groupBy("side.home", "side.block").agg(F.collect_list(F.struct("a", "i", "b", "j")).alias("tasks"))
-    moved = placed.join(cut, "home").withColumn("block", F.pmod(F.xxhash64("rep", "s1"), F.col("blocks")).cast("int"))
-    moved = moved.join(tasks, ["home", "block"]).select(F.col("rep").alias("doc_id"), "n", "s1", "s2", "copies", "home", "block", "tasks")
+    weight = F.greatest(F.count("*").cast("double"), F.sum("n") * F.lit(BLOCK / BLOCK_SHINGLES))
+    cut = at_home.groupBy("home").agg(weight.alias("weight")).withColumn("blocks", F.ceil(F.col("weight") / F.lit(BLOCK)).cast("int"))
+    cut = scratch.write(cut.join(used, "home"), "cut")
+    block = F.pmod(F.xxhash64("rep", "s1"), F.col("blocks")).cast("int").alias("block")
+    placed = at_home.select("*", *apart("home")).join(cut.select(*apart("home"), "blocks").hint("merge"), "_home")
+    placed = scratch.write(placed.select("rep", "n", "s1", "s2", "copies", "home", block), "placed")
+    # a pair's smaller home is a guest of the larger one, whose blocks take their guests together, about BLOCK at a time
+    end = lambda c: cut.select(F.col("home").alias(c), F.col("weight").alias(f"w{c}"), F.col("blocks").alias(f"n{c}"))
+    cross = pairs.where("a <> b").join(end("a"), "a").join(end("b"), "b")
+    larger = F.expr("wa > wb or wa = wb and a > b")
+    pick = lambda x, y, name: F.when(larger, F.col(x)).otherwise(F.col(y)).alias(name)
+    cross = cross.select(pick("a", "b", "host"), pick("na", "nb", "host_blocks"), pick("b", "a", "guest"), pick("nb", "na", "guest_blocks"), pick("wb", "wa", "weight"))
+    groups = cross.groupBy("host").agg(F.ceil(F.sum("weight") / F.lit(BLOCK)).cast("int").alias("groups"))
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    guests = cross.withColumn("block", up_to("guest_blocks")).join(groups, "host").withColumn("g", F.pmod(F.xxhash64("guest", "block"), F.col("groups")).cast("int"))
+    guests = guests.withColumn("i", up_to("host_blocks")).select(F.col("guest").alias("home"), "block", F.col("host").alias("a"), "i", F.col("i").alias("j"), "g")
+    own = cut.join(groups.withColumnRenamed("host", "home"), "home", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+    own = own.withColumn("i", up_to("blocks")).withColumn("g", up_to("groups")).select("home", F.col("i").alias("block"), F.col("home").alias("a"), "i", F.col("i").alias("j"), "g")
+    two = cut.where("blocks > 1").withColumn("i", up_to("blocks")).withColumn("j", up_to("blocks")).where("i < j")
+    two = two.select("home", F.explode(F.array("i", "j")).alias("block"), F.col("home").alias("a"), "i", "j", F.lit(0).alias("g"))
+    tasks = guests.unionByName(own).unionByName(two).groupBy("home", "block").agg(F.collect_list(F.struct("a", "i", "j", "g")).alias("tasks"))
+    moved = placed.join(tasks, ["home", "block"]).select(F.col("rep").alias("doc_id"), "n", "s1", "s2", "copies", "home", "block", "tasks")
 
     # whole sets, verified block by block
     wide = maybe_among(docs, "doc_id", placed.select("rep"), total).join(moved, "doc_id")
     wide = wide.select("text", F.col("doc_id").alias("rep"), "n", "s1", "s2", "copies", "home", "block", "tasks")
-    task = "array<struct<a: long, i: int, b: long, j: int>>"
+    task = "array<struct<a: long, i: int, j: int, g: int>>"
     sets = map_batches(wide, _member_sets(words), f"set binary, rep long, n long, s1 long, s2 long, copies long, home long, block int, tasks {task}")
     sets = sets.withColumn("t", F.explode("tasks")).select("set", "rep", "n", "s1", "s2", "copies", "home", "block", "t.*")
-    checked = scratch.write(map_groups(sets, ["a", "i", "b", "j"], _verify(similar), "u long, n long, s1 long, s2 long, v long, links long"), "links")
-    scratch.drop(index, pairs, placed)
+    checked = scratch.write(map_groups(sets, ["a", "i", "j", "g"], _verify(similar), "u long, n long, s1 long, s2 long, v long, links long"), "links")
+    scratch.drop(index, pairs, cut, placed)
 
     # texts of one id belong together
     several = known.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2")).alias("x"), F.max(F.struct("n", "s1", "s2")).alias("y")).where("x <> y").select("doc_id")
