@@ -544,3 +544,47 @@ def test_stages_take_empty_tables_and_odd_rows(spark, tmp_path, name):
     assert {r["_key"] for r in out} == {"keep me"}
     lost = Counter(r.doc_id for r in docs.collect()) - Counter(r.doc_id for r in out)
     assert lost == {"language": {100: 1, 101: 1, 102: 1}, "near_duplicates": {103: 1, 104: 1, 3: 1}, "benchmark_leaks": {105: 1}}.get(name, {})
+
+
+# --- shared parts
+
+
+def test_filters_of_ids_lose_none(spark):
+    from lectern.llm.common import maybe_among
+
+    d = spark.range(20_000).selectExpr("if(id % 100 = 7, null, id) id", "'x' held", "id part")
+    ids = spark.range(0, 20_000, 50).selectExpr("id k").unionAll(spark.sql("select cast(null as long)"))
+    inside = {r.id for r in maybe_among(d, "id", ids, 400).collect()}
+    outside = [r.id for r in maybe_among(d, "id", ids, 400, among=False).collect()]
+    wanted = set(range(0, 20_000, 50))
+    assert wanted <= inside and len(inside) < 600 and None not in inside
+    assert not wanted & set(outside) and len(inside) + len(outside) == 20_000 and outside.count(None) == 200
+    assert maybe_among(d, "id", ids.limit(0), 0).count() == 0 and maybe_among(d.limit(0), "id", ids, 400).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["path", "star", "random", "cliques"])
+def test_components_of_graphs(spark, kind):
+    from lectern.llm.common import Scratch
+    from lectern.llm.components import components
+
+    rng = random.Random(kind)
+    name = list({rng.randrange(-(2**62), 2**62) for _ in range(1600)})[:1500]
+    edges = {
+        "path": [(i, i + 1) for i in range(1000)],
+        "star": [(700, i) for i in range(1500)],
+        "random": [(rng.randrange(1500), rng.randrange(1500)) for _ in range(900)],
+        "cliques": [(10 * k + i, 10 * k + j) for k in range(100) for i in range(8) for j in range(8)],
+    }[kind]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in ((name[a], name[b]) for a, b in edges if a != b):
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    d = spark.createDataFrame([(name[a], name[b]) for a, b in edges], "u long, v long").repartition(3)
+    got = [(r.node, r.root) for r in components(d, Scratch(spark)).collect()]
+    assert sorted(got) == sorted((x, find(x)) for x in root)
