@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -44,19 +47,30 @@ def dense(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
 
 
+#: Fits of one search that run side by side: each is a row of short jobs, which leave most of a cluster idle.
+AT_ONCE = 4
+
+
 def kmeans(df: DataFrame, k: int = 3, n_init: int = 20, seed: int = 42, iterations: int = 100):
-    """The best of n_init fits by the sum of squared distances, and that sum."""
-    best = None
-    for i in range(n_init):
+    """The best of n_init fits by the sum of squared distances, the first of equal ones, and that sum."""
+
+    def fit(i: int):
         m = KMeans(k=k, seed=seed + i, maxIter=iterations, featuresCol="features", predictionCol="cluster").fit(df)
-        if best is None or m.summary.trainingCost < best[1]:
-            best = m, m.summary.trainingCost
-    return best
+        return m, m.summary.trainingCost
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return min(pool.map(inheritable_thread_target(fit), range(n_init)), key=lambda x: x[1])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The frame in as many parts as the session has cores, where it has fewer: iterations over small tables then use them all."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def elbow(df: DataFrame, ks=range(2, 8), n_init: int = 20, seed: int = 42) -> DataFrame:
     """(k, sse); the features are computed once, and written where lost executors don't matter."""
-    rows = materialised(df.select("features"))
+    rows = materialised(spread(df.select("features")))
     found = [(k, float(kmeans(rows, k, n_init, seed)[1])) for k in ks]
     return df.sparkSession.createDataFrame(found, "k int, sse double")
 
@@ -113,7 +127,7 @@ def lda(df: DataFrame, k: int = 5, iterations: int = 20, seed: int = 42):
     return LDA(
         k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0, optimizeDocConcentration=False,
         docConcentration=[1.0 / k] * k, topicConcentration=1.0 / k, featuresCol="features", topicDistributionCol="topics",
-    ).fit(df)
+    ).fit(spread(df))
 
 
 def topic_terms(model, spark, vocab: list[str], n: int = 15) -> DataFrame:
