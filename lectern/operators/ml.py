@@ -59,7 +59,7 @@ def kmeans(df: DataFrame, k: int = 3, n_init: int = 20, seed: int = 42, iteratio
         return m, m.summary.trainingCost
 
     with ThreadPoolExecutor(AT_ONCE) as pool:
-        return min(pool.map(inheritable_thread_target(fit), range(n_init)), key=lambda x: x[1])
+        return min(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(n_init)), key=lambda x: x[1])
 
 
 def spread(df: DataFrame) -> DataFrame:
