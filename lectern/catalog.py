@@ -393,19 +393,47 @@ def calendar_days(spark, sf):
     return calendar(spark)
 
 
+def _arrived(spark, sf) -> DataFrame:
+    address = F.concat(F.lit("https://blog.naver.com/b/"), F.col("page_id").cast("string"))
+    return table(spark, sf, "pages").select(address.alias("url"), F.concat(F.lit('<meta property="og:title" content="'), F.col("page_id").cast("string"), F.lit('">'), F.col("html")).alias("html"))
+
+
 @query("ingest_stream")
 def ingest_stream(spark, sf):
-    """Two runs over the pages as they arrive: the second finds nothing new."""
-    from .streaming.ingest import collect
+    """Two runs over the pages as they arrive, without a target: the second finds nothing new."""
+    from .streaming.ingest import Options, collect
 
     base = scratch_folder(spark)
-    arrived = table(spark, sf, "pages").select(F.concat(F.lit("https://blog.naver.com/b/"), F.col("page_id").cast("string")).alias("url"), F.concat(F.lit('<meta property="og:title" content="'), F.col("page_id").cast("string"), F.lit('">'), F.col("html")).alias("html"))
-    arrived.write.parquet(f"{base}/in")
+    _arrived(spark, sf).write.parquet(f"{base}/in")
     for _ in range(2):
-        collect(spark, f"{base}/in", f"{base}/posts", f"{base}/state").awaitTermination()
+        collect(spark, f"{base}/in", f"{base}/posts", f"{base}/state", Options(target=1 << 60)).awaitTermination()
     return spark.read.parquet(f"{base}/posts").select("canonical_url", "title", "comment_count")
 
 
+@query("collect_target", "SELECT 'https://blog.naver.com/b/' || page_id AS canonical_url, page_id::VARCHAR AS title FROM pages ORDER BY canonical_url LIMIT 30")
+def collect_target(spark, sf):
+    """Collecting that stops at 30 posts, and is run again."""
+    from .streaming.ingest import Options, collect
+
+    base = scratch_folder(spark)
+    _arrived(spark, sf).write.parquet(f"{base}/in")
+    for _ in range(2):
+        collect(spark, f"{base}/in", f"{base}/posts", f"{base}/state", Options(target=30)).awaitTermination()
+    return spark.read.parquet(f"{base}/posts").select("canonical_url", "title")
+
+
+@query("links_by_day", f"SELECT replace({URL_SQL}, 'https://m.', 'https://') AS canonical_url, min(page_id % 5)::INT AS day FROM pages GROUP BY 1")
+def links_by_day(spark, sf):
+    """Links of five days, saved one day after another; the third day is run twice."""
+    from .streaming.ingest import Options, collect_links
+
+    path = f"{scratch_folder(spark)}/links"
+    found = _post_urls(spark, sf).select("page_id", urls.canonical_post_url(F.col("url")).alias("canonical_url"))
+    days = [(str(d), found.where(F.col("page_id") % 5 == d).select("canonical_url")) for d in (0, 1, 2, 2, 3, 4)]
+    collect_links(days, path, Options(target=1 << 60))
+    return spark.read.parquet(path).select("canonical_url", F.col("day").cast("int").alias("day"))
+
+
 # --- duplicates
 
 
