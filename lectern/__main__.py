@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import argparse
 
+from .operators.filters import with_keywords
 from .plans.preprocess import run_preprocessing
 from .session import session
+from .sources.tabular import remove
 from .streaming.ingest import Options, collect, refresh, searches
 
 
@@ -37,6 +39,8 @@ def main(args: list[str] | None = None) -> None:
         s.add_argument("--most-days", type=int)
         s.add_argument("--most-rows", type=int)
         s.add_argument("--complete-only", action="store_true")
+        s.add_argument("--no-resume", action="store_true", help="forget what was collected before")
+        s.add_argument("--keep-keywords", action="store_true", help="refresh only posts of the given keywords")
     a = p.parse_args(args)
     spark = session()
     if a.run == "preprocess":
@@ -44,9 +48,14 @@ def main(args: list[str] | None = None) -> None:
     elif a.run == "searches":
         searches(spark, _options(a)).write.mode("overwrite").parquet(a.out)
     elif a.run == "collect":
+        if a.no_resume:
+            for path in (a.posts, a.checkpoint):
+                remove(spark, path)
         collect(spark, a.arriving, a.posts, a.checkpoint, _options(a)).awaitTermination()
     else:
-        refresh(spark.read.parquet(a.posts), spark.read.parquet(a.pages), _options(a), a.most_rows).write.mode("overwrite").parquet(a.out)
+        old = spark.read.parquet(a.posts)
+        old = with_keywords(old, a.keywords, blank_too=True) if a.keep_keywords else old
+        refresh(old, spark.read.parquet(a.pages), _options(a), a.most_rows).write.mode("overwrite").parquet(a.out)
 
 
 if __name__ == "__main__":

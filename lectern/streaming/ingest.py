@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,24 @@ def posts_of(pages: DataFrame, o: Options) -> DataFrame:
     return front_columns(parsed.select(*[F.col(c).cast("string").alias(c) for c in parsed.columns]))
 
 
+#: What ends a run at its target.
+ENOUGH = "the target of posts is reached"
+
+
+class Run:
+    """A run of the stream; reaching the target is no failure."""
+
+    def __init__(self, query):
+        self.query = query
+
+    def awaitTermination(self) -> None:  # noqa: N802  (as the query it stands for)
+        try:
+            self.query.awaitTermination()
+        except StreamingQueryException as e:
+            if ENOUGH not in str(e):
+                raise
+
+
 def collect(spark: SparkSession, arriving: str, posts: str, checkpoint: str, o: Options = Options(), schema: str = "url string, html string"):
     """Reads all pages that have arrived (Parquet) since the last run and appends the posts that are new, until there are `o.target`.
 
@@ -61,24 +80,27 @@ def collect(spark: SparkSession, arriving: str, posts: str, checkpoint: str, o:
     and leaves out the addresses that the table has already, of which it reads
     that column only; no state grows with the stream. It is written under its
     number, so a batch that is run again after a failure replaces its own files.
-    Of a batch that would pass the target, the first addresses in order are taken.
+    Of a batch that would pass the target, the first addresses in order are
+    taken; it ends the run and is not marked as done, so a run with a larger
+    target goes on with it.
     """
     stream = spark.readStream.schema(schema).parquet(arriving)
     keyed = with_url(stream.withColumn("canonical_url", canonical_post_url(F.col("url"))))
 
     def batch(rows: DataFrame, number: int) -> None:
         done = spark.read.parquet(posts).where(F.col("batch") != number).select("canonical_url") if exists(spark, posts) else None
-        left = o.target - (done.count() if done is not None else 0)
-        if left <= 0:
-            return
+        left = max(0, o.target - (done.count() if done is not None else 0))
         fresh = unseen(rows, done) if done is not None else rows
         one = fresh.groupBy("canonical_url").agg(F.min(F.struct("html", "url")).alias("p")).select("p.url", "p.html")
         new = materialised(posts_of(one, o))
-        if new.count() > left:
+        enough = new.count() > left
+        if enough:
             new = new.orderBy("canonical_url").limit(left)
         new.write.mode("overwrite").parquet(f"{posts}/batch={number}")
+        if enough:
+            raise RuntimeError(ENOUGH)
 
-    return keyed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return Run(keyed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def save_links(links: DataFrame, path: str, day: str, most: int | None = None) -> int:

@@ -331,3 +331,20 @@ def test_chart_tables_and_progress(spark):
     assert {(r.x, r.y) for r in charts.venn("venn", sets).collect()} == {("only_a", 1.0), ("only_b", 2.0), ("both", 3.0)}
     seen = progress.Counted(spark.range(1234), "rows")
     assert seen.df.selectExpr("sum(id)").first()[0] == 1233 * 617 and seen.rows == 1234
+
+
+def test_command_line_collects_and_refreshes(spark, tmp_path):
+    from lectern.__main__ import main
+
+    base = f"file://{tmp_path}"
+    rows = [(f"https://blog.naver.com/b/{i}", f'<meta property="og:title" content="t{i}"><div class="se-main-container">text {i}</div>') for i in range(6)]
+    spark.createDataFrame(rows, "url string, html string").write.parquet(f"{base}/in")
+    paths = [f"{base}/in", f"{base}/posts", f"{base}/state"]
+    main(["collect", *paths, "--target", "4"])
+    assert spark.read.parquet(f"{base}/posts").count() == 4
+    main(["collect", *paths, "--target", "5"])  # the rest of the same pages
+    assert spark.read.parquet(f"{base}/posts").count() == 5
+    main(["collect", *paths, "--no-resume"])
+    assert spark.read.parquet(f"{base}/posts").count() == 6
+    main(["refresh", f"{base}/posts", f"{base}/in", f"{base}/new", "--keywords", "k", "--keep-keywords"])
+    assert spark.read.parquet(f"{base}/new").count() == 6
