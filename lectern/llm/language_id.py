@@ -177,7 +177,7 @@ def identify(docs: DataFrame, codes: Codes | None, id_col: str = "doc_id", text_
     return map_batches(docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text"), batches, SCHEMA)
 
 
-def keep_identified(docs: DataFrame, codes: Codes | None, text_col: str = "text", ambiguous_below: float = 0.01) -> DataFrame:
+def keep_identified(docs: DataFrame, codes: Codes | None, text_col: str = "text", ambiguous_below: float = 0.0025) -> DataFrame:
     """The rows, with all their columns, whose language can be told: not `und`, and no second one within ambiguous_below.
 
     That is narrower than the flag of `identify`: what goes is lost, so only texts on the very border go.
