@@ -118,6 +118,23 @@ def maybe_among(df: DataFrame, id_col: str, ids: DataFrame, rows: int, among: bo
     return tested.where(hit if among else ~hit).select(named(df))
 
 
+#: Most ids that are broadcast as they are.
+FEW_IDS = 100_000
+
+
+def without(df: DataFrame, key: str, gone: DataFrame, rows: int) -> DataFrame:
+    """Rows whose key is none of `gone` (one column of another name, `rows` values); null keys stay.
+
+    Few ids are broadcast. With more, a filter of them tells the rows that surely
+    stay, and only the others are moved.
+    """
+    same = F.col(key) == F.col(gone.columns[0])
+    if rows <= FEW_IDS:
+        return df.join(F.broadcast(gone), same, "left_anti")
+    unsure = maybe_among(df, key, gone, rows).join(gone, same, "left_anti")
+    return maybe_among(df, key, gone, rows, among=False).unionByName(unsure)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in the place that spark.checkpoint.dir names, which driver and executors share.
 

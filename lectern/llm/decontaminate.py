@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, maybe_among, named, spare
+from .common import Scratch, maybe_among, named, spare, without
 
 #: Most shingles of all items with which they, and the signatures among them, are broadcast: words of text each.
 BROADCAST_ROWS = 200_000
@@ -82,6 +82,8 @@ def contained(docs: DataFrame, items: DataFrame, words: int = 5, least: float =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     if not lengths:
         return docs.selectExpr("doc_id", "0L item_id", "0L n_shared", "0L n_item", "0d containment").where("false")
+    scratch = Scratch(docs.sparkSession)
+    shingles = scratch.write(shingles, "shingles")  # read four times below
     # an item's shingles meet by nature: one text of the benchmark
     ranked = []
     for k in lengths:
@@ -94,7 +96,6 @@ def contained(docs: DataFrame, items: DataFrame, words: int = 5, least: float =
     needed = F.when(F.col("q") < 16, 1).when(F.col("q") < 32, 2).when(F.col("q") < 64, 3).otherwise(4)
     signatures = signatures.groupBy("item_id", "q").agg(F.array_sort(F.collect_set("h")).alias("hs"))
     signatures = signatures.select("item_id", F.floor(F.log2("q")).alias("part"), needed.alias("needed"), F.explode(F.slice("hs", F.lit(1), missed + needed)).alias("h"))
-    scratch = Scratch(docs.sparkSession)
     signatures = scratch.write(signatures, "signatures")
     # thresholds of the partitions: a few rows, as sizes are powers of two
     highest = {r.part: r.h for r in signatures.groupBy("part").agg(F.max("h").alias("h")).collect()}
@@ -134,7 +135,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, words: int = 5, least: floa
     key, hit_key = spare(docs.columns, "key", "hit")
     found = contained(docs.select("doc_id", "text"), items, words, least).select(F.col("doc_id").alias(hit_key)).distinct()
     hit = Scratch(docs.sparkSession).write(found, "hits")
-    keyed, rows = docs.withColumn(key, F.col("doc_id").cast("long")), hit.count()
-    # only rows that may go are moved to be compared exactly
-    unsure = maybe_among(keyed, key, hit, rows).join(hit, F.col(key) == F.col(hit_key), "left_anti")
-    return maybe_among(keyed, key, hit, rows, among=False).unionByName(unsure).select(named(docs))
+    return without(docs.withColumn(key, F.col("doc_id").cast("long")), key, hit, hit.count()).select(named(docs))

@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches, map_groups, maybe_among, named, spare, texts
+from .common import FEW_IDS, Scratch, map_batches, map_groups, maybe_among, named, spare, texts, without
 from .components import components
 
 #: Most shingles that are told apart as frequent: 16 bytes each go to the driver and back to every task.
@@ -359,8 +359,12 @@ def similar_components(
     aside = known.select("doc_id", "n").join(members.where("rep = gid").select(F.col("gid").alias("doc_id"), "n"), ["doc_id", "n"], "left_anti")
     aside = scratch.write(aside.distinct(), "aside")
     whole = full.where("n > 0 and doc_id is not null").select("doc_id", "n", "prefix")
-    ids = aside.select("doc_id")
-    prefixes = maybe_among(whole, "doc_id", ids, total, among=False).unionByName(maybe_among(whole, "doc_id", ids, total).join(aside, ["doc_id", "n"], "left_anti"))
+    ids, n_aside = aside.select("doc_id"), aside.count()
+    if n_aside <= FEW_IDS:
+        prefixes = whole.join(F.broadcast(aside), ["doc_id", "n"], "left_anti")
+    else:  # only prefixes that may be of no group are moved
+        unsure = maybe_among(whole, "doc_id", ids, n_aside).join(aside, ["doc_id", "n"], "left_anti")
+        prefixes = maybe_among(whole, "doc_id", ids, n_aside, among=False).unionByName(unsure)
 
     # buckets of shared prefix shingles: counts are partial sums, and only what may be shared is moved
     spread = prefixes.select(F.col("doc_id").alias("gid"), "n", F.explode("prefix").alias("tok"))
@@ -482,7 +486,4 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     docs = _told_apart(docs, key, scratch) if repeated else docs.withColumn(key, F.col("doc_id").cast("long"))
     found = similar_components(docs, words, num, den, key)
     gone = scratch.write(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_key)).distinct(), "gone")
-    rows = gone.count()
-    # only rows that may go are moved to be compared exactly
-    unsure = maybe_among(docs, key, gone, rows).join(gone, F.col(key) == F.col(gone_key), "left_anti")
-    return maybe_among(docs, key, gone, rows, among=False).unionByName(unsure).select(columns)
+    return without(docs, key, gone, gone.count()).select(columns)

@@ -128,6 +128,7 @@ def test_components_match_brute_force(spark, monkeypatch, words, num):
     """Families of near copies larger than a block, a shared passage, short texts, ties and repeated rows."""
     monkeypatch.setattr(jaccard_join, "SMALL_BUCKET", 4)
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "FEW_IDS", 0 if words == 3 else 100_000)
     rng = random.Random(words)
     base = [f"w{rng.randrange(400)}" for _ in range(150)]
     passage = [f"p{i}" for i in range(60)]
@@ -588,3 +589,14 @@ def test_components_of_graphs(spark, kind):
     d = spark.createDataFrame([(name[a], name[b]) for a, b in edges], "u long, v long").repartition(3)
     got = [(r.node, r.root) for r in components(d, Scratch(spark)).collect()]
     assert sorted(got) == sorted((x, find(x)) for x in root)
+
+
+def test_rows_leave_alike_whether_ids_are_few_or_many(spark, monkeypatch):
+    from lectern.llm import common
+
+    d = spark.range(3000).selectExpr("if(id % 100 = 7, null, id) id", "'x' held", "id part")
+    gone = spark.range(0, 3000, 5).selectExpr("id k")
+    for few in (100_000, 10):
+        monkeypatch.setattr(common, "FEW_IDS", few)
+        got = [r.part for r in common.without(d, "id", gone, 600).collect()]
+        assert sorted(got) == [i for i in range(3000) if i % 100 == 7 or i % 5]
