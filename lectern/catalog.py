@@ -749,3 +749,17 @@ def lda_topics(spark, sf):
 def lda_docs(spark, sf):
     rows, _ = _counted(spark, sf)
     return ml.topic_documents(ml.lda(rows), rows, 5)
+
+
+@query("topic_relevance")
+def topic_relevance(spark, sf):
+    """The 30 most relevant terms of each topic."""
+    rows, vocab = _counted(spark, sf)
+    return ml.relevance(ml.lda(rows), spark, vocab, post_words(spark, sf))
+
+
+@query("topic_distances")
+def topic_distances(spark, sf):
+    """Distances of the topics and their places on a map."""
+    rows, _ = _counted(spark, sf)
+    return ml.topic_distances(ml.lda(rows), spark)
