@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session_scratch import materialised
+
 
 def term_counts(tokens: DataFrame, doc: list[str]) -> DataFrame:
     """The document-term matrix: tf of each keyword in each document."""
@@ -60,6 +62,7 @@ def mean_by(weights: DataFrame, docs: DataFrame, by: str) -> DataFrame:
 
 def cosine_adjacent(weights: DataFrame, by: str = "section") -> DataFrame:
     """Cosine of each section's weights with those of the next section that exists."""
+    weights = materialised(weights)  # read three times: terms by sections, far fewer than tokens
     order = weights.select(by).distinct()
     step = order.select(by, F.lead(by).over(Window.orderBy(by)).alias("_next")).where("_next is not null")  # a row for each section
     left = weights.join(F.broadcast(step), by).select(by, "_next", "keyword", F.col("tfidf").alias("a"))
