@@ -177,21 +177,33 @@ def _end() -> None:
             pass
 
 
+#: Whether Spark removes a query's shuffle files at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
     A table survives lost executors, unlike cached blocks. `drop` removes one
-    that no later plan reads; the rest goes when the Python process ends.
+    that no later plan reads; the rest goes when the Python process ends. With
+    `tidy` the shuffle files of a write go as soon as it is done, instead of
+    when the driver happens to collect its garbage.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.n, self.there = spark, shared_folder(spark), 0, set()
+    def __init__(self, spark: SparkSession, tidy: bool = False):
+        self.spark, self.folder, self.n, self.there, self.tidy = spark, shared_folder(spark), 0, set(), tidy
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.folder}/{self.n:03d}-{name}"
         _FOLDERS[self.folder] = self.spark
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEAN_UP)
+        if self.tidy:
+            self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN_UP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         self.there.add(path)

@@ -19,9 +19,14 @@
    groups and by the number of buckets they share: natively from buckets of few
    homes; in those of many, by matrix products within blocks of their groups. So
    no bucket emits the pairs of its groups.
-5. Homes are expanded to their groups' members and cut into blocks; whole sets of
-   members are verified exactly in every pair of blocks of one home, and between
-   a home's blocks and the smaller homes paired with it, from which a forest and each member's number of links go on. A chain of
+5. Homes are expanded to their groups' members and cut into blocks, and the tasks
+   are every pair of blocks of one home, and a home's blocks with the smaller
+   homes paired with it. First sketches go there, one to two bits for each shingle: the
+   parities of the number of shingles by hash. Two sets differ in as many
+   shingles as their sketches do in bits, or more, so pairs that differ too much
+   go without loss. Whole sets of what is left are verified exactly in the same
+   tasks, from which a forest and each member's number of links go on. So whole
+   sets are moved to tasks where they have a likely partner only. A chain of
    documents, each similar to the next few, has few pairs of homes, so its work
    grows with its length; a family of n texts that are all similar has n^2 / 2
    links to count, in blocks.
@@ -176,7 +181,9 @@ def global_order(docs: DataFrame, words: int, scratch: Scratch, most: int = FREQ
     return Order(h.view(np.uint64)[order], level[order])
 
 
-NODES = "doc_id long, n long, s1 long, s2 long, g long, prefix array<long>"
+NODES = "doc_id long, n long, s1 long, s2 long, g long, sketch binary, prefix array<long>"
+#: Fewest bits of a sketch.
+LEAST_BITS = 64
 
 
 def _signature(u: np.ndarray) -> tuple[int, int]:
@@ -186,16 +193,57 @@ def _signature(u: np.ndarray) -> tuple[int, int]:
     return int(np.uint64(s1).view(np.int64)), int(np.uint64(s2).view(np.int64))
 
 
+def sketch_bits(n: int) -> int:
+    """Bits of the sketch of a set of n shingles: the power of two from n on."""
+    return max(LEAST_BITS, 1 << (n - 1).bit_length()) if n else 0
+
+
+def sketch(u: np.ndarray) -> bytes:
+    """For each bit, whether an odd number of hashes falls on it."""
+    m = sketch_bits(len(u))
+    return np.packbits(np.bincount((u & np.uint64(max(m, 1) - 1)).astype(np.int64), minlength=m) & 1).tobytes() if m else b""
+
+
+def likely(similar: Similarity, sketches: list[bytes], n: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the sets numbered x, and which of those numbered y, have a partner among the others that sketches and sizes don't rule out.
+
+    Similar sets have sketches of one size or one twice the other's, which is then folded.
+    """
+    bits = np.array([8 * len(s) for s in sketches], np.int64)
+    unpacked = {m: np.unpackbits(np.frombuffer(b"".join(s for s in sketches if 8 * len(s) == m), np.uint8)).reshape(-1, m) for m in np.unique(bits).tolist()}
+    place = np.zeros(len(bits), np.int64)
+    for m in unpacked:
+        place[bits == m] = np.arange((bits == m).sum())
+    in_x, in_y = np.zeros(len(n), bool), np.zeros(len(n), bool)
+    for m in unpacked:
+        for mx, my in ((m, m), (m, 2 * m), (2 * m, m)):
+            a, b = x[bits[x] == mx], y[bits[y] == my]
+            if not len(a) or not len(b):
+                continue
+            rows = []
+            for ids, own in ((a, mx), (b, my)):
+                r = unpacked[own][place[ids]]
+                rows.append((r if own == m else r[:, :m] ^ r[:, m:]).astype(np.float32))
+            differ = rows[0].sum(1)[:, None] + rows[1].sum(1)[None] - 2 * (rows[0] @ rows[1].T)
+            na, nb = n[a][:, None], n[b][None]
+            may = differ * (similar.den + similar.num) <= (similar.den - similar.num) * (na + nb)
+            may &= (np.minimum(na, nb) >= similar.smallest(np.maximum(na, nb))) & (a[:, None] != b[None])
+            in_x[a[may.any(1)]] = True
+            in_y[b[may.any(0)]] = True
+    return in_x, in_y
+
+
 def _nodes(words: int, similar: Similarity, order: Order):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, s1, s2, g, prefixes = [], [], [], [], []
+            n, s1, s2, g, sketches, prefixes = [], [], [], [], [], []
             for raw in texts(b.column(1)):
                 u = shingle_hashes(raw, words)
                 signed = _signature(u)
                 n.append(len(u))
                 s1.append(signed[0])
                 s2.append(signed[1])
+                sketches.append(sketch(u))
                 key = order.keys(u)
                 prefixes.append(np.sort(key)[: similar.prefix(len(u)) if len(u) else 0])
                 g.append(_WORD(prefixes[-1].tobytes()))
@@ -203,8 +251,8 @@ def _nodes(words: int, similar: Similarity, order: Order):
             flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
             groups = pa.array(np.array(g, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), groups, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
-                ["doc_id", "n", "s1", "s2", "g", "prefix"],
+                [b.column(0), *[pa.array(c, pa.int64()) for c in (n, s1, s2)], groups, pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
+                ["doc_id", "n", "s1", "s2", "g", "sketch", "prefix"],
             )
 
     return go
@@ -284,20 +332,43 @@ def _home_pairs(similar: Similarity):
     return go
 
 
+def _members_of_task(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """Members of a task, each once, with their keys, and the numbers of those that are compared with each other: block i of home a with its block j, or with guests g."""
+    key = np.stack([rows[c].to_numpy() for c in ("rep", "n", "s1", "s2")])
+    _, first = np.unique(key, axis=1, return_index=True)  # rows that occur twice
+    rows, key = rows.take(pa.array(first)), key[:, first]
+    a, i, j, g = (rows[c][0].as_py() for c in ("a", "i", "j", "g"))
+    own = rows["own"].to_numpy()
+    # the block's own pairs are counted along with its first guests
+    return rows, key, np.flatnonzero(own), np.arange(len(own)) if i == j and g == 0 else np.flatnonzero(~own)
+
+
+#: Columns of a task's members: own tells those of block i of home a.
+MEMBERS = "rep long, n long, s1 long, s2 long, copies long, a long, i int, j int, g int, own boolean"
+
+
+def _likely_members(similar: Similarity):
+    """The members of one task that may have a link there, by their sketches."""
+
+    def go(rows: pa.Table) -> pa.RecordBatch | None:
+        rows, key, x, y = _members_of_task(rows)
+        if not len(x) or not len(y):
+            return None
+        in_x, in_y = likely(similar, rows["sketch"].to_pylist(), key[1], x, y)
+        kept = rows.drop_columns(["sketch"]).filter(pa.array(in_x | in_y)).combine_chunks()
+        return kept.to_batches()[0] if len(kept) else None
+
+    return go
+
+
 def _verify(similar: Similarity):
-    """A forest of the links of one task, and each member's number of links in it: block i of home a with its block j, or with guests g."""
+    """A forest of the links of one task, and each member's number of links in it."""
 
     def go(rows: pa.Table) -> pa.RecordBatch | None:
-        key = np.stack([rows[c].to_numpy() for c in ("rep", "n", "s1", "s2")])
-        _, first = np.unique(key, axis=1, return_index=True)  # rows that occur twice
-        rows, key = rows.take(pa.array(first)), key[:, first]
-        a, i, j, g = (rows[c][0].as_py() for c in ("a", "i", "j", "g"))
+        rows, key, x, y = _members_of_task(rows)
         rep, n, copies = key[0], key[1], rows["copies"].to_numpy()
         flat = np.frombuffer(b"".join(rows["set"].to_pylist()), np.uint64)
         linked = np.zeros((len(n), len(n)), bool)
-        first_block = (rows["home"].to_numpy() == a) & (rows["block"].to_numpy() == i)
-        # the block's own pairs are counted along with its first guests
-        x, y = np.flatnonzero(first_block), np.arange(len(n)) if i == j and g == 0 else np.flatnonzero(~first_block)
         if len(x) and len(y):
             common = common_counts((flat, n), x, y)
             part = common * (similar.den + similar.num) >= similar.num * (n[x][:, None] + n[y][None])
@@ -342,7 +413,7 @@ def similar_components(
     `words`-word shingles; component_id is the smallest id that links reach.
     """
     spark = docs.sparkSession
-    similar, scratch = Similarity(num, den), Scratch(spark)
+    similar, scratch = Similarity(num, den), Scratch(spark, tidy=True)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = global_order(docs, words, scratch, frequent)
     full = scratch.write(map_batches(docs, _nodes(words, similar, order), NODES), "nodes")
@@ -363,7 +434,9 @@ def similar_components(
     if n_aside <= FEW_IDS:
         prefixes = whole.join(F.broadcast(aside), ["doc_id", "n"], "left_anti")
     else:  # only prefixes that may be of no group are moved
-        unsure = maybe_among(whole, "doc_id", ids, n_aside).join(aside, ["doc_id", "n"], "left_anti")
+        # no left_anti join: Spark would push it below the filter and move all prefixes
+        marked = aside.withColumn("_aside", F.lit(True))
+        unsure = maybe_among(whole, "doc_id", ids, n_aside).join(marked, ["doc_id", "n"], "left").where("_aside is null").drop("_aside")
         prefixes = maybe_among(whole, "doc_id", ids, n_aside, among=False).unionByName(unsure)
 
     # buckets of shared prefix shingles: counts are partial sums, and only what may be shared is moved
@@ -420,16 +493,26 @@ def similar_components(
     two = cut.where("blocks > 1").withColumn("i", up_to("blocks")).withColumn("j", up_to("blocks")).where("i < j")
     two = two.select("home", F.explode(F.array("i", "j")).alias("block"), F.col("home").alias("a"), "i", "j", F.lit(0).alias("g"))
     tasks = guests.unionByName(own).unionByName(two).groupBy("home", "block").agg(F.collect_list(F.struct("a", "i", "j", "g")).alias("tasks"))
-    moved = placed.join(tasks, ["home", "block"]).select(F.col("rep").alias("doc_id"), "n", "s1", "s2", "copies", "home", "block", "tasks")
-
-    # whole sets, verified block by block
-    wide = maybe_among(docs, "doc_id", placed.select("rep"), total).join(moved, "doc_id")
-    wide = wide.select("text", F.col("doc_id").alias("rep"), "n", "s1", "s2", "copies", "home", "block", "tasks")
-    task = "array<struct<a: long, i: int, j: int, g: int>>"
-    sets = map_batches(wide, _member_sets(words), f"set binary, rep long, n long, s1 long, s2 long, copies long, home long, block int, tasks {task}")
-    sets = sets.withColumn("t", F.explode("tasks")).select("set", "rep", "n", "s1", "s2", "copies", "home", "block", "t.*")
+    moved = placed.join(tasks, ["home", "block"]).withColumnRenamed("rep", "doc_id")
+
+    # sketches, which leave the members of each task that may have a link there
+    known_sketches = full.where("n > 0").select("doc_id", "n", "s1", "s2", "sketch")
+    sketched = maybe_among(known_sketches, "doc_id", placed.select("rep"), total).join(moved, ["doc_id", "n", "s1", "s2"])
+    sketched = sketched.withColumn("t", F.explode("tasks")).withColumnRenamed("doc_id", "rep")
+    own = ((F.col("home") == F.col("t.a")) & (F.col("block") == F.col("t.i"))).alias("own")
+    sketched = sketched.select("rep", "n", "s1", "s2", "copies", "t.*", own, "sketch")
+    left = scratch.write(map_groups(sketched, ["a", "i", "j", "g"], _likely_members(similar), MEMBERS), "left")
+
+    # whole sets of those, verified block by block
+    tasks = left.groupBy(F.col("rep").alias("doc_id"), "n", "s1", "s2", "copies").agg(F.collect_list(F.struct("a", "i", "j", "g", "own")).alias("tasks"))
+    reps = left.select("rep").distinct()
+    wide = maybe_among(docs, "doc_id", reps, reps.count()).join(tasks, "doc_id")
+    wide = wide.select("text", F.col("doc_id").alias("rep"), "n", "s1", "s2", "copies", "tasks")
+    task = "array<struct<a: long, i: int, j: int, g: int, own: boolean>>"
+    sets = map_batches(wide, _member_sets(words), f"set binary, rep long, n long, s1 long, s2 long, copies long, tasks {task}")
+    sets = sets.withColumn("t", F.explode("tasks")).select("set", "rep", "n", "s1", "s2", "copies", "t.*")
     checked = scratch.write(map_groups(sets, ["a", "i", "j", "g"], _verify(similar), "u long, n long, s1 long, s2 long, v long, links long"), "links")
-    scratch.drop(index, pairs, cut, placed)
+    scratch.drop(index, pairs, cut, placed, left)
 
     # texts of one id belong together
     several = known.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2")).alias("x"), F.max(F.struct("n", "s1", "s2")).alias("y")).where("x <> y").select("doc_id")
@@ -480,7 +563,7 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     Rows with one id and one text are one row; different texts with one id are
     documents of their own, removed by similarity only. Extra columns may have any name.
     """
-    columns, scratch = named(docs), Scratch(docs.sparkSession)
+    columns, scratch = named(docs), Scratch(docs.sparkSession, tidy=True)
     key, gone_key = spare(docs.columns, "key", "gone")
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     docs = _told_apart(docs, key, scratch) if repeated else docs.withColumn(key, F.col("doc_id").cast("long"))
