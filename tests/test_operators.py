@@ -121,6 +121,17 @@ def test_weights_match_the_formula(spark):
         assert [got.get((r.rid, w), 0.0) for w in vocab] == pytest.approx(list(r.features.toArray()))
 
 
+def test_a_vocabulary_of_any_size_is_whole(spark):
+    n = (1 << 18) + 1000
+    df = spark.range(n).selectExpr("id as rid", "concat('w', id) as keyword")
+    vocab = ml.vocabulary(df, "rid", 1, 1.0)
+    assert len(vocab) == n and vocab == sorted(vocab)
+    rows = spark.createDataFrame([(1, [vocab[-1], vocab[5], vocab[-1], "none"])], "rid long, tokens array<string>")
+    held = ml.vectors(rows, vocab, weighted=False).first().features
+    assert (held.size, held.indices.tolist(), held.values.tolist()) == (n, [5, n - 1], [1.0, 2.0])
+    assert [r.keyword for r in ml.matrix_terms(spark, np.eye(1, n, n - 1), vocab, "topic", 2).orderBy("rank").collect()] == [vocab[-1], vocab[0]]
+
+
 def test_concentration_of_nothing_is_null(spark):
     posts = spark.createDataFrame([(1, 1), (2, 2)], "rid long, section int")
     words_ = spark.createDataFrame([(1, 1, "a"), (1, 1, "a"), (1, 1, "b")], "rid long, section int, keyword string")
