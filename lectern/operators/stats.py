@@ -35,6 +35,15 @@ def distinct_with_null(df: DataFrame, column: str) -> DataFrame:
 ACCURACY = 10_000
 
 
+#: Most groups, or bounds of groups, that go to all tasks.
+FEW = 100_000
+
+
+def _to_all(small: DataFrame) -> DataFrame:
+    """A written table of a row for each group, sent to all tasks where groups are few: dealt by group, all rows of one would meet in one task."""
+    return F.broadcast(small) if small.limit(FEW + 1).count() <= FEW else small
+
+
 def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str]) -> DataFrame:
     """Exact quantiles with linear interpolation of each group, one column for each share; groups without a value have none.
 
@@ -61,7 +70,7 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str]
     bounds = materialised(sketch.select(*[F.col(g).alias(f"b{g}") for g in groups], F.explode(F.array(*ends)).alias("b")).select(*[f"b{g}" for g in groups], "b.*"))
     same = [F.col(g).eqNullSafe(F.col(f"b{g}")) for g in groups] or [F.lit(True)]
     # a row for each group and share: few next to the rows
-    met = rows.join(bounds, reduce(lambda x, y: x & y, same)).where("v <= hi")
+    met = rows.join(_to_all(bounds), reduce(lambda x, y: x & y, same)).where("v <= hi")
     key = [f"b{g}" for g in groups] + ["k", "at"]
     counts = met.groupBy(*key, F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
     up_to = F.sum("c").over(Window.partitionBy(*key).orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -91,7 +100,7 @@ def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles, whiskers (the furthest values within 1.5 boxes) and number of outliers of each group."""
     q = materialised(quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [by]))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    rows = df.select(by, value).join(q, by).withColumn("_in", F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
+    rows = df.select(by, value).join(_to_all(q), by).withColumn("_in", F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
     return rows.groupBy(by, "q1", "median", "q3").agg(
         F.min(F.when(F.col("_in"), F.col(value))).alias("whisker_low"), F.max(F.when(F.col("_in"), F.col(value))).alias("whisker_high"), F.count(F.when(~F.col("_in"), 1)).alias("outliers")
     )
