@@ -39,6 +39,13 @@ def unescape(c: Column) -> Column:
     return F.when(some, _unescape(F.when(some, c))).otherwise(c)
 
 
+def named_entities(c: Column, names: dict[str, str]) -> Column:
+    """Given entities only, and only whole ones ("&amp" at the end of a page that is cut off stays); the ampersand's comes last. Native."""
+    for name, char in sorted(names.items(), key=lambda x: x[0] == "amp"):
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
+    return c
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
