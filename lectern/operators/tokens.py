@@ -54,26 +54,52 @@ def default_analyser() -> Callable[[str], list[tuple[str, str]]]:
         return regex_analyser()
 
 
+#: Characters of a batch whose tokens a Python worker holds at once: tokens take many times the room of their text.
+PIECE = 1 << 18
+
+
+def in_pieces(batches: Iterator[pd.Series], tokens_of: Callable, size: Callable) -> Iterator[pd.Series]:
+    """Each value's tokens, handed on after at most PIECE characters (or one value)."""
+    for values in batches:
+        out: list = []
+        held = 0
+        for v in values:
+            if out and held + size(v) > PIECE:
+                yield pd.Series(out)
+                out, held = [], 0
+            out.append(tokens_of(v))
+            held += size(v)
+        yield pd.Series(out, dtype=object)
+
+
+def _words_as_nouns(c: Column) -> Column:
+    """What regex_analyser finds, natively."""
+    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.struct(w.alias("form"), F.lit("NNG").alias("tag")))
+
+
 def tagged(make: Callable = default_analyser):
-    """A column function from text to (form, tag) tokens; the analyser is made once for each task."""
+    """A column function from text to (form, tag) tokens; the analyser is made once for each task. The stand-in needs no Python."""
+    if make is regex_analyser:
+        return _words_as_nouns
 
     @F.pandas_udf(TOKEN)
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         analyse = make()
-        for texts in batches:
-            yield texts.map(lambda t: [{"form": f, "tag": g} for f, g in analyse(t)] if t and t.strip() else [])
+        yield from in_pieces(batches, lambda t: [{"form": f, "tag": g} for f, g in analyse(t)] if t and t.strip() else [], lambda t: len(t or ""))
 
     return tag
 
 
 def tagged_lists(make: Callable = default_analyser):
     """The same for an array of texts: one token array for each."""
+    if make is regex_analyser:
+        return lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), _words_as_nouns)
 
     @F.pandas_udf(f"array<{TOKEN}>")
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         analyse = make()
-        for lists in batches:
-            yield lists.map(lambda ts: [[{"form": f, "tag": g} for f, g in analyse(t)] if t and t.strip() else [] for t in (ts if ts is not None else [])])
+        each = lambda ts: [[{"form": f, "tag": g} for f, g in analyse(t)] if t and t.strip() else [] for t in (ts if ts is not None else [])]
+        yield from in_pieces(batches, each, lambda ts: sum(len(t or "") for t in (ts if ts is not None else [])))
 
     return tag
 

@@ -96,6 +96,43 @@ def test_quantiles_match_exact_ones(spark):
     assert "percentile(" not in plan.getvalue()
 
 
+def test_groups_of_quantiles_are_not_dealt_to_one_task(spark):
+    df = spark.createDataFrame([("a", float(i)) for i in range(50)] + [("b", 2.0)], "g string, v double")
+    for made, small in ((stats.describe(df, ["v"]), 1), (stats.box_stats(df, "v", "g"), 0)):  # describe also joins its two results
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            made.explain()
+        assert "BroadcastHashJoin" in plan.getvalue() and plan.getvalue().count("SortMergeJoin") == small
+
+
+def test_stand_in_of_the_analyser_runs_without_python(spark):
+    comments = [("a b_2", 1, ""), (None, 2, ""), (" ", 3, "")]
+    rows = [(1, 1, 0, 3, None, "Ein Wort, é1!", comments), (2, 1, 0, 0, "", " ", [])]
+    df = spark.createDataFrame(rows, "rid long, section int, like long, comment_cnt long, title string, doc string, comment_list array<struct<comment_content:string,comment_like:long,comment_date:string>>")
+    made = tokens.tokenised(df, tokens.regex_analyser)
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        made.explain()
+    assert "Python" not in plan.getvalue()
+    slow = tokens.tokenised(df, lambda: tokens.regex_analyser())
+    assert made.orderBy("rid").collect() == slow.select(made.columns).orderBy("rid").collect()
+
+
+def test_tokens_leave_the_worker_in_pieces():
+    import pandas as pd
+
+    texts = pd.Series(["x" * 100_000] * 7 + [None, "a b"])
+    out = list(tokens.in_pieces(iter([texts, texts[:0]]), lambda t: (t or "").split(), lambda t: len(t or "")))
+    assert [v for s in out for v in s] == [(t or "").split() for t in texts]
+    assert [len(s) for s in out] == [2, 2, 2, 3, 0]
+
+
+def test_only_whole_entities_of_pages(spark):
+    from lectern.functions import text as cleaners
+
+    row = spark.createDataFrame([("&amp;quot; &quot;x&amp;y &copy &amp",)], "t string")
+    got = row.select(cleaners.named_entities(F.col("t"), {"quot": '"', "amp": "&"})).first()[0]
+    assert got == '&quot; "x&y &copy &amp'
+
+
 def test_ratio_cases():
     assert (dedupe.ratio("", ""), dedupe.ratio("", "a"), dedupe.ratio("abc", "abc")) == (1.0, 0.0, 1.0)
     long = "x".join(str(i) for i in range(150))
