@@ -67,6 +67,57 @@ def test_bounds_never_fall_below_the_ratio():
             assert dedupe._most(dedupe._Text(a), dedupe._Text(b), autojunk) >= dedupe.ratio(a, b, autojunk) - 1e-12
 
 
+def test_pairs_of_a_block_are_those_of_the_plain_matcher(monkeypatch):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("etaoin shrdlu ETAOIN.,é가") for _ in range(n)) for n in (3, 40, 150, 260, 700, 1500)]
+    texts = []
+    for t in base * 6:
+        t = list(t)
+        for _ in range(rng.choice([0, 1, len(t) // 12, len(t) // 7, len(t) // 4])):
+            t[rng.randrange(len(t))] = rng.choice(["", "x", "YZ", "Q"])
+        texts.append("".join(t) or "x")
+    runs, one = [], dedupe._ratio_from
+    monkeypatch.setattr(dedupe, "_ratio_from", lambda *a: runs.append(1) or one(*a))
+    found = 0
+    for kept_second in (True, False):
+        for autojunk in (True, False):
+            wanted = {(a, b, dedupe.ratio(*((texts[b], texts[a]) if kept_second else (texts[a], texts[b])), autojunk)) for b in range(len(texts)) for a in range(b)}
+            wanted = {w for w in wanted if w[2] >= 0.8}
+            for places in (7, 4096):
+                rows = dedupe._Rows(list(range(len(texts))), texts, places)
+                assert set(dedupe._similar(rows, rows, 0.8, kept_second, autojunk)) == wanted
+                x, y = (dedupe._Rows(list(range(len(texts)))[k::2], texts[k::2], places) for k in (0, 1))
+                assert set(dedupe._similar(x, y, 0.8, kept_second, autojunk)) == {w for w in wanted if (w[0] + w[1]) % 2}
+            found += len(wanted)
+    assert found > 100
+
+
+def test_matcher_of_long_texts_finds_the_same_blocks(monkeypatch):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(8)
+    for n, letters in ((30, "ab"), (300, "abcdefgh XYZ"), (700, "".join(map(chr, range(200, 330))))):
+        for _ in range(8):
+            a = "".join(rng.choice(letters) for _ in range(n))
+            b = a[n // 2 :] + a[: n // 3] if rng.random() < 0.3 else "".join(c for c in a if rng.random() < 0.9)
+            for autojunk in (True, False):
+                for long in (0, 10_000):
+                    monkeypatch.setattr(dedupe, "LONG", long)
+                    assert dedupe._Matcher(None, a, b, autojunk).get_matching_blocks() == SequenceMatcher(None, a, b, autojunk).get_matching_blocks()
+                    assert dedupe._ratio_from(dedupe._Matcher(None, a, b, autojunk), 0.0) == SequenceMatcher(None, a, b, autojunk).ratio()
+
+
+def test_few_pairs_are_left_to_the_matcher(monkeypatch):
+    """Texts of one language with capitals, as in German: the bound of blocks once left most of them."""
+    rng = random.Random(6)
+    words_ = ["".join(rng.choice("enisratdhulcg") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words_).capitalize() if rng.random() < 0.5 else rng.choice(words_) for _ in range(300)) for _ in range(40)]
+    runs, one = [], dedupe._ratio_from
+    monkeypatch.setattr(dedupe, "_ratio_from", lambda *a: runs.append(1) or one(*a))
+    rows = dedupe._Rows(list(range(40)), texts, 8192)
+    assert dedupe._similar(rows, rows, 0.8, True, True) == [] and len(runs) < 20
+
+
 def test_copies_of_a_title_make_no_pairs(spark, monkeypatch):
     made = []
     real = dedupe.similar_pairs
