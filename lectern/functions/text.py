@@ -81,6 +81,11 @@ def keep_allowed(c: Column) -> Column:
     return F.regexp_replace(c, NOT_ALLOWED, " ")
 
 
+def only_allowed(c: Column) -> Column:
+    """collapse_ws(keep_allowed(c)) in one pass: a run of anything else, white space or not, is one space."""
+    return F.trim(F.regexp_replace(c, "[^가-힣a-zA-Z0-9]+", " "))
+
+
 def clean_noise(c: Column, entities: bool = True) -> Column:
     """The main cleaner: entities, tags, addresses, all but allowed characters, white space.
 
@@ -90,13 +95,13 @@ def clean_noise(c: Column, entities: bool = True) -> Column:
     """
     t = text_or_empty(c)
     t = unescape(t) if entities else t
-    return collapse_ws(keep_allowed(strip_urls(strip_tags(t))))
+    return only_allowed(strip_urls(strip_tags(t)))
 
 
 def clean_strict(c: Column) -> Column:
     """The second cleaner: tags, http addresses and all lone jamo go without a space; no entities."""
     t = F.regexp_replace(strip_tags(text_or_empty(c), ""), URL_HTTP, "")
-    return collapse_ws(F.regexp_replace(F.regexp_replace(t, JAMO, ""), NOT_ALLOWED, " "))
+    return only_allowed(F.regexp_replace(t, JAMO, ""))
 
 
 def clean_markup_text(c: Column) -> Column:

@@ -104,3 +104,12 @@ def test_other_urls(spark):
     assert column(spark, urls.to_mobile_url, ["https://blog.naver.com/a/1", "x"]) == ["https://m.blog.naver.com/a/1", "x"]
     page = '<a href="https://blog.naver.com/b/2">x</a> <div data-url="https://m.blog.naver.com/a/1"></div> "titleHref": "https:\\/\\/blog.naver.com\\/c\\/3" https://blog.naver.com/b/2'
     assert column(spark, lambda c: F.array_join(urls.extract_post_links(c), " "), [page]) == ["https://blog.naver.com/b/2 https://blog.naver.com/a/1 https://blog.naver.com/c/3"]
+
+
+def test_allowed_characters_in_one_pass(spark):
+    from lectern.functions import text
+
+    rows = [("  a\x1c\u3000b\u00a0--\U0001f600ㅋ각 \t\n9é_Z\x0b ",), ("",), ("…",), ("x",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    a, b = (df.select(c).collect() for c in (text.only_allowed(F.col("t")).alias("t"), text.collapse_ws(text.keep_allowed(F.col("t"))).alias("t")))
+    assert a == b and a[0].t == "a b 각 9 Z"
